@@ -81,21 +81,22 @@ def fits(dim: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return dim.limit(rows + 1).count() <= rows
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "left", rows: int = BROADCAST_ROWS, spread: Column | None = None) -> DataFrame:
+def lookup_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "left", rows: int = BROADCAST_ROWS, spread: Column | None = None, heavy: DataFrame | None = None) -> DataFrame:
     """facts JOIN dim USING (key), for a dim with one row a key, whatever share of the facts one key holds.
 
     Both sides should be cheap to read again (written tables). A dim that is counted small is broadcast (rows=0: never). Else the
     heavy keys, at most SHARE of them, are joined on (key, salt) and the others on the key. NULL keys match nothing;
     with how="left" they are kept. `spread` says what deals out the rows of a heavy key (default: a random salt, safe
-    as it only picks the task that joins a row).
+    as it only picks the task that joins a row); `heavy` has the heavy keys where a caller has counted them already.
     """
     if rows and fits(dim, rows):
         return facts.join(F.broadcast(dim), key, how)
     nulls = facts.filter(F.col(key).isNull())
     facts = facts.filter(F.col(key).isNotNull())
-    counts = facts.groupBy(key).agg(F.count("*").alias("__n"))
-    total = facts.count()
-    heavy = F.broadcast(materialize(counts.filter(F.col("__n") * SHARE > total).select(key)))
+    if heavy is None:
+        total = facts.count()
+        heavy = facts.groupBy(key).agg(F.count("*").alias("__n")).filter(F.col("__n") * SHARE > total).select(key)
+    heavy = F.broadcast(materialize(heavy))
     salt = spread if spread is not None else F.xxhash64(F.monotonically_increasing_id())
     few = facts.join(heavy, key, "left_semi").withColumn("__salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
     few_dim = dim.join(heavy, key, "left_semi").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -106,6 +107,11 @@ def lookup_join(facts: DataFrame, dim: DataFrame, key: str, how: str = "left", r
     return out
 
 
+def drop_rows(rows: DataFrame, gone: DataFrame, bound: int = 500_000) -> DataFrame:
+    """`rows` without those whose __uid is in `gone`; up to `bound` ids (counted first) are broadcast, more are shuffled."""
+    return rows.join(F.broadcast(gone) if fits(gone, bound) else gone, "__uid", "left_anti")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, comp): for each node of the long edges (a, b), the least node it is linked to.
 
