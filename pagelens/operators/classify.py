@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import fuzzy_ratio
-from ..functions.text import count_prices, squeeze, xml_escape
+from ..functions.text import count_prices, squeeze, xml_element, xml_escape
 from .dom import Node, extract, scope
 
 #: Markers of walls against bots, and the size up to which a page may be one.
@@ -218,3 +218,17 @@ def webmcp_actions(tools: DataFrame) -> DataFrame:
     """Tools as rows of the action map."""
     n = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
     return tools.select("page_id", n.alias("pos"), n.cast("string").alias("id"), F.lit("webmcp_tool").alias("type"), F.coalesce(F.when(F.col("description") != "", F.col("description")), F.col("name")).alias("label"), F.col("name").alias("tool_name"), F.lit("WebMCP Tools").alias("group"), "input_schema")
+
+
+def webmcp_terse(tools: DataFrame) -> DataFrame:
+    """One text per page: a line for each tool with its name and description."""
+    line = F.concat(F.lit("- "), "name", F.when(F.col("description") != "", F.concat(F.lit(": "), "description")).otherwise(""))
+    return tools.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda s: s["l"]), "\n").alias("terse"))
+
+
+def webmcp_xml(tools: DataFrame) -> DataFrame:
+    """One XML text per page: a tool with its label (200 characters at most) and schema (500 at most) each."""
+    label = F.substring(F.coalesce(F.when(F.col("description") != "", F.col("description")), F.col("name")), 1, 200)
+    one = xml_element("tool", {"name": F.col("name"), "label": label, "schema": F.substring("input_schema", 1, 500)})
+    body = tools.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("x")))), lambda s: s["x"]), "").alias("b"))
+    return body.select("page_id", F.concat(F.lit("<tools>"), "b", F.lit("</tools>")).alias("xml"))

@@ -229,3 +229,24 @@ def replay(steps: DataFrame, outcomes: DataFrame) -> DataFrame:
     done = steps.join(outcomes, ["page_id", "sid"], "left")
     out = done.groupBy("page_id").agg(F.count_if(F.col("action") == "ask").alias("questions"), F.count_if(F.col("action") == "handoff").alias("handoffs"), F.count_if(F.col("action") == "auto_fill").alias("fills"), F.count_if(F.col("action").isin("auto_fill", "submit") & ~F.coalesce("ok", F.lit(True))).alias("failed"))
     return out.withColumn("status", F.when(F.col("questions") > 0, "questions_pending").when(F.col("handoffs") > 0, "handoff").when(F.col("failed") > 0, "validation_error").otherwise("completed"))
+
+
+def message_errors(filled: DataFrame, appeared: DataFrame) -> DataFrame:
+    """Validation messages among the actions that appeared after a submit, with the first filled step that they speak of:
+    appeared has page_id, pos, label; filled has page_id, place, sid, value, blob (the folded text of its field)."""
+    told = appeared.filter(F.coalesce("label", F.lit("")).rlike(MESSAGE)).withColumn("said", folded(F.col("label")))
+    rows = told.select("page_id", "pos", "said", F.col("label").alias("message")).join(filled, "page_id")
+    rows = rows.filter((F.col("blob") != "") & (F.contains("said", F.col("blob")) | F.contains("blob", F.col("said"))))
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("page_id", "pos").orderBy("place"))).filter("__n = 1")
+    return rows.select("page_id", "pos", "sid", "value", "message")
+
+
+def replay_steps(plans: DataFrame, outcomes: DataFrame, *, most: int = 3) -> DataFrame:
+    """Per page how a form of several steps went: plans has step and the columns of a plan, outcomes page_id, step, sid, ok.
+    The run goes on while steps are completed, for `most` steps; the last step reached and its status are given."""
+    keyed = F.concat_ws("#", "page_id", "step")
+    each = replay(plans.filter(F.col("step") <= most).withColumn("page_id", keyed), outcomes.withColumn("page_id", keyed))
+    split = each.select(F.substring_index("page_id", "#", 1).cast("long").alias("page_id"), F.substring_index("page_id", "#", -1).cast("int").alias("step"), "status")
+    halted = F.min(F.when(F.col("status") != "completed", F.col("step"))).over(Window.partitionBy("page_id"))
+    reached = split.withColumn("__h", halted).filter(F.col("__h").isNull() | (F.col("step") <= F.col("__h")))
+    return reached.groupBy("page_id").agg(F.max("step").alias("last_step"), F.max_by("status", "step").alias("status"))

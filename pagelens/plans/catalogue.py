@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import actions, blocks, classify, diff, forms, grep, heal, schema, security
+from ..operators import actions, blocks, classify, compare, diff, dom, forms, grep, heal, schema, security
 from ..sources.tables import table
 from ..streaming import state
 
@@ -601,6 +601,99 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep.search_results(_actions(spark, sf_dir)).agg(F.count("*").alias("n"))
 
 
+@_query("""SELECT user_id AS page_id, least(count(*), 25)::INT AS shown, greatest(count(*) - 25, 0) AS truncated FROM events GROUP BY user_id""")
+def cookie_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    cookies = e.select(F.col("user_id").alias("page_id"), F.col("event_id").alias("pos"), F.concat(F.lit("c"), "event_id").alias("name"), F.lit("").alias("domain"), F.lit("/").alias("path"), F.lit(True).alias("secure"), F.lit(True).alias("http_only"), F.lit("Lax").alias("same_site"), F.lit(-1.0).alias("expires"))
+    return security.cookie_summary(cookies).select("page_id", F.size("cookies").alias("shown"), "truncated")
+
+
+@_query(f"""WITH {_HEADERS} SELECT page_id, nullif(csp, '') AS csp, hsts FROM h""")
+def header_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _responses(spark, sf_dir).select("page_id", security.header_summary(security.lower_headers(F.col("headers"))).alias("s"))
+    return rows.select("page_id", F.col("s.content-security-policy").alias("csp"), F.col("s.strict-transport-security").alias("hsts"))
+
+
+@_query("""WITH p AS (SELECT s_suppkey AS page_id, s_suppkey % 3 AS k FROM supplier)
+SELECT page_id, 'CORS_ORIGIN_ECHO' AS rule_id, 'high' AS severity FROM p WHERE k = 0 UNION ALL SELECT page_id, 'CORS_WILDCARD_WITH_CREDENTIALS', 'critical' FROM p WHERE k = 1""")
+def security_cors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    probes = table(spark, sf_dir, "supplier").select(k.alias("page_id"), F.lit("https://x.example.com/").alias("url"), F.lit(None).cast("string").alias("origin_sent"), F.when(k % 3 == 0, "https://x.example.com").when(k % 3 == 1, "*").otherwise("").alias("acao"), F.lit("true").alias("acac"), F.lit("").alias("allow_methods"))
+    return security.cors_findings(probes).select("page_id", "rule_id", "severity")
+
+
+@_query("""SELECT c_custkey AS page_id, CASE c_custkey % 4 WHEN 0 THEN 'PAGE_ANTIBOT' WHEN 1 THEN 'PAGE_AUTH_GATED' WHEN 2 THEN 'PAGE_SPA_EMPTY' ELSE 'PAGE_CROSS_ORIGIN_IFRAME' END AS rule_id FROM customer""")
+def security_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    kind = F.when(k % 4 == 0, "Anti-bot").when(k % 4 == 1, "Auth-gated").when(k % 4 == 2, "SPA").otherwise("Iframe-heavy")
+    rows = table(spark, sf_dir, "customer").select(k.alias("page_id"), F.lit("https://x.example.com/").alias("url"), kind.alias("page_class"), F.lit("why").alias("reason"), F.lit(0).alias("n_actions"), F.lit(0).alias("shadow_hosts"), F.lit(0).alias("cross_origin_iframes"))
+    return security.meta_findings(rows).select("page_id", "rule_id")
+
+
+@_query("""SELECT user_id AS page_id, count(*) AS n_tools, '- ' || min_by(event_type, event_id) || ': does it' AS first_line FROM events GROUP BY user_id""")
+def webmcp_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tools that pages offer, rendered as JSON from the events and read back."""
+    e = table(spark, sf_dir, "events")
+    listed = F.array_sort(F.collect_list(F.struct("event_id", F.col("event_type").alias("name"), F.lit("does it").alias("description"))))
+    pages = e.groupBy(F.col("user_id").alias("page_id")).agg(F.to_json(F.transform(listed, lambda t: F.struct(t["name"].alias("name"), t["description"].alias("description")))).alias("tools"))
+    tools = classify.webmcp_tools(pages)
+    counts = classify.webmcp_actions(tools).groupBy("page_id").agg(F.count("*").alias("n_tools"))
+    return counts.join(classify.webmcp_terse(tools), "page_id").select("page_id", "n_tools", F.substring_index("terse", "\n", 1).alias("first_line"))
+
+
+@_query("""WITH l AS (SELECT DISTINCT CASE WHEN p_partkey % 5 = 0 THEN 'own' ELSE 's' || p_partkey % 5 END AS site, lower(p_type) AS label FROM part),
+o AS (SELECT DISTINCT label FROM l WHERE site = 'own'), t AS (SELECT label, count(DISTINCT site) AS sites FROM l WHERE site <> 'own' GROUP BY label),
+m AS (SELECT 'missing' AS kind, label, sites FROM t WHERE NOT EXISTS (SELECT 1 FROM o WHERE contains(t.label, o.label) OR contains(o.label, t.label)) ORDER BY label LIMIT 15),
+u AS (SELECT 'unique' AS kind, label, 1::BIGINT AS sites FROM o WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(t.label, o.label) OR contains(o.label, t.label)) ORDER BY label LIMIT 15)
+SELECT * FROM m UNION ALL SELECT * FROM u""")
+def feature_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    site = F.when(F.col("p_partkey") % 5 == 0, "own").otherwise(F.concat(F.lit("s"), F.col("p_partkey") % 5))
+    return compare.gaps(p.select(site.alias("site"), F.col("p_type").alias("label")), "own")
+
+
+@_query("""WITH v AS (SELECT user_id AS url, event_id, event_type, dense_rank() OVER (PARTITION BY user_id ORDER BY event_id % 3) AS n FROM events),
+f AS (SELECT DISTINCT url, n, event_type FROM v),
+a AS (SELECT url, n AS version_no, event_type FROM f), b AS (SELECT url, n + 1 AS version_no, event_type FROM f),
+met AS (SELECT url, version_no FROM a INTERSECT SELECT url, version_no FROM b)
+SELECT met.url, met.version_no, 'appeared' AS change, a.event_type AS label FROM a JOIN met ON a.url = met.url AND a.version_no = met.version_no LEFT JOIN b ON a.url = b.url AND a.version_no = b.version_no AND a.event_type = b.event_type WHERE b.url IS NULL
+UNION ALL SELECT met.url, met.version_no, 'disappeared', b.event_type FROM b JOIN met ON b.url = met.url AND b.version_no = met.version_no LEFT JOIN a ON a.url = b.url AND a.version_no = b.version_no AND a.event_type = b.event_type WHERE a.url IS NULL""")
+def version_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of each user's page, with a link per type of event."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("url"), (F.col("event_id") % 3).alias("version"), F.col("event_type").alias("label")).distinct()
+    snaps = e.select("url", "version", "label", F.lit("a").alias("type"), F.lit("Page").alias("group"), F.col("label").alias("id"), F.lit(1).alias("pos"))
+    return diff.version_diffs(snaps).select("url", "version_no", "change", "label")
+
+
+@_query("""SELECT p_partkey AS request_id, 1::BIGINT AS n_matches, p_partkey % 4 <> 0 AS verified FROM part""")
+def heal_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per part with one link; a fourth of the requests ask for another label."""
+    p = table(spark, sf_dir, "part")
+    pages = p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit('<div><a id="p'), "p_partkey", F.lit('" href="/x">Part '), "p_partkey", F.lit("</a></div>")).alias("html"))
+    label = F.when(F.col("p_partkey") % 4 == 0, "zzzz!").otherwise(F.concat(F.lit("part "), "p_partkey"))
+    asked = p.select(F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("page_id"), F.concat(F.lit("#p"), "p_partkey").alias("selector"), label.alias("label"), F.lit("a").alias("action_type"))
+    return heal.verify(asked, dom.nodes(pages))
+
+
+@_query("""SELECT c_custkey AS page_id, 'handoff' AS status, 1::BIGINT AS handoffs, 0::BIGINT AS questions FROM customer""")
+def form_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form plans with their questions answered, replayed: the password still needs a person."""
+    pages = _form_pages(spark, sf_dir)
+    classes = pages.select("page_id", F.lit("Static").alias("page_class"))
+    profiles = pages.select("page_id", F.create_map(F.lit("email"), F.lit("ada@example.com"), F.lit("company"), F.lit("Acme")).alias("profile"))
+    steps = forms.plan(schema.form_fields(pages), actions.actions(pages), classes, profiles)
+    answers = pages.select("page_id", F.explode(F.array(F.lit("form0_field3"), F.lit("form0_field4"))).alias("question"), F.lit("yes").alias("answer"))
+    outcomes = pages.select("page_id", F.lit("1").alias("sid"), F.lit(True).alias("ok"))
+    return forms.replay(forms.answer(steps, answers), outcomes).select("page_id", "status", "handoffs", "questions")
+
+
+@_query("""SELECT page_id, min(len(regexp_extract_all(html, '<p>'))) AS paragraphs, min(len(regexp_extract_all(html, '<li>'))) AS items FROM pages GROUP BY page_id""")
+def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph and item nodes of every page."""
+    n = dom.nodes(_pages(spark, sf_dir))
+    return n.groupBy("page_id").agg(F.count_if(F.col("tag") == "p").alias("paragraphs"), F.count_if(F.col("tag") == "li").alias("items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
