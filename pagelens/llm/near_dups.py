@@ -7,10 +7,11 @@ pair is verified by alignment within a diagonal band: the longest chain of match
 both texts gives the similarity chain / (shingles of both - chain), a Jaccard similarity that counts order; pairs of
 0.8 or more are links, and classes are the connected components of all links.
 
-Copies (equal word sequences) are one node from the start. In a bucket of texts that share a sketch, every member is
-compared to the bucket's hub; members whose component then differs from another's are compared to each other, so no
-candidate pair across components goes unverified and none within a component is made. Large groups of near copies are
-stars around their hub, never all pairs.
+Copies (equal word sequences) are one node from the start, named by 64 bits of their hash (two different texts out of
+ten billion meet in one name with a chance of 3 %). In a bucket of texts that share a sketch, every member is compared
+to the bucket's hub; members whose component then differs from another's are compared to each other, unless their
+lengths, or the shingles that no other member has, rule a link out. So no candidate pair across components is lost, and
+none within a component is made: large groups of near copies are stars around their hub, never all pairs.
 
 Defined results: NULL and empty texts, and texts without words, are copies of each other; texts of fewer than five
 words have one shingle; NULL doc_ids are kept and class_id is the least doc_id of the class that is not NULL (NULL if
@@ -22,22 +23,29 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SHARE, column_or_null, connected_components, drop_rows, lookup_join, materialize
+from .common import SHARE, column_or_null, connected_components, drop_rows, fits, lookup_join, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Sketches and shingles a sketch: for texts of LONG_FROM shingles or more, and for those of fewer than SHORT_BELOW.
-#: A pair of similarity 0.8 shares one of them with a chance of 1 - 8e-6 (long) and 1 - 5e-6 (short).
-M_LONG, ELL_LONG, LONG_FROM = 64, 8, 40
+#: A pair of similarity 0.8 shares one of them with a chance of 1 - 6e-5 (long) and 1 - 5e-6 (short).
+M_LONG, ELL_LONG, LONG_FROM = 32, 6, 40
 M_SHORT, ELL_SHORT, SHORT_BELOW = 12, 2, 50
+#: Buckets of more texts have their members' shingles counted before members meet.
+LARGE = 16
+#: Middles of a crowded bucket that all its members are compared to before they are compared pair by pair.
+MIDDLES = 2
+#: Ids of texts to compare that are broadcast at most (they are counted first).
+USED = 1_000_000
 
 WORD = re.compile(r"\w+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -119,9 +127,17 @@ def signature(h: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
+@lru_cache(maxsize=512)
+def _shingles_of(raw: bytes) -> np.ndarray:
+    return shingles(np.frombuffer(raw, np.uint32))
+
+
 def alignment(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity of two word sequences: the longest rising chain of matched labelled shingles within the band."""
-    x, y = shingles(a), shingles(b)
+    return _aligned(shingles(a), shingles(b))
+
+
+def _aligned(x: np.ndarray, y: np.ndarray) -> float:
     if not len(x) or not len(y):
         return float(len(x) == len(y))
     total = len(x) + len(y)
@@ -148,7 +164,7 @@ def alignment(a: np.ndarray, b: np.ndarray) -> float:
     return chain / (total - chain)
 
 
-_SKETCH = T.StructType([T.StructField("th", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("sig", T.ArrayType(T.LongType())), T.StructField("seq", T.BinaryType())])
+_SKETCH = T.StructType([T.StructField("th", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sig", T.ArrayType(T.LongType())), T.StructField("seq", T.BinaryType())])
 
 
 @F.arrow_udf(_SKETCH)
@@ -158,19 +174,25 @@ def _sketch(texts: pa.Array) -> pa.Array:
         ids = word_ids(text)
         raw = ids.tobytes()
         h = shingles(ids)
-        hashes.append(hashlib.blake2b(raw, digest_size=16).digest())
+        hashes.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True))
         counts.append(len(h))
         sigs.append(signature(h).view(np.int64))
         seqs.append(raw)
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
     sig = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sigs])))
-    return pa.StructArray.from_arrays([pa.array(hashes, pa.binary()), pa.array(counts, pa.int32()), sig, pa.array(seqs, pa.binary())], ["th", "n", "sig", "seq"])
+    return pa.StructArray.from_arrays([pa.array(hashes, pa.int64()), pa.array(counts, pa.int32()), sig, pa.array(seqs, pa.binary())], ["th", "n", "sig", "seq"])
 
 
 @F.arrow_udf(T.DoubleType())
 def _alignment(a: pa.Array, b: pa.Array) -> pa.Array:
-    as_ids = lambda raw: np.frombuffer(raw, np.uint32)
-    return pa.array([alignment(as_ids(x), as_ids(y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+    return pa.array([_aligned(_shingles_of(x), _shingles_of(y)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _shingle_list(seqs: pa.Array) -> pa.Array:
+    found = [shingles(np.frombuffer(raw, np.uint32)).view(np.int64) for raw in seqs.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
 
 
 def sketched(docs: DataFrame, text_col: str) -> DataFrame:
@@ -179,59 +201,118 @@ def sketched(docs: DataFrame, text_col: str) -> DataFrame:
     return materialize(rows.withColumn("__uid", F.monotonically_increasing_id()))
 
 
-def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """The links (a, b) among the distinct pairs (a, b); words has (node, n, seq)."""
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    seqs = materialize(words.join(used, "node", "left_semi"))
-    sizes = seqs.select("node", "n")
-    sized = lookup_join(pairs, sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a", "inner", spread=F.col("b"))
-    sized = lookup_join(materialize(sized), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b", "inner", spread=F.col("a"))
-    close = materialize(sized.filter(F.least("na", "nb") >= F.greatest("na", "nb") * SIMILARITY).select("a", "b"))
+def _words_of(nodes: DataFrame, used: DataFrame) -> DataFrame:
+    """(node, n, seq) of the used nodes; their ids are broadcast up to a bound, so that the words of others don't move."""
+    used = materialize(used)
+    return nodes.select("node", "n", "seq").join(F.broadcast(used) if fits(used, USED) else used, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links (a, b, similarity) among the distinct pairs (a, b, na, nb), written."""
+    close = materialize(pairs.filter(F.least("na", "nb") >= F.greatest("na", "nb") * SIMILARITY).select("a", "b"))
+    seqs = materialize(_words_of(nodes, close.select(F.col("a").alias("node")).union(close.select("b")).distinct()))
     one = lookup_join(close, seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), "a", "inner", rows=0, spread=F.col("b"))
     both = lookup_join(materialize(one), seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb")), "b", "inner", rows=0, spread=F.col("a"))
     return materialize(both.select("a", "b", _alignment("sa", "sb").alias("similarity")).filter(F.col("similarity") >= SIMILARITY))
 
 
-def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    return rows.filter(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+def _pairs(rows: DataFrame, a: str, na: str, b: str, nb: str) -> DataFrame:
+    """Distinct (a, b, na, nb) with a < b."""
+    low, high = F.least(a, b), F.greatest(a, b)
+    return rows.filter(F.col(a) != F.col(b)).select(low.alias("a"), high.alias("b"), F.when(F.col(a) == low, F.col(na)).otherwise(F.col(nb)).alias("na"), F.when(F.col(a) == low, F.col(nb)).otherwise(F.col(na)).alias("nb")).distinct()
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """(k, least, size) of the buckets whose members (k, node, comp, n) are of several components; least is their least n."""
+    return members.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.count("*").alias("size")).filter("low <> high").select("k", "least", "size")
+
+
+def _own_shingles(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, own): how many shingles of a member of a crowded bucket no other such member has."""
+    crowded = members.filter(F.col("size") > LARGE).select("node").distinct()
+    listed = _words_of(nodes, crowded).select("node", F.explode(_shingle_list("seq")).alias("s"))
+    alone = listed.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).filter("c = 1")
+    return materialize(alone.groupBy("node").agg(F.count("*").cast("int").alias("own")))
+
+
+def _can_link(n: str, r: str, on: str, or_: str) -> Column:
+    """A link needs 4/9 of both texts' shingles in common; r and or_ are those that a text may share at all."""
+    return F.least(r, or_) >= (F.col(n) + F.col(on)) * (SIMILARITY / (1 + SIMILARITY))
+
+
+def _relabelled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members with their components after the links found."""
+    comp = connected_components(found.select("a", "b"))
+    return materialize(lookup_join(members.drop("comp"), comp, "node", spread=F.col("k")).withColumn("comp", F.coalesce("comp", "node")))
+
+
+def _still_mixed(members: DataFrame) -> DataFrame:
+    """The members (k, node, comp, n, r) of buckets with several components, with the bucket's size now and its least n."""
+    mixed = materialize(_mixed(members))
+    return materialize(lookup_join(members.select("k", "node", "comp", "n", "r"), mixed, "k", "inner", spread=F.col("node")))
+
+
+def _across(members: DataFrame, nodes: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
+    """found, with the links between members (k, node, comp, n) of one bucket but of different components.
+
+    Shingles that no other member has can't be shared: where a bucket is crowded they are counted, and members that then
+    can link to no one are set aside. Of the rest, the one with the fewest such shingles is the middle of its bucket: all
+    are compared to it first, and then to the middle of what is left. What is apart after that is compared pair by pair,
+    where lengths and own shingles allow a link.
+    """
+    members = _still_mixed(members.withColumn("r", F.col("n")))
+    own = _own_shingles(members, nodes)
+    members = lookup_join(members, own, "node", spread=F.col("k")).withColumn("r", F.col("n") - F.coalesce("own", F.lit(0)))
+    members = _still_mixed(members.filter(_can_link("n", "r", "least", "r")))
+    hubs = None
+    for _ in range(MIDDLES):
+        pool = members.filter(F.col("size") > LARGE)
+        if pool.isEmpty():
+            break
+        if hubs is not None:
+            met = members.join(hubs.select("k", F.col("hub").alias("node")), ["k", "node"]).select("k", "comp").distinct()
+            pool = pool.join(met, ["k", "comp"], "left_anti")
+        middle = pool.groupBy("k").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("own"), "node", "n", "r", "comp")).alias("m"))
+        middle = materialize(middle.select("k", F.col("m.node").alias("hub"), F.col("m.n").alias("hn"), F.col("m.r").alias("hr"), F.col("m.comp").alias("hc")))
+        hubs = middle if hubs is None else hubs.unionByName(middle)
+        rows = lookup_join(members, middle, "k", "inner", spread=F.col("node")).filter((F.col("comp") != F.col("hc")) & _can_link("n", "r", "hn", "hr"))
+        pairs = materialize(_pairs(rows, "node", "n", "hub", "hn").join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        found, tested = found.union(_verified(pairs, nodes)), tested.unionByName(pairs)
+        members = _still_mixed(_relabelled(members, found))
+    # Of all the buckets that two texts share, the one with the least key makes the pair.
+    keys = members.groupBy("node").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    members = materialize(members.select("k", "node", "comp", "n", "r").join(keys, "node"))
+    other = members.select("k", F.col("node").alias("o"), F.col("comp").alias("oc"), F.col("n").alias("on"), F.col("r").alias("or_"), F.col("ks").alias("oks"))
+    apart = (F.col("node") < F.col("o")) & (F.col("comp") != F.col("oc")) & _can_link("n", "r", "on", "or_") & (F.array_min(F.array_intersect("ks", "oks")) == F.col("m.k"))
+    met = members.alias("m").join(other.alias("o"), (F.col("m.k") == F.col("o.k")) & apart)
+    pairs = met.select(F.col("node").alias("a"), F.col("o").alias("b"), F.col("n").alias("na"), F.col("on").alias("nb"))
+    return found.union(_verified(materialize(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")), nodes))
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Verified links (a, b, similarity) that connect all candidate pairs; nodes, written, has (node, n, sig, seq), a row each."""
-    words = nodes.select("node", "n", "seq")
-    keyed = nodes.select("node", F.explode("sig").alias("k"))
-    hubs = materialize(keyed.groupBy("k").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1"))
-    shared = hubs.agg(F.sum("size")).first()[0]
-    if not shared:
-        return nodes.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    total = nodes.agg(F.sum(F.size("sig"))).first()[0]
+    """Verified links (a, b, similarity) that connect all candidate pairs; nodes, written, has (node, n, sig, seq), copies of a text alike."""
+    keyed = nodes.select("node", "n", F.explode("sig").alias("k"))
+    hubs = materialize(keyed.groupBy("k").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").drop("last"))
+    total = nodes.agg(F.sum(F.size("sig"))).first()[0] or 0
     heavy = hubs.filter(F.col("size") * SHARE > total).select("k")
-    members = materialize(lookup_join(keyed, hubs, "k", "inner", spread=F.col("node"), heavy=heavy))
-    tested = materialize(_pairs(members, "node", "hub"))
-    found = _verified(tested, words)
+    members = materialize(lookup_join(keyed, hubs.select("k", "hub"), "k", "inner", rows=0, spread=F.col("node"), heavy=heavy).distinct())
+    sizes = members.select(F.col("node").alias("hub"), F.col("n").alias("hn")).distinct()
+    stars = lookup_join(members.select("node", "n", "hub").distinct(), materialize(sizes), "hub", "inner", spread=F.col("node"))
+    tested = materialize(_pairs(stars, "node", "n", "hub", "hn"))
+    found = _verified(tested, nodes)
     # Where a bucket still holds several components, its texts are compared across them.
-    comp = connected_components(found.select("a", "b"))
-    of = materialize(lookup_join(members, comp, "node").select("k", "node", F.coalesce("comp", "node").alias("comp")))
-    mixed = materialize(of.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("k"))
-    if mixed.isEmpty():
-        return found
-    of = materialize(lookup_join(of, mixed, "k", "inner", spread=F.col("node")))
-    other = of.select("k", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-    across = of.join(other, "k").filter("node < other and comp <> other_comp").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    across = materialize(across.join(tested, ["a", "b"], "left_anti"))
-    return materialize(found.union(_verified(across, words)))
+    return materialize(_across(_relabelled(members.withColumn("comp", F.col("node")), found), nodes, found, tested))
 
 
 def classes(rows: DataFrame, id_col: str) -> DataFrame:
     """(th, keeper, class_id, copies, class_size) for each distinct text of the sketched rows; keeper is the __uid of the class's first document."""
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__uid").alias("uid")))
-    texts = materialize(rows.groupBy(F.col("__s.th").alias("th")).agg(first.alias("first"), F.count("*").alias("copies")))
-    reps = texts.select(F.col("first.uid").alias("__uid"))
-    nodes = materialize(rows.join(reps, "__uid", "left_semi").select(F.col("__uid").alias("node"), F.col("__s.n").alias("n"), F.col("__s.sig").alias("sig"), F.col("__s.seq").alias("seq")))
+    texts = rows.groupBy(F.col("__s.th").alias("th")).agg(first.alias("first"), F.count("*").alias("copies"))
+    nodes = rows.select(F.col("__s.th").alias("node"), F.col("__s.n").alias("n"), F.col("__s.sig").alias("sig"), F.col("__s.seq").alias("seq"))
     comp = connected_components(links(nodes).select("a", "b"))
-    named = materialize(texts.withColumn("node", F.col("first.uid")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    named = materialize(texts.join(comp.withColumnRenamed("node", "th"), "th", "left").withColumn("comp", F.coalesce("comp", "th")))
     whole = named.groupBy("comp").agg(F.min("first").alias("of_class"), F.sum("copies").alias("class_size"))
-    return materialize(lookup_join(named, whole, "comp", "inner").select("th", "copies", "class_size", F.col("of_class.uid").alias("keeper"), F.col("of_class.id").alias("class_id")))
+    return materialize(lookup_join(named, whole, "comp", "inner", spread=F.col("th")).select("th", "copies", "class_size", F.col("of_class.uid").alias("keeper"), F.col("of_class.id").alias("class_id")))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
