@@ -26,6 +26,8 @@ SALTS = 64
 BATCH_ROWS = 512
 
 _folders: dict[str, str] = {}
+#: Paths of the cut points that are still there, in the order in which they were written.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,7 +70,41 @@ def materialize(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     with small_batches(spark, rows):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["written_to"] = path
+    return out
+
+
+class Scratch:
+    """What was written since the scope began; the tables to keep are named by `keep`."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.before, self.kept = spark, set(_written), set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """`df`, a table as `materialize` gives it, whose files outlive the scope."""
+        self.kept.add(df.__dict__["written_to"])
+        return df
+
+    def paths(self) -> list[str]:
+        return [p for p in _written if p not in self.before and p not in self.kept]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """A scope whose cut points go at its end, but for those kept. All that leaves it must be kept, or be no DataFrame."""
+    scope = Scratch(spark)
+    yield scope
+    release(spark, scope.paths())
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these cut points."""
+    for path in paths:
+        _remove(spark, path)
+        if path in _written:
+            _written.remove(path)
 
 
 def column_or_null(df: DataFrame, name: str | None, kind: str) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SHARE, column_or_null, connected_components, drop_rows, fits, lookup_join, materialize
+from .common import SHARE, column_or_null, connected_components, drop_rows, fits, lookup_join, materialize, scratch
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -306,13 +306,14 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def classes(rows: DataFrame, id_col: str) -> DataFrame:
     """(th, keeper, class_id, copies, class_size) for each distinct text of the sketched rows; keeper is the __uid of the class's first document."""
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__uid").alias("uid")))
-    texts = rows.groupBy(F.col("__s.th").alias("th")).agg(first.alias("first"), F.count("*").alias("copies"))
-    nodes = rows.select(F.col("__s.th").alias("node"), F.col("__s.n").alias("n"), F.col("__s.sig").alias("sig"), F.col("__s.seq").alias("seq"))
-    comp = connected_components(links(nodes).select("a", "b"))
-    named = materialize(texts.join(comp.withColumnRenamed("node", "th"), "th", "left").withColumn("comp", F.coalesce("comp", "th")))
-    whole = named.groupBy("comp").agg(F.min("first").alias("of_class"), F.sum("copies").alias("class_size"))
-    return materialize(lookup_join(named, whole, "comp", "inner", spread=F.col("th")).select("th", "copies", "class_size", F.col("of_class.uid").alias("keeper"), F.col("of_class.id").alias("class_id")))
+    with scratch(rows.sparkSession) as scope:
+        first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__uid").alias("uid")))
+        texts = rows.groupBy(F.col("__s.th").alias("th")).agg(first.alias("first"), F.count("*").alias("copies"))
+        nodes = rows.select(F.col("__s.th").alias("node"), F.col("__s.n").alias("n"), F.col("__s.sig").alias("sig"), F.col("__s.seq").alias("seq"))
+        comp = connected_components(links(nodes).select("a", "b"))
+        named = materialize(texts.join(comp.withColumnRenamed("node", "th"), "th", "left").withColumn("comp", F.coalesce("comp", "th")))
+        whole = named.groupBy("comp").agg(F.min("first").alias("of_class"), F.sum("copies").alias("class_size"))
+        return scope.keep(materialize(lookup_join(named, whole, "comp", "inner", spread=F.col("th")).select("th", "copies", "class_size", F.col("of_class.uid").alias("keeper"), F.col("of_class.id").alias("class_id"))))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

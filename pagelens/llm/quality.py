@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_or_null, lookup_join, materialize
+from .common import column_or_null, lookup_join, materialize, scratch
 
 #: Fixed values of the base rule.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
@@ -210,7 +210,8 @@ def _judged(rows: DataFrame) -> DataFrame:
     median = raw.agg(*[F.percentile_approx(F.col("x")[i], 0.5, 2000).alias(f"m{i}") for i in range(P)]).first()
     drawn = lambda v, w: [F.lit(m or 0.0) + (xi - F.lit(m or 0.0)) * F.sqrt(w) for xi, m in zip(v, median, strict=True)]
     narrow = materialize(raw.select("gk", "lk", F.array(*drawn([F.col("x")[i] for i in range(P)], F.col("w"))).alias("x")))
-    params = _fit(narrow).select("gk", "centre", "precision")
+    with scratch(rows.sparkSession) as scope:
+        params = scope.keep(_fit(narrow)).select("gk", "centre", "precision")
     x = drawn(vector("__q"), F.col("__q.n_words") / (F.col("__q.n_words") + NOISE_WORDS))
     return lookup_join(rows, params, "gk").withColumn("__base", base_failed("__q")).withColumn("__d", distance(x)).drop("gk", "centre", "precision", "__lk")
 
