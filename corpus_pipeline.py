@@ -7,35 +7,63 @@ are mixed to their target weights (a document may then stand there twice, or not
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelens.llm import decontaminate, mixing, near_dups, quality, sharding
-from pagelens.llm.common import materialize
+from pagelens.llm.common import Scratch, materialize, release
 
 SHARDS = 8
 
+#: Paths that the stage called last has written on the shared folder.
+_left: list[str] = []
 
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the stage before has left on the shared folder, unless its docs are read from there.
+
+    A stage's result is written before the next stage begins, as the contract of STAGES has it; who calls stages by hand
+    must write each result, or pass it on as the next one's docs, before calling another.
+    """
+
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles()
+        release(spark, [p for p in _left if not any(p.rpartition("/")[2] in f for f in read)])
+        scope = Scratch(spark)
+        out = work(spark, docs, sf_dir)
+        _left[:] = scope.paths()
+        return out
+
+    return run_stage
+
+
+@_stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
     return quality.filter_quality(docs)
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class, the one with the least doc_id."""
     return near_dups.drop_near_duplicates(docs)
 
 
+@_stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a benchmark item."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.apply_mix(docs)
 
 
+@_stage
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows with their shard."""
     return sharding.with_shard(docs, SHARDS)
