@@ -201,8 +201,8 @@ def page_response(acts: DataFrame, pages: DataFrame, *, detail: str = "terse", u
 
 
 def truncated_html(pages: DataFrame, *, most: int = 50_000, html_col: str = "html") -> DataFrame:
-    """Pages cut to `most` characters, with a comment that tells both lengths; 0 cuts nothing."""
+    """Pages cut to `most` characters, with a comment that tells both lengths; 0 or less cuts nothing."""
     total = F.length(html_col)
-    note = F.concat(F.lit("\n<!-- truncated: "), F.lit(most), F.lit(" of "), total, F.lit(" chars -->"))
+    note = F.concat(F.lit("\n<!-- truncated: "), total, F.lit(f" chars total, returned {most} -->"))
     cut = F.when(F.lit(most > 0) & (total > most), F.concat(F.substring(html_col, 1, most), note)).otherwise(F.col(html_col))
     return pages.select("page_id", cut.alias("html"), total.alias("total_chars"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import fuzzy_ratio
-from ..functions.text import count_prices, squeeze, xml_element, xml_escape
-from .dom import Node, extract, scope
+from ..functions.text import squeeze, xml_element, xml_escape
+from .dom import Node, clean, extract, scope
 
 #: Markers of walls against bots, and the size up to which a page may be one.
 BOT_MARKERS = ("captcha", "cloudflare", "bot detection", "robot check", "just a moment")
@@ -110,8 +110,20 @@ def replay_readiness(probes: DataFrame, *, key: str = "url", order: str = "at")
 
 
 #: Labels of buttons that accept cookies, and words that refuse.
-ACCEPT = ("accept all", "accept cookies", "accept", "agree", "i agree", "allow all", "got it", "ok", "alle akzeptieren", "akzeptieren", "zustimmen", "tout accepter", "accepter", "aceptar todo", "aceptar", "accetta", "принять все", "принять", "согласен")
-REFUSE = ("reject", "decline", "manage", "settings", "preferences", "ablehnen", "refuser", "rechazar", "rifiuta", "отклонить")
+ACCEPT = (
+    ("accept all", "accept all cookies", "allow all", "allow cookies", "accept cookies", "i agree", "i accept", "agree and continue", "got it")
+    + ("agree", "accept", "allow", "consent", "continue")
+    + ("alle akzeptieren", "alles akzeptieren", "akzeptieren und weiter", "akzeptieren", "zustimmen", "einverstanden", "alle zulassen")
+    + ("tout accepter", "accepter tout", "accepter", "j'accepte", "aceptar todo", "aceptar todas", "aceptar", "acepto")
+    + ("принять все", "принять всё", "согласен", "согласна", "разрешить", "принять", "соглашаюсь")
+    + ("accetta tutto", "accetta tutti", "accetta", "accetto", "aceitar todos", "aceitar tudo", "aceitar", "concordo")
+    + ("zaakceptuj wszystkie", "zaakceptuj", "akceptuję", "accepteren", "alles toestaan")
+)
+REFUSE = ("reject", "decline", "deny", "refuse", "necessary only", "ablehnen", "nur erforderliche", "refus", "rechazar", "отклонить", "только необходимые", "rifiuta", "recusar")
+#: Prices and consent words as a probe of visible text counts them, and elements whose children may be cards.
+PROBE_PRICE = r"(?iu)(?:€|\$|£|¥|₽)\s?\d|(?:\d[\d.,\s]{0,12}\s?(?:€|\$|£|¥|₽|eur|usd|gbp|rub|руб))"
+PROBE_CONSENT = "cookie|privacy|consent|we use cookies|datenschutz|akzeptieren|alle akzeptieren"
+CARD_PARENTS = ("div", "ul", "ol", "section", "main")
 
 
 def consent_buttons(acts: DataFrame, *, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -146,10 +158,10 @@ def _probe_rows(root: Node | None) -> list[dict]:
     gather(top)
     cards = 0
     for node in top.walk():
-        full = [c.tag for c in node.children if c.tag and c.tag not in hidden and len(c.content().strip()) >= 16] if len(node.children) >= 4 else []
-        if len(full) >= 4:
-            most = max(full.count(t) for t in set(full))
-            if most >= 0.6 * len(full):
+        if node.tag in CARD_PARENTS or node.attrs.get("role") == "list":
+            full = [c.tag for c in node.children if c.tag and c.tag not in hidden and any(k.tag for k in c.children) and len(clean(c.content())) >= 16]
+            most = max((full.count(t) for t in set(full)), default=0)
+            if most >= 4 and most >= 0.6 * len(full):
                 cards = max(cards, most)
     return [{"has_body": True, "visible": " ".join("".join(parts).split()), "card_candidates": cards}]
 
@@ -157,8 +169,10 @@ def _probe_rows(root: Node | None) -> list[dict]:
 def probes_of(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     """One probe per stored page: has_body, text_chars, html_chars, card_candidates, price_hits, consent_only."""
     rows = extract(pages.select("page_id", F.col(html_col).alias("html"), F.length(html_col).alias("html_chars")), _probe_rows, "has_body boolean, visible string, card_candidates int", keep=("page_id", "html_chars"))
-    consent = F.lower("visible").rlike("(?u)cookie|consent") & (F.length("visible") < 1200)
-    return rows.select("page_id", "has_body", F.length("visible").alias("text_chars"), "html_chars", "card_candidates", count_prices(F.col("visible")).alias("price_hits"), consent.alias("consent_only"))
+    prices = F.regexp_count("visible", F.lit(PROBE_PRICE))
+    content = (prices > 0) | (F.col("card_candidates") > 0) | (F.length("visible") >= 2000)
+    consent = F.lower("visible").rlike(PROBE_CONSENT) & ~content
+    return rows.select("page_id", "has_body", F.length("visible").alias("text_chars"), "html_chars", "card_candidates", prices.alias("price_hits"), consent.alias("consent_only"))
 
 
 def ax_nodes(raw: DataFrame, *, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -221,14 +235,18 @@ def webmcp_actions(tools: DataFrame) -> DataFrame:
 
 
 def webmcp_terse(tools: DataFrame) -> DataFrame:
-    """One text per page: a line for each tool with its name and description."""
-    line = F.concat(F.lit("- "), "name", F.when(F.col("description") != "", F.concat(F.lit(": "), "description")).otherwise(""))
-    return tools.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda s: s["l"]), "\n").alias("terse"))
-
-
-def webmcp_xml(tools: DataFrame) -> DataFrame:
-    """One XML text per page: a tool with its label (200 characters at most) and schema (500 at most) each."""
-    label = F.substring(F.coalesce(F.when(F.col("description") != "", F.col("description")), F.col("name")), 1, 200)
-    one = xml_element("tool", {"name": F.col("name"), "label": label, "schema": F.substring("input_schema", 1, 500)})
-    body = tools.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("x")))), lambda s: s["x"]), "").alias("b"))
-    return body.select("page_id", F.concat(F.lit("<tools>"), "b", F.lit("</tools>")).alias("xml"))
+    """One text per page: how many tools, and a line for each with its number, name and description."""
+    n = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    line = F.trim(F.concat(F.lit("@"), "n", F.lit(" tool:"), "name", F.lit(" "), "description"))
+    rows = tools.withColumn("n", n)
+    return rows.groupBy("page_id").agg(F.concat(F.lit("# webmcp tools ("), F.count("*"), F.lit(")\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("l")))), lambda s: s["l"]), "\n")).alias("terse"))
+
+
+def webmcp_xml(tools: DataFrame, pages: DataFrame) -> DataFrame:
+    """One XML text per page (page_id, url, title): its tools as actions, with a label of 200 characters and a schema of 500 at most."""
+    acts = webmcp_actions(tools)
+    one = xml_element("action", {"id": F.col("id"), "type": F.col("type"), "tool_name": F.col("tool_name"), "label": F.substring("label", 1, 200), "input_schema": F.substring("input_schema", 1, 500)})
+    body = acts.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", one.alias("x")))), lambda s: s["x"]), "").alias("b"))
+    rows = body.join(pages.select("page_id", "url", "title"), "page_id")
+    group = xml_element("group", {"name": F.lit("WebMCP Tools")}, F.col("b"))
+    return rows.select("page_id", xml_element("page", {"url": F.col("url"), "title": F.col("title"), "mode": F.lit("webmcp")}, group).alias("xml"))

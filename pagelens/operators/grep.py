@@ -141,8 +141,8 @@ def grep_pages(acts: DataFrame, query: str, *, fmt: str = "result", keep: tuple[
     return out.drop("__l")
 
 
-#: Labels that mark no result, and hosts that no result is on.
-JUNK_LABELS = ("sign in", "log in", "privacy", "terms", "settings", "feedback", "cookie")
+#: Words in labels of links that are no results.
+JUNK_LABELS = ("settings", "sign in", "privacy", "terms", "advertise", "help", "report a concern", "suggestions", "cookie", "search again", "see full list", "skip to content", "accessibility", "feedback", "rewards")
 
 
 def search_results(acts: DataFrame, *, excluded_hosts: tuple[str, ...] = (), junk: tuple[str, ...] = JUNK_LABELS, keep: tuple[str, ...] = ("page_id",), most: int = 10) -> DataFrame:

@@ -108,10 +108,11 @@ def coerce(value: Column, kind: Column) -> Column:
 
 
 def json_value(value: Column, kind: Column) -> Column:
-    """A cell as JSON: null for a placeholder, a number for numeric types, else a string."""
+    """A cell as JSON: null for a placeholder, a number for numeric types where it is one, else a string."""
     number = coerce(value, kind)
-    whole = (number == F.floor(number)) & (kind != "number")
-    shown = F.when(whole, F.floor(number).cast("bigint").cast("string")).otherwise(number.cast("string"))
+    integer = F.regexp_replace(F.regexp_replace(value, "[,_]", ""), r"^\s*\+?", "")
+    whole = (number == F.floor(number)) & kind.isin("currency", "percentage")
+    shown = F.when(kind == "integer", F.when(integer.rlike(r"^-?\d+\s*$"), F.regexp_replace(F.trim(integer), r"^(-?)0+(?=\d)", "$1"))).when(whole, F.floor(number).cast("bigint").cast("string")).otherwise(number.cast("string"))
     text = F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'^\{"v":(.*)\}$', "$1")
     return F.when(F.trim(value).isin(*EMPTY_CELLS), F.lit("null")).when(shown.isNotNull(), shown).otherwise(text)
 
@@ -151,8 +152,8 @@ def pick_table(tbls: DataFrame, index: int = 0, *, keep: tuple[str, ...] = ("pag
 
 
 def best_table(tbls: DataFrame, *, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Per page the table that looks most like data: 100 for named columns, 20 for two columns or more, and its rows."""
-    named = F.exists("columns", lambda c: ~c.rlike(r"^(col|column)_\d+$"))
+    """Per page the table that looks most like data: 100 for a named first column, 20 for two columns or more, and its rows."""
+    named = ~F.coalesce(F.try_element_at("columns", F.lit(1)), F.lit("col_")).startswith("col_")
     score = F.when(named, 100).otherwise(0) + F.when(F.col("column_count") >= 2, 20).otherwise(0) + F.col("total_rows")
     return tbls.groupBy(*keep).agg(F.max_by("table_idx", F.struct(score, -F.col("table_idx"))).alias("table_idx"), F.max(score).alias("score"))
 

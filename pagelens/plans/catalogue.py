@@ -137,7 +137,7 @@ def page_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT page_id, len(html) > 2000 AS was_cut, least(len(html), 2000) AS kept, len(html) AS total_chars FROM pages")
 def html_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = actions.truncated_html(_pages(spark, sf_dir), most=2000)
-    kept = F.length(F.regexp_extract("html", r"(?s)^(.*?)(?:\n<!-- truncated: \d+ of \d+ chars -->)?$", 1))
+    kept = F.length(F.regexp_extract("html", r"(?s)^(.*?)(?:\n<!-- truncated: \d+ chars total, returned \d+ -->)?$", 1))
     return cut.select("page_id", F.contains("html", F.lit("\n<!-- truncated: ")).alias("was_cut"), kept.alias("kept"), "total_chars")
 
 
@@ -548,7 +548,14 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def diff_terse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.diff_terse(diff.diff(*_versions(spark, sf_dir)))
+    before, after = _versions(spark, sf_dir)
+    return diff.diff_terse(diff.diff(before, after), diff.page_groups(after))
+
+
+@_query()
+def diff_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = _versions(spark, sf_dir)
+    return diff.diff_xml(diff.diff(before, after), diff.page_groups(after))
 
 
 @_query("SELECT o_custkey AS url, o_orderkey::VARCHAR AS id FROM orders WHERE o_orderstatus <> 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 <> 3)")
@@ -630,7 +637,7 @@ def security_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.meta_findings(rows).select("page_id", "rule_id")
 
 
-@_query("""SELECT user_id AS page_id, count(*) AS n_tools, '- ' || min_by(event_type, event_id) || ': does it' AS first_line FROM events GROUP BY user_id""")
+@_query("""SELECT user_id AS page_id, count(*) AS n_tools, '# webmcp tools (' || count(*) || ')' AS first_line FROM events GROUP BY user_id""")
 def webmcp_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tools that pages offer, rendered as JSON from the events and read back."""
     e = table(spark, sf_dir, "events")

@@ -85,9 +85,12 @@ def test_diff(spark):
     got = sorted((r.change, r.label) for r in diff.diff(a, b).collect())
     assert got == [("appeared", "New"), ("appeared", "Twin"), ("changed", "t"), ("disappeared", "Old")]
     assert diff.diff(a, a).count() == 0
-    terse = diff.diff_terse(diff.diff(a, b)).first().terse.split("\n")
-    assert terse[0].startswith("+ Nav > a[New] (#1)") and terse[-1].startswith("- ")
-    assert '<appeared count="2">' in diff.diff_xml(diff.diff(a, b)).first().xml
+    pages = diff.page_groups(b)
+    terse = diff.diff_terse(diff.diff(a, b), pages).first().terse.split("\n")
+    assert terse[:4] == ["# diff u", "groups: Nav, T", "## appeared", "@1 Nav > a[New] (#1) — New"] and "## disappeared" in terse
+    assert diff.diff_terse(diff.diff(a, a), pages).first().terse.endswith("(no changes)")
+    xml = diff.diff_xml(diff.diff(a, b), pages).first().xml
+    assert '<appeared count="2">' in xml and '<group name="Nav"/>' in xml and 'previous_label="t"' in xml
     assert diff.full_snapshots(a.limit(0), b).count() == 5
 
 

@@ -35,8 +35,12 @@ def test_gaps(spark):
 def test_tool_renderings(spark):
     pages = spark.createDataFrame([(1, '[{"name":"book","description":"Book & pay","inputSchema":{"a":1}},{"name":"x"}]')], "page_id long, tools string")
     tools = classify.webmcp_tools(pages)
-    assert classify.webmcp_terse(tools).first().terse == "- book: Book & pay\n- x"
-    assert classify.webmcp_xml(tools).first().xml == '<tools><tool name="book" label="Book &amp; pay" schema="{&quot;a&quot;:1}"/><tool name="x" label="x" schema="{}"/></tools>'
+    assert classify.webmcp_terse(tools).first().terse == "# webmcp tools (2)\n@1 tool:book Book & pay\n@2 tool:x"
+    named = pages.withColumn("url", F.lit("u")).withColumn("title", F.lit("t"))
+    assert classify.webmcp_xml(tools, named).first().xml == (
+        '<page url="u" title="t" mode="webmcp"><group name="WebMCP Tools"><action id="1" type="webmcp_tool" tool_name="book" label="Book &amp; pay" input_schema="{&quot;a&quot;:1}"/>'
+        '<action id="2" type="webmcp_tool" tool_name="x" label="x" input_schema="{}"/></group></page>'
+    )
 
 
 def test_messages_and_steps(spark):
