@@ -1,9 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences (at line ends, and after . ! or ? before white space). From every sentence runs the
-shortest span of LEAST_SENTENCES or more sentences that has LEAST_WORDS words; a single sentence of ALONE_WORDS words is
-a span too. Every such span is hashed (96 bits, over the words in lower case) and counted over the whole corpus. The
-first occurrence, by doc_id and place, stays; sentences covered by any other occurrence are removed.
+Texts are cut into sentences (at line ends, and after . ! or ? before white space). A span is a
+run of LEAST_SENTENCES or more sentences with LEAST_WORDS words, or a single sentence of ALONE_WORDS. The shortest span
+from every sentence on, and the shortest one up to every sentence, are hashed (96 bits, over the words in lower case)
+and counted over the whole corpus; longer spans cover nothing that these don't. The first occurrence, by doc_id and
+place, stays; sentences covered by any other occurrence are removed.
 
 Defined results: NULL and empty texts have no spans; a NULL doc_id comes after all others; rows with the same doc_id are
 separate documents, in an order that the input's layout fixes; an empty table gives an empty result.
@@ -65,10 +66,13 @@ def spans(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     low = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64)
     counts = np.array([len(w) for w in words])
     total = np.concatenate([[0], np.cumsum(counts)])
-    i = np.arange(n)
-    end = np.maximum(np.searchsorted(total, total[:-1] + LEAST_WORDS, "left"), i + LEAST_SENTENCES)
-    end = np.where(counts >= ALONE_WORDS, i + 1, end)
-    i, end = i[end <= n], end[end <= n]
+    place = np.arange(n)
+    end = np.maximum(np.searchsorted(total, total[:-1] + LEAST_WORDS, "left"), place + LEAST_SENTENCES)
+    end = np.where(counts >= ALONE_WORDS, place + 1, end)
+    begin = np.minimum(np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1, place + 1 - LEAST_SENTENCES)
+    begin = np.where(counts >= ALONE_WORDS, place, begin)
+    both = np.unique(np.concatenate([(place * (n + 1) + end)[end <= n], (begin * (n + 1) + place + 1)[begin >= 0]]))
+    i, end = both // (n + 1), both % (n + 1)
     out = []
     power, inverse = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
     for h in (high, low):
