@@ -38,6 +38,8 @@ CLOSES = {
     "tbody": (("td", "th", "tr", "thead", "tbody", "tfoot"), ("table",)),
     "tfoot": (("td", "th", "tr", "thead", "tbody", "tfoot"), ("table",)),
 }
+#: Elements nested deeper than this stay at this depth, so that no page exhausts the stack.
+DEPTH = 200
 HEAD_ONLY = frozenset(("title", "meta", "link", "base", "style", "script", "noscript"))
 
 
@@ -130,7 +132,7 @@ class _Builder(HTMLParser):
         for k, v in attrs:
             kept.setdefault(k, v if v is not None else "")
         node = Node(tag, kept, self.open[-1])
-        if tag not in VOID:
+        if tag not in VOID and len(self.open) <= DEPTH:
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -156,6 +158,11 @@ class _Builder(HTMLParser):
             self.open.append(found or Node("body", parent=self.open[-1]))
         self._add_text(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Conditional and other marked sections are skipped up to their end, whatever they hold."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
     def handle_comment(self, data: str) -> None:
         Node("", parent=self.open[-1]).text = data
 
@@ -194,6 +201,10 @@ def clean(text: str | None) -> str:
     return _SPACE.sub(" ", text or "").strip()
 
 
+#: Pages whose rows are held at a time.
+PAGES = 128
+
+
 def extract(pages: DataFrame, rows_of: Callable[[Node | None], list[dict]], schema: str, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row of `schema` for every dict that rows_of(root) gives, beside the columns `keep` of its page.
 
@@ -204,7 +215,7 @@ def extract(pages: DataFrame, rows_of: Callable[[Node | None], list[dict]], sche
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PAGES) for b in batches for at in range(0, b.num_rows, PAGES)):
             kept = [batch.column(k).to_pylist() for k in range(len(fields))]
             rows = []
             for i, page in enumerate(batch.column(len(fields)).to_pylist()):

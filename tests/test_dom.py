@@ -43,3 +43,13 @@ def test_node_rows(spark):
     rows = dom.nodes(pages).orderBy("page_id", "node_id").collect()
     assert [(r.node_id, r.end_id, r.parent_id, r.tag) for r in rows] == [(0, 3, None, "div"), (1, 2, 0, "p"), (2, 2, 1, "b"), (3, 3, 0, "p")]
     assert [a.tag for a in rows[2].ancestors] == ["div", "p"] and rows[2].tail == "c"
+
+
+def test_broken_markup_never_stops_a_page():
+    """Marked sections, unfinished tags and very deep nesting give a tree, or none, but no error."""
+    for html in ("<![if IE]>x<![endif]><p>y</p>", "<![foo[bar]]>x", "<![", "<!", "<a b='c", "</", "<!--", "<?php ?>x", "&#xFFFFFFFF;", "<div>" * 3000 + "deep", "<ul><li>" * 900, "<table><tr><td>" * 500):
+        root = dom.parse(html)
+        rows = dom.node_rows(root)
+        assert all(len(r["ancestors"]) <= dom.DEPTH + 1 for r in rows)
+    assert dom.parse("<![if IE]><p>x</p><![endif]><p>y</p>").content() == "xy"
+    assert dom.parse("<div>" * 3000 + "deep").content() == "deep"
