@@ -6,9 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from pagelens.plans import catalogue
+from pagelens.plans import catalogue, platform
 
-ORACLES = catalogue.oracle_sql()
+ORACLES = catalogue.oracle_sql() | platform.oracle_sql()
+QUERIES = catalogue.queries() | platform.queries()
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def plain(v):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_oracle(spark, db, sf_dir, name):
-    got = catalogue.queries()[name](spark, sf_dir)
+    got = QUERIES[name](spark, sf_dir)
     columns = sorted(got.columns)
     result = db.execute(ORACLES[name])
     names = [d[0] for d in result.description]
@@ -36,9 +37,9 @@ def test_query_equals_its_oracle(spark, db, sf_dir, name):
     assert sorted((tuple(plain(row[c]) for c in columns) for row in got.collect()), key=repr) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, sf_dir, name):
-    assert catalogue.queries()[name](spark, sf_dir).count() > 0
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
