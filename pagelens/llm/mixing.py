@@ -181,5 +181,6 @@ def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """The mix itself: every document as many times as it is taken, with all columns of docs."""
     held = materialize(docs.select("*", F.struct(*_rows(docs, id_col, text_col, source_col)).alias("__m")).withColumn("__uid", F.monotonically_increasing_id()))
     copies = _copies(held.select("__m.*", F.col("__uid").alias("uid"))).select(F.col("uid").alias("__uid"), (F.col("base") + F.col("p")).cast("int").alias("__copies")).filter("__copies > 0")
-    taken = held.drop("__m").join(copies, "__uid")
+    # Merged at every size: texts move once, and no size of table is where the plan turns.
+    taken = held.drop("__m").join(copies.hint("merge"), "__uid")
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
