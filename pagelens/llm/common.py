@@ -61,6 +61,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(key, before)
 
 
+def lower_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the session's batch size for Python to `rows`, for operators whose result is computed later, by the caller."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def materialize(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: lineage ends here, and lost executors lose nothing.
 

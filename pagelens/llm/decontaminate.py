@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_or_null
+from .common import column_or_null, lower_batches
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -206,6 +206,7 @@ def _finder(held):
 def hits(docs: DataFrame, items: DataFrame, text: Column, *, item_id_col: str = "item_id", item_text_col: str = "text", question_col: str | None = None, answer_col: str | None = None) -> Column:
     """A column of docs: the array of verified (item, score, question_overlap, answer_overlap, word) of each text."""
     spark = docs.sparkSession
+    lower_batches(spark)
     out = F.array().cast("array<struct<item:bigint,score:double,question_overlap:double,answer_overlap:double,word:int>>")
     for index in _segments(items, item_id_col, item_text_col, question_col, answer_col):
         out = F.concat(out, F.arrow_udf(_finder(spark.sparkContext.broadcast(index)), _HIT)(text))

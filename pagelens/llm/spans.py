@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SHARE, column_or_null, lookup_join, materialize
+from .common import SHARE, column_or_null, lookup_join, lower_batches, materialize
 
 LEAST_SENTENCES, LEAST_WORDS, ALONE_WORDS = 2, 20, 50
 END = re.compile(r"[.!?]+\s+|\s*\n\s*")
@@ -168,6 +168,7 @@ def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """docs with the repeated runs cut out of their texts; the other columns stay as they are."""
     rows = _cut_rows(docs.withColumn("__id", column_or_null(docs, id_col, "long")), column_or_null(docs, text_col, "string"))
     gone = _removed(rows, "__id").groupBy(F.col("uid").alias("__uid")).agg(F.collect_list("start").alias("__starts"), F.collect_list("end").alias("__ends"))
+    lower_batches(docs.sparkSession)
     joined = rows.drop("__c").join(gone, "__uid", "left")
     text = F.when(F.col("__starts").isNull(), F.col(f"`{text_col}`")).otherwise(_without(F.col(f"`{text_col}`"), F.coalesce("__starts", F.array().cast("array<int>")), F.coalesce("__ends", F.array().cast("array<int>"))))
     return joined.withColumn("__text", text).select(*[(F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])

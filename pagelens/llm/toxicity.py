@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_or_null, materialize
+from .common import column_or_null, lower_batches, materialize
 
 #: Labelled rows that the model is fitted on, about; features kept at most; hash buckets of features.
 TRAIN_ROWS, FEATURES, BUCKETS = 16_000, 4096, 1 << 20
@@ -211,6 +211,7 @@ def _scorer(held):
 
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score and predicted. One pass, no shuffle."""
+    lower_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), F.arrow_udf(_scorer(held), T.DoubleType())(column_or_null(docs, text_col, "string")).alias("score"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
