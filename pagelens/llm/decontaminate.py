@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -91,11 +92,13 @@ class Index:
                 self.bounds[term, at // self.block] = max(self.bounds[term, at // self.block], weight / full)
         self.items = {t: np.array([p[0] for p in ps]) for t, ps in postings.items()}
         self.weights = {t: np.array([p[1] for p in ps]) for t, ps in postings.items()}
+        self.most = self.bounds.max(axis=1, initial=0.0).tolist()
         self.window = 2 * max([PASSAGE // 2, *sizes])
 
     def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """Every (item, score) with score >= least for the distinct terms, by block-max WAND."""
-        lists = [(self.items[t], self.weights[t], self.bounds[t], float(self.bounds[t].max())) for t in terms]
+        lists = [(self.items[t], self.weights[t], self.most[t]) for t in terms]
+        sums = self.bounds[terms].sum(axis=0, dtype=float)
         at = [0] * len(lists)
         found = []
         least -= 1e-6
@@ -103,15 +106,18 @@ class Index:
             live = sorted((int(x[0][p]), k) for k, (x, p) in enumerate(zip(lists, at, strict=True)) if p < len(x[0]))
             bound, pivot = 0.0, None
             for item, k in live:
-                bound += lists[k][3]
+                bound += lists[k][2]
                 if bound >= least:
                     pivot = item
                     break
             if pivot is None:
                 return found
             block = pivot // self.block
-            if sum(float(x[2][block]) for x in lists) < least:  # no item of the pivot's block can do: go to the next block
-                target = (block + 1) * self.block
+            if sums[block] < least:  # no item of the pivot's block can do: go to the next block that can
+                later = np.flatnonzero(sums[block + 1 :] >= least)
+                if not len(later):
+                    return found
+                target = (block + 1 + int(later[0])) * self.block
                 for k, (x, p) in enumerate(zip(lists, at, strict=True)):
                     if p < len(x[0]) and x[0][p] < target:
                         at[k] = p + int(np.searchsorted(x[0][p:], target))
@@ -148,7 +154,7 @@ class Index:
         if not self.ids:
             return found
         words = words_of(text)
-        ids = np.fromiter(map(self.vocabulary.__getitem__, words), np.int64, len(words))
+        ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
         if not len(ids) or ids.max() < 0:
             return found
         for start, end in self.passages(ids):
