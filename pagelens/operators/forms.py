@@ -1,14 +1,15 @@
 """Form filling plans: fields linked to actions, steps per field, blockers, questions, answers, and replayed executions.
 
-Linking is greedy in field order (an action taken is gone for later fields), so it runs per form over its few rows;
-everything else is conditions over the linked fields.
+Linking is greedy in field order (an action taken is gone for later fields), so it runs per page over the arrays of its
+few fields and actions, in Arrow batches; everything else is conditions over the linked fields.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.similarity import fold, folded, ratio
 
@@ -64,45 +65,77 @@ def _same_kind(kind: str, tag: str, action: str) -> bool:
     return action == tag in ("textarea", "select") or inner == kind or (action == "input" and kind == "text") or (action == "button" and kind == "submit")
 
 
-def _link(fields: pd.DataFrame, actions: pd.DataFrame) -> pd.DataFrame:
-    """The best action for each field of one form, in field order."""
-    fields = fields.sort_values("field_idx")
-    acts = list(actions.sort_values("pos")[["id", "type", "ablob"]].itertuples(index=False, name=None))
+def _linked(fields: list[dict], acts: list[dict]) -> list[dict]:
+    """For each field of one form, in order, the best action that is still free."""
     taken: set[str] = set()
-    sids, scores = [], []
-    for kind, tag, blob, name in zip(fields["type"], fields["tag"], fields["blob"], fields["name"], strict=True):
+    out = []
+    for f in fields:
         sid, best = None, 0.0
-        for act, action, ablob in acts:
-            if act in taken or not _same_kind((kind or "text").lower(), (tag or "input").lower(), (action or "").lower()):
+        for a in acts:
+            if a["id"] in taken or not _same_kind((f["type"] or "text").lower(), (f["tag"] or "input").lower(), (a["type"] or "").lower()):
                 continue
-            score = max(ratio(blob, ablob), ratio(fold(name), ablob) if name else 0.0)
+            score = max(ratio(f["blob"], a["ablob"]), ratio(fold(f["name"]), a["ablob"]) if f["name"] else 0.0)
             if score > best:
-                sid, best = act, score
+                sid, best = a["id"], score
         if sid is not None and best >= TAKEN:
             taken.add(sid)
-        sids.append(sid)
-        scores.append(best)
-    return fields.assign(sid=sids, match_score=scores)[["page_id", "form_idx", "field_idx", "sid", "match_score"]]
+        out.append({"sid": sid, "match_score": best})
+    return out
+
+
+def _submit(buttons: list[dict], acts: list[dict], links: list[dict]) -> str | None:
+    """The action that submits the form: like one of its submit fields, else the first button that says so."""
+    used = {x["sid"] for x in links}
+    free = [a for a in acts if a["id"] not in used]
+    for f in buttons:
+        for a in free:
+            if (a["type"] or "").lower() in ("button", "input[submit]") and ratio(f["blob"], a["ablob"]) >= SUBMIT_LIKE:
+                return a["id"]
+    return next((a["id"] for a in free if (a["type"] or "").lower() == "button" and any(w in a["ablob"] for w in SUBMIT_WORDS)), None)
+
+
+_LINKS = T.StructType([T.StructField("links", T.ArrayType(T.StructType([T.StructField("sid", T.StringType()), T.StructField("match_score", T.DoubleType())]))), T.StructField("submit", T.StringType())])
+
+
+@F.arrow_udf(_LINKS)
+def _link(fields: pa.Array, acts: pa.Array) -> pa.Array:
+    out = []
+    for own, told in zip(fields.to_pylist(), acts.to_pylist(), strict=True):
+        own, told = own or [], told or []
+        links = _linked([f for f in own if not f["submits"]], told)
+        out.append({"links": links, "submit": _submit([f for f in own if f["button"]], told, links)})
+    return pa.array(out, pa.struct([("links", pa.list_(pa.struct([("sid", pa.string()), ("match_score", pa.float64())]))), ("submit", pa.string())]))
+
+
+def _per_page(fields: DataFrame, acts: DataFrame, form_idx: int) -> DataFrame:
+    """One row per page: its actions, the fields of the form, and how they are linked. Both tables are read once."""
+    told = acts.select("page_id", "pos", "id", "type", _blob("label", "placeholder").alias("ablob"))
+    by_acts = told.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "type", "ablob"))).alias("acts"))
+    kind = F.lower(F.coalesce("type", F.lit("text")))
+    own = fields.withColumn("placeholder", F.coalesce(F.col("attrs")["placeholder"], F.lit(""))).withColumn("blob", _blob("label", "name", "placeholder")).withColumn("kind", field_kind())
+    own = own.withColumn("submits", kind.isin("submit", "button") & F.col("tag").isin("button", "input")).withColumn("button", F.col("type").isin("submit", "button") | (F.col("tag") == "button"))
+    one = F.struct("field_idx", "tag", "type", "name", "label", "placeholder", "required", "blob", "kind", "submits", "button")
+    mine = (F.col("form_idx") == form_idx) & F.col("field_idx").isNotNull()
+    by_form = own.groupBy("page_id").agg(F.array_sort(F.collect_list(F.when(mine, one))).alias("all_fields"))
+    rows = by_form.join(by_acts, "page_id", "full_outer").withColumn("formless", F.col("all_fields").isNull())
+    linked = rows.withColumn("__l", _link("all_fields", "acts"))
+    return linked.withColumn("fields", F.filter("all_fields", lambda f: ~f["submits"])).withColumn("links", F.col("__l.links")).withColumn("submit", F.col("__l.submit")).drop("__l", "all_fields")
 
 
 def link_fields(fields: DataFrame, acts: DataFrame, *, form_idx: int = 0) -> DataFrame:
     """The fields of one form of each page, but for its submit buttons, with kind, blob, sid and match_score."""
-    own = fields.filter((F.col("form_idx") == form_idx) & F.col("field_idx").isNotNull())
-    own = own.filter(~(F.col("type").isin("submit", "button") & F.col("tag").isin("button", "input")))
-    own = own.withColumn("placeholder", F.coalesce(F.col("attrs")["placeholder"], F.lit(""))).withColumn("blob", _blob("label", "name", "placeholder")).withColumn("kind", field_kind())
-    told = acts.select("page_id", "pos", "id", "type", _blob("label", "placeholder").alias("ablob"))
-    slim = own.select("page_id", "form_idx", "field_idx", "tag", "type", "name", "blob")
-    linked = slim.groupBy("page_id").cogroup(told.groupBy("page_id")).applyInPandas(_link, "page_id long, form_idx int, field_idx int, sid string, match_score double")
-    return own.join(linked, ["page_id", "form_idx", "field_idx"])
+    rows = _per_page(fields, acts, form_idx).filter(~F.col("formless"))
+    each = rows.select("page_id", F.explode(F.arrays_zip("fields", "links")).alias("x"))
+    return each.select("page_id", F.lit(form_idx).alias("form_idx"), "x.fields.*", "x.links.*").drop("submits", "button")
 
 
-def page_blockers(acts: DataFrame, classes: DataFrame) -> DataFrame:
-    """What keeps a plan from starting: page_id, place, code, sid. classes has page_id and page_class."""
-    by_class = classes.withColumn("code", F.when(F.col("page_class") == "Anti-bot", "anti_bot").when(F.col("page_class") == "Auth-gated", "auth_gated")).filter("code is not null")
-    told = acts.withColumn("blob", _blob("label", "placeholder"))
-    codes = F.filter(F.array(F.when(F.col("blob").rlike(BLOCKER), "captcha"), F.when(F.col("blob").rlike(OAUTH), "oauth")), lambda c: c.isNotNull())
-    by_action = told.select("page_id", "pos", F.col("id").alias("sid"), F.posexplode(codes).alias("k", "code"))
-    return by_class.select("page_id", F.lit(-1).cast("long").alias("place"), "code", F.lit(None).cast("string").alias("sid")).union(by_action.select("page_id", (F.col("pos").cast("long") * 2 + F.col("k")).alias("place"), "code", "sid"))
+def page_blockers(acts: Column, page_class: Column) -> Column:
+    """What keeps a plan from starting, as an array of (reason, sid): the page's class, then robot checks and other sites' logins among its actions (ablob, id)."""
+    none = F.lit(None).cast("string")
+    one = lambda code, sid: F.struct(code.alias("reason"), sid.alias("sid"))
+    code = F.when(page_class == "Anti-bot", "anti_bot").when(page_class == "Auth-gated", "auth_gated")
+    found = F.flatten(F.transform(F.coalesce(acts, F.array().cast("array<struct<pos:int,id:string,type:string,ablob:string>>")), lambda a: F.array(F.when(a["ablob"].rlike(BLOCKER), one(F.lit("captcha"), a["id"])), F.when(a["ablob"].rlike(OAUTH), one(F.lit("oauth"), a["id"])))))
+    return F.filter(F.concat(F.array(F.when(code.isNotNull(), one(code, none))), found), lambda x: x.isNotNull())
 
 
 def profile_value(kind: Column, profile: Column) -> Column:
@@ -133,69 +166,51 @@ def invalid_value(kind: Column, value: Column) -> Column:
     return F.when(bad, F.concat(F.lit("not an email address: "), value))
 
 
-STEP = "page_id long, place long, action string, reason string, sid string, value string, kind string, label string, question_id string"
-
-
 def plan(fields: DataFrame, acts: DataFrame, classes: DataFrame, profiles: DataFrame, *, form_idx: int = 0, allow_password: bool = False, auto_submit: bool = True) -> DataFrame:
-    """The steps for one form of each page, in order: auto_fill, ask, handoff, skip, submit.
+    """The steps for one form of each page of classes (page_id, page_class), in order: auto_fill, ask, handoff, skip, submit.
 
     Pages with blockers get only handoffs for them; pages without forms one handoff. profiles has page_id and profile (map).
     """
     none = F.lit(None).cast("string")
-    blocked = page_blockers(acts, classes)
-    stop = blocked.select("page_id", "place", F.lit("handoff").alias("action"), F.col("code").alias("reason"), "sid", none.alias("value"), none.alias("kind"), none.alias("label"), none.alias("question_id"))
-    free = classes.select("page_id").join(blocked.select("page_id").distinct(), "page_id", "left_anti")
-    with_form = fields.select("page_id").distinct()
-    formless = free.join(with_form, "page_id", "left_anti").select("page_id", F.lit(0).cast("long").alias("place"), F.lit("handoff").alias("action"), F.lit("no_forms").alias("reason"), *[none.alias(c) for c in ("sid", "value", "kind", "label", "question_id")])
-    linked = link_fields(fields, acts, form_idx=form_idx).join(free, "page_id", "left_semi").join(profiles.select("page_id", "profile"), "page_id", "left")
-    kind, sid, needed = F.col("kind"), F.col("sid"), F.coalesce("required", F.lit(False))
-    value = profile_value(kind, F.coalesce("profile", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
-    given = F.coalesce(value, F.lit("")) != ""
-    handoff = (
-        F.when(kind == "file", "file_upload")
-        .when(kind.isin("captcha", "oauth"), kind)
-        .when(kind == "date", "custom_datepicker")
-        .when((kind == "password") & F.lit(not allow_password), "password_requires_handoff")
-        .when(needed & sid.isNull(), "missing_binding_invisible_validation")
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    rows = classes.join(_per_page(fields, acts, form_idx), "page_id", "left").join(profiles.select("page_id", "profile"), "page_id", "left")
+    rows = rows.withColumn("blockers", page_blockers(F.col("acts"), F.col("page_class"))).withColumn("profile", F.coalesce("profile", empty))
+
+    def step(place: Column, action: Column | str, reason: Column, sid: Column = none, value: Column = none, kind: Column = none, label: Column = none, question: Column = none) -> Column:
+        action = F.lit(action) if isinstance(action, str) else action
+        return F.struct(place.cast("long").alias("place"), action.alias("action"), reason.alias("reason"), sid.alias("sid"), value.alias("value"), kind.alias("kind"), label.alias("label"), question.alias("question_id"))
+
+    def of_field(x: Column) -> Column:
+        f, sid = x["fields"], x["links"]["sid"]
+        kind, needed, value = f["kind"], F.coalesce(f["required"], F.lit(False)), profile_value(f["kind"], F.col("profile"))
+        given, safe = F.coalesce(value, F.lit("")) != "", kind.isin(*SAFE)
+        handoff = (
+            F.when(kind == "file", "file_upload")
+            .when(kind.isin("captcha", "oauth"), kind)
+            .when(kind == "date", "custom_datepicker")
+            .when((kind == "password") & F.lit(not allow_password), "password_requires_handoff")
+            .when(needed & sid.isNull(), "missing_binding_invisible_validation")
+        )
+        label = F.coalesce(F.when(f["label"] != "", f["label"]), f["name"], kind)
+        ask = lambda why: step(f["field_idx"], "ask", F.lit(why), sid, none, kind, label, F.format_string("form%d_field%d", F.lit(form_idx), f["field_idx"]))
+        return (
+            F.when(handoff.isNotNull(), step(f["field_idx"], "handoff", handoff, none, none, kind, label))
+            .when(kind == "hidden", step(f["field_idx"], "skip", F.lit("hidden_field"), none, none, kind, label))
+            .when(safe & given & sid.isNotNull(), step(f["field_idx"], "auto_fill", F.lit("safe_field"), sid, value, kind, label))
+            .when(safe & needed & ~given, ask("missing_profile_value"))
+            .when(~safe, ask("ambiguous_field"))
+            .when(sid.isNotNull(), ask("unclassified_field"))
+        )
+
+    by_field = F.filter(F.transform(F.arrays_zip("fields", "links"), of_field), lambda x: x.isNotNull())
+    may_submit = F.lit(auto_submit) & ~F.exists("__steps", lambda x: x["action"] == "handoff") & F.col("submit").isNotNull()
+    with_submit = F.when(may_submit, F.concat("__steps", F.array(step(F.lit(10**9), "submit", F.lit("form_submit"), F.col("submit"))))).otherwise(F.col("__steps"))
+    steps = (
+        F.when(F.size("blockers") > 0, F.transform("blockers", lambda x, i: step(i, "handoff", x["reason"], x["sid"])))
+        .when(F.coalesce("formless", F.lit(True)), F.array(step(F.lit(0), "handoff", F.lit("no_forms"))))
+        .otherwise(with_submit)
     )
-    safe = kind.isin(*SAFE)
-    step = (
-        F.when(handoff.isNotNull(), F.struct(F.lit("handoff").alias("action"), handoff.alias("reason")))
-        .when(kind == "hidden", F.struct(F.lit("skip").alias("action"), F.lit("hidden_field").alias("reason")))
-        .when(safe & given & sid.isNotNull(), F.struct(F.lit("auto_fill").alias("action"), F.lit("safe_field").alias("reason")))
-        .when(safe & needed & ~given, F.struct(F.lit("ask").alias("action"), F.lit("missing_profile_value").alias("reason")))
-        .when(~safe, F.struct(F.lit("ask").alias("action"), F.lit("ambiguous_field").alias("reason")))
-        .when(sid.isNotNull(), F.struct(F.lit("ask").alias("action"), F.lit("unclassified_field").alias("reason")))
-    )
-    rows = linked.withColumn("__s", step).filter("__s is not null").withColumn("value", value)
-    shown = F.coalesce(F.when(F.col("label") != "", F.col("label")), F.col("name"), kind)
-    asks = F.col("__s.action") == "ask"
-    steps = rows.select("page_id", F.col("field_idx").cast("long").alias("place"), "__s.action", "__s.reason", F.when(F.col("__s.action").isin("auto_fill", "ask"), sid).alias("sid"), F.when(F.col("__s.action") == "auto_fill", F.col("value")).alias("value"), "kind", shown.alias("label"), F.when(asks, F.format_string("form%d_field%d", "form_idx", "field_idx")).alias("question_id"))
-    out = stop.union(formless).union(steps)
-    if auto_submit:
-        clear = steps.groupBy("page_id").agg(F.max((F.col("action") == "handoff").cast("int")).alias("h"))
-        may = free.join(with_form, "page_id", "left_semi").join(clear, "page_id", "left").filter("coalesce(h, 0) = 0").select("page_id")
-        used = linked.select("page_id", "sid").filter("sid is not null")
-        button = submit_action(fields, acts, used, form_idx=form_idx).join(may, "page_id", "left_semi")
-        out = out.union(button.select("page_id", F.lit(10**9).cast("long").alias("place"), F.lit("submit").alias("action"), F.lit("form_submit").alias("reason"), "sid", *[none.alias(c) for c in ("value", "kind", "label", "question_id")]))
-    return out
-
-
-def submit_action(fields: DataFrame, acts: DataFrame, used: DataFrame, *, form_idx: int = 0) -> DataFrame:
-    """Per page the action that submits the form: like one of its submit fields, else the first button that says so."""
-    from ..functions.similarity import text_ratio
-
-    free = acts.withColumn("ablob", _blob("label", "placeholder")).join(used.withColumnRenamed("sid", "id"), ["page_id", "id"], "left_anti")
-    own = fields.filter((F.col("form_idx") == form_idx) & (F.col("type").isin("submit", "button") | (F.col("tag") == "button")))
-    own = own.select("page_id", "field_idx", _blob("label").alias("blob"))
-    kind = F.lower(F.coalesce("type", F.lit("")))
-    like = own.join(free.filter(kind.isin("button", "input[submit]")), "page_id").filter(text_ratio(F.col("blob"), F.col("ablob")) >= SUBMIT_LIKE)
-    like = like.select("page_id", F.col("field_idx").cast("long").alias("a"), F.col("pos").cast("long").alias("b"), "id")
-    said = F.lit(False)
-    for word in SUBMIT_WORDS:
-        said |= F.contains(F.col("ablob"), F.lit(word))
-    named = free.filter((kind == "button") & said).select("page_id", F.lit(10**9).cast("long").alias("a"), F.col("pos").cast("long").alias("b"), "id")
-    return like.union(named).groupBy("page_id").agg(F.min_by("id", F.struct("a", "b")).alias("sid"))
+    return rows.withColumn("__steps", by_field).select("page_id", F.explode(steps).alias("s")).select("page_id", "s.*")
 
 
 def summarize(steps: DataFrame) -> DataFrame:
