@@ -108,8 +108,10 @@ def actions(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] =
     kind = F.when(F.col("tag") == "input", F.concat(F.lit("input["), F.coalesce(a["type"], F.lit("text")), F.lit("]"))).otherwise(F.col("tag"))
     group = F.coalesce(F.try_element_at(F.filter(F.transform("sections", section_name), lambda n: n.isNotNull()), F.lit(1)), F.lit("Page"))
     rows = raw.select(*keep, "pos", F.col("pos").cast("string").alias("id"), kind.alias("type"), blank_to_null(F.substring(label(a, F.col("content")), 1, 100)).alias("label"), *[blank_to_null(a[k]).alias(n) for k, n in (("href", "href"), ("placeholder", "placeholder"), ("data-sw-bind", "bind_id"))], group.alias("group"))
-    first = F.min("pos").over(Window.partitionBy(*keep, "group"))
-    return rows.withColumn("__first", first).withColumn("grouped_pos", F.row_number().over(Window.partitionBy(*keep).orderBy("__first", "pos"))).drop("__first")
+    # The window by page comes first: rows dealt by page serve the windows by page and group too, so there is one shuffle.
+    page = Window.partitionBy(*keep)
+    rows = rows.withColumn("__n", F.count("*").over(page)).withColumn("__first", F.min("pos").over(Window.partitionBy(*keep, "group")))
+    return rows.withColumn("grouped_pos", F.row_number().over(page.orderBy("__first", "pos", "__n"))).drop("__n", "__first")
 
 
 def groups(acts: DataFrame, *, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
