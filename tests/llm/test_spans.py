@@ -63,3 +63,16 @@ def test_clean_documents_stay_whole_and_repeats_are_cut(spark):
     assert texts[101] == texts[102] == "Short. Line." and texts[104] is None and texts[103] == ""
     assert texts[105] == "" and texts[0] == dict(rows)[0]
     assert len(texts[100]) < len(dict(rows)[100])
+
+
+def test_passages_whose_edges_are_not_sentence_ends_are_found(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    one, two, tail = text(28), text(9), text(30)
+    passages = [f"{text(12)}. {one}. {text(14)}", f"{text(20)}. {two}. {text(8)}.\n{tail}", f"{text(10)}. {text(20)}. {text(10)}", f"{text(15)}. {text(55)}. {text(5)}"]
+    rows = [(10 * d + k, f"{text(30)} {p} {text(30)}.") for k, p in enumerate(passages) for d in (0, 1)]
+    out = spans.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = {r.doc_id: dict(rows)[r.doc_id][r.start : r.end] for r in out}
+    # The third is 40 words long only, the fourth holds a sentence of 55; nothing goes from any first copy.
+    assert gone == {10: one + ".", 11: two + ". " + " ".join(passages[1].split(". ")[2].split()[:8]), 13: passages[3].split(". ")[1] + "."}
+    assert all(r.first_doc_id == r.doc_id - 10 for r in out)
