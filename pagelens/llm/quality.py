@@ -6,7 +6,8 @@ current centre, estimate again, until the determinant stops falling; a last step
 document is kept if no base rule fails and its squared Mahalanobis distance is within the cutoff.
 
 All steps are grouped sums over all rows (combined before the shuffle), so a group that holds a third of the rows is
-never gathered. Small groups lean on their language: its scatter counts as `PRIOR_DOCS` documents.
+never gathered. Small groups lean on their language: its scatter counts as `PRIOR_DOCS` documents. A group, or language,
+without a row near enough for the last step has the centre and scatter of its language, or of the corpus.
 
 Defined results: NULL and empty texts have zero counts and fail the base rule; NULL languages and sources form their
 own groups; repeated rows are judged alike, each; an empty table gives an empty result; columns of the input that are
@@ -160,8 +161,8 @@ def _estimates(kept_share: float, cutoff: float):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                mean, own = scatter(r["n"], np.array(r["s"]), np.array(r["ss"]))
                 lean, wide = scatter(r["ln"], np.array(r["ls"]), np.array(r["lss"]))
+                mean, own = scatter(r["n"], np.array(r["s"]), np.array(r["ss"])) if r["n"] else (lean, np.zeros((P, P)))
                 weight = PRIOR_DOCS / (r["n"] + PRIOR_DOCS)
                 centre = (1 - weight) * mean + weight * lean
                 cov = (own + PRIOR_DOCS * wide / r["ln"]) / (r["n"] + PRIOR_DOCS) * truncated + np.diag(np.square(FLOORS))
@@ -172,6 +173,25 @@ def _estimates(kept_share: float, cutoff: float):
     return run
 
 
+def _last(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """The final (gk, centre, precision, logdet) of every group: the rows within NEAR of `params`, or the language's, or the corpus's, or all rows."""
+    x = [F.col("x")[i] for i in range(P)]
+    near = lookup_join(rows, params.select("gk", "centre", "precision"), "gk", "inner").withColumn("near", distance(x) <= NEAR)
+    of = lambda v: F.sum(F.when(F.col("near"), v).otherwise(F.lit(0.0)))
+    # A group without near rows stays, with n = 0.
+    sums = materialize(near.groupBy("gk", "lk").agg(of(F.lit(1.0)).alias("n"), F.array(*[of(v) for v in x]).alias("s"), F.array(*[of(x[i] * x[j]) for i, j in _PAIRS]).alias("ss")))
+    total = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
+    whole = [F.sum("n").alias("n"), total("s", P).alias("s"), total("ss", len(_PAIRS)).alias("ss")]
+    corpus = sums.agg(*whole).first()
+    if not corpus["n"]:
+        corpus = rows.agg(F.count("*").cast("double").alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i, j in _PAIRS]).alias("ss")).first()
+        if not corpus["n"]:
+            return params
+    lit = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    by_lang = sums.groupBy("lk").agg(*whole).select("lk", *[F.when(F.col("n") > 0, F.col(c)).otherwise(lit(corpus[c])).alias(f"l{c}") for c in ("n", "s", "ss")])
+    return materialize(sums.join(by_lang, "lk").mapInArrow(_estimates(0.975, NEAR), "gk string, centre array<double>, precision array<double>, logdet double"))
+
+
 def _fit(rows: DataFrame) -> DataFrame:
     """(gk, centre, precision, logdet) from the narrow rows (gk, lk, x); none if there are no rows."""
     x = [F.col("x")[i] for i in range(P)]
@@ -179,28 +199,19 @@ def _fit(rows: DataFrame) -> DataFrame:
     diagonal = F.array(*[1 / (F.col("spread")[i] ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0) for i, j in _PAIRS])
     params = materialize(start.select("gk", "centre", diagonal.alias("precision"), F.lit(0.0).alias("logdet")))
     before = None
-    for step in range(STEPS + 1):
-        last = step == STEPS
+    for step in range(STEPS):
         with_d = lookup_join(rows, params.select("gk", "centre", "precision"), "gk", "inner").withColumn("d", distance(x)).select("gk", "lk", "x", "d")
-        if last:
-            near, share, cutoff = with_d.filter(F.col("d") <= NEAR), 0.975, NEAR
-        else:
-            cuts = materialize(with_d.groupBy("gk").agg(F.percentile_approx("d", H, 2000).alias("cut")))
-            near, share, cutoff = lookup_join(with_d, cuts, "gk", "inner").filter("d <= cut"), H, chi2_quantile(1 - H, P)
+        cuts = materialize(with_d.groupBy("gk").agg(F.percentile_approx("d", H, 2000).alias("cut")))
+        near = lookup_join(with_d, cuts, "gk", "inner").filter("d <= cut")
         sums = materialize(near.groupBy("gk", "lk").agg(F.count("*").cast("double").alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i, j in _PAIRS]).alias("ss")))
         total = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
         by_lang = sums.groupBy("lk").agg(F.sum("n").alias("ln"), total("s", P).alias("ls"), total("ss", len(_PAIRS)).alias("lss"))
-        params = materialize(sums.join(by_lang, "lk").mapInArrow(_estimates(share, cutoff), "gk string, centre array<double>, precision array<double>, logdet double"))
-        if last:
-            return params
+        params = materialize(sums.join(by_lang, "lk").mapInArrow(_estimates(H, chi2_quantile(1 - H, P)), "gk string, centre array<double>, precision array<double>, logdet double"))
         now = params.agg(F.sum("logdet"), F.count("*")).first()
         if before is not None and (before - (now[0] or 0.0)) <= SETTLED * max(1, now[1]) and step < STEPS - 1:
-            near = lookup_join(rows, params.select("gk", "centre", "precision"), "gk", "inner").withColumn("d", distance(x)).filter(F.col("d") <= NEAR)
-            sums = materialize(near.groupBy("gk", "lk").agg(F.count("*").cast("double").alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i, j in _PAIRS]).alias("ss")))
-            by_lang = sums.groupBy("lk").agg(F.sum("n").alias("ln"), total("s", P).alias("ls"), total("ss", len(_PAIRS)).alias("lss"))
-            return materialize(sums.join(by_lang, "lk").mapInArrow(_estimates(0.975, NEAR), "gk string, centre array<double>, precision array<double>, logdet double"))
+            break
         before = now[0] or 0.0
-    return params
+    return _last(rows, params)
 
 
 def _judged(rows: DataFrame) -> DataFrame:

@@ -52,3 +52,16 @@ def test_the_filter_keeps_columns_whatever_their_names(spark):
     assert kept.schema == docs.schema
     want = {r.doc_id for r in quality.quality_rows(docs).filter("kept").collect()}
     assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_a_group_without_near_rows_is_judged_by_its_language(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    clean = lambda n: ". ".join(" ".join(word() for _ in range(9)).capitalize() for _ in range(n)) + "."
+    rows = [(k, clean(rng.randint(10, 60)), "en", f"s{k % 2}") for k in range(240)]
+    junk = clean(60).replace(" ", " $$$$ |||| ")
+    rows += [(1000, junk, "en", "s0"), (1001, junk, "en", "alone")]
+    out = {r.doc_id: r for r in quality.quality_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not out[1000].base_failed and not out[1000].kept
+    assert out[1001].distance is not None and not out[1001].kept
+    assert sum(out[k].kept for k in range(240)) >= 238
