@@ -2,7 +2,8 @@
 
 Four kinds of evidence meet in one posterior per text: the likelihood of its byte trigrams, the language that its markup
 (or its record) declares, the suffix of its address, and a prior from its host. The trigram model is fitted on a sample
-of labelled texts (about `sample_docs` of them, chosen by hash; whole texts). Everything else is counted over all rows:
+of labelled texts (about `sample_docs` of them, and LEAST_DOCS of every language where it has so many, chosen by hash;
+whole texts); its languages are all those of the table. Everything else is counted over all rows:
 how often each declared language and each suffix goes with each language, and how many texts of each language a host, its
 registered domain and the whole corpus have. Host priors are smoothed towards the domain, and that towards the corpus,
 by Dirichlet counts; a text's own share is taken out of its host's counts before.
@@ -36,6 +37,8 @@ EFFECTIVE = 40.0
 HOST_PRIOR, DOMAIN_PRIOR, LABEL_PRIOR = 8.0, 20.0, 5.0
 #: Labelled texts that the trigram model is fitted on, about.
 SAMPLE_DOCS = 6_000
+#: Of these, about so many of each language at least.
+LEAST_DOCS = 200
 
 _HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
 _DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?\s*([A-Za-z]{2,3})""", re.IGNORECASE)
@@ -89,12 +92,18 @@ class TrigramModel:
 
 
 def fit_trigrams(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> TrigramModel:
-    """The model from about `sample_docs` of the rows with a language, chosen by a hash of the whole row."""
-    rows = labelled.select(column_or_null(labelled, lang_col, "string").alias("lang"), column_or_null(labelled, text_col, "string").alias("text")).filter("lang is not null")
-    share = min(1.0, sample_docs / max(1, rows.count()))
-    sample = rows.filter(F.pmod(F.xxhash64("lang", "text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
+    """The model of all languages of the table, from about `sample_docs` of its rows and LEAST_DOCS of each language, chosen by a hash of the whole row."""
+    whole = [F.col(f"`{f.name}`") for f in labelled.schema.fields if "map<" not in f.dataType.simpleString()]
+    place = F.pmod(F.xxhash64(*whole), F.lit(1_000_000_000)).alias("place")
+    rows = labelled.select(column_or_null(labelled, lang_col, "string").alias("lang"), column_or_null(labelled, text_col, "string").alias("text"), place).filter("lang is not null")
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).collect()
+    langs = sorted(r.lang for r in found)
+    total = sum(r.n for r in found)
+    share = lambda n: min(1.0, max(sample_docs / total, LEAST_DOCS / n))
+    # The row that hashes to the least is always taken, so no language is without a text.
+    bounds = labelled.sparkSession.createDataFrame([(r.lang, max(int(share(r.n) * 1_000_000_000), r.least)) for r in found], "lang string, bound long")
+    sample = rows.join(F.broadcast(bounds), "lang").filter("place <= bound").select("lang", "text")
     counted = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counted["lang"].unique())
     logs = np.full((BUCKETS, len(langs)), TRIGRAM_PRIOR)
     for k, lang in enumerate(langs):
         own = counted[counted["lang"] == lang]

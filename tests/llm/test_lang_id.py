@@ -33,3 +33,13 @@ def test_documents_and_empty_cases(spark):
     assert lang_id.identify_documents(docs.limit(0), model).count() == 0
     unfitted = lang_id.fit_trigrams(_labelled(spark).limit(0))
     assert {r.lang for r in lang_id.identify_documents(docs, unfitted).collect()} == {None}
+
+
+def test_a_rare_language_is_in_the_model_of_a_large_table(spark):
+    fi = "nopea ruskea kettu hyppää laiskan koiran yli ja sitten koira oli talossa muiden eläinten kanssa "
+    many = spark.range(20_000).selectExpr("concat('the quick brown fox and the dog of the house number ', id) AS text", "'en' AS lang", "id AS doc_id")
+    few = spark.createDataFrame([(fi, "fi", 50_000), (fi, "fi", 50_001), (None, "xx", 50_002)], "text string, lang string, doc_id long")
+    model = lang_id.fit_trigrams(many.unionByName(few), sample_docs=100)
+    assert model.langs == ["en", "fi", "xx"]
+    docs = spark.createDataFrame([(1, "kettu ja koira olivat talossa", None, "s")], "doc_id long, text string, lang string, source string")
+    assert [r.text_lang for r in lang_id.identify_documents(docs, model).collect()] == ["fi"]
