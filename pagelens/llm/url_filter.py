@@ -23,7 +23,7 @@ from .common import column_or_null, lookup_join, materialize
 
 #: The rules as (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Segments that may become *, from the root on.
+#: Levels of the SQL below. The operator itself goes on to the deepest level that can have a variable segment.
 DEPTHS = 3
 #: Different children of a parent, and their share of its urls, from which on children are variable.
 MANY, NEW_SHARE = 20, 0.3
@@ -52,7 +52,10 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 def _templates(shapes: DataFrame) -> DataFrame:
     """(id, template, labelled, blocked) from counts (id, host, shape, n, labelled, blocked) per host and path shape."""
     tree = shapes.withColumn("seg", F.split("shape", "/")).withColumn("prefix", F.col("host"))
-    for depth in range(1, DEPTHS + 1):
+    depth = 0
+    # A parent has no more children than path shapes that go on: where none has MANY of these, nothing further down is variable.
+    while not tree.filter(F.size("seg") > depth + 1).groupBy(F.md5("prefix")).count().filter(F.col("count") >= MANY).isEmpty():
+        depth += 1
         here = F.try_element_at("seg", F.lit(depth + 1))
         tree = materialize(tree.withColumn("here", here).withColumn("parent", F.md5("prefix")))
         # Children first, then parents: a parent with any number of children is summed before it is shuffled.
@@ -62,8 +65,8 @@ def _templates(shapes: DataFrame) -> DataFrame:
         tree = lookup_join(tree, wide, "parent", spread=F.xxhash64("id"))
         step = F.when(F.col("wide") & F.col("here").isNotNull(), F.lit("*")).otherwise(F.col("here"))
         tree = tree.withColumn("prefix", F.when(step.isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), step))).drop("here", "wide", "parent")
-    tail = F.array_join(F.slice("seg", DEPTHS + 2, 100000), "/")
-    return materialize(tree.withColumn("template", F.when(F.size("seg") > DEPTHS + 1, F.concat("prefix", F.lit("/"), tail)).otherwise(F.col("prefix"))).select("id", "host", "template", "labelled", "blocked"))
+    tail = F.array_join(F.slice("seg", depth + 2, F.greatest(F.size("seg"), F.lit(1))), "/")
+    return materialize(tree.withColumn("template", F.when(F.size("seg") > depth + 1, F.concat("prefix", F.lit("/"), tail)).otherwise(F.col("prefix"))).select("id", "host", "template", "labelled", "blocked"))
 
 
 def _purity(named: DataFrame) -> DataFrame:

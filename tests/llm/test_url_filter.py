@@ -52,3 +52,14 @@ def test_sql_says_the_same(spark, sf_dir):
 
 def test_empty(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_the_verdict_does_not_hang_on_the_depth(spark):
+    slug = lambda k: "".join(chr(97 + (k * 7 + i * (k % 5 + 1)) % 26) for i in range(6))
+    for deep in ("", "a/b/", "a/b/c/d/e/"):
+        rows = [(k, f"http://x.net/es/{deep}{slug(k)}") for k in range(40)]  # a rule blocks them
+        rows += [(100 + k, f"http://x.net/ES/{deep}{slug(k)}") for k in range(5)] + [(200, "http://x.net/1" + "/z" * 500)]
+        out = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+        assert {out[100 + k].template for k in range(5)} == {f"x.net/es/{deep}*"}
+        assert all(out[100 + k].rule is None and out[100 + k].verdict == "block" for k in range(5))
+        assert out[200].template == "x.net/{n}" + "/z" * 500 and out[200].verdict == "allow"
