@@ -31,21 +31,47 @@ def _texts():
     return rows
 
 
+def _similar(a, b):
+    """Words under the best rising chain of equal five-word runs, by a plain table; the k-th equal run of one text only meets the k-th of the other."""
+
+    def runs(w):
+        seen = defaultdict(int)
+        out = []
+        for i in range(len(w) - 4):
+            run = tuple(w[i : i + 5])
+            out.append((run, seen[run]))
+            seen[run] += 1
+        return out
+
+    at = {run: j for j, run in enumerate(runs(b))}
+    pairs = [(i, at[run]) for i, run in enumerate(runs(a)) if run in at]
+    best = []  # (length, words under it in a, in b) of the best chain that ends in each pair
+    for q, (i, j) in enumerate(pairs):
+        options = [(1, 5, 5)]
+        for (n, x, y), (i2, j2) in zip(best, pairs[:q], strict=True):
+            if j2 < j:
+                options.append((n + 1, x + min(5, i - i2), y + min(5, j - j2)))
+        best.append(max(options))
+    covered = max((min(x, y) for _, x, y in best), default=0)
+    return covered / (len(a) + len(b) - covered)
+
+
 def brute(rows):
-    ids = [(d, near_dups.word_ids(t)) for d, t in rows]
-    parent = {d: d for d, _ in ids}
+    """Classes by comparing every two texts, with words and similarity written anew."""
+    words = [(d, "".join(c if c.isalnum() or c == "_" else " " for c in (t or "").lower()).split()) for d, t in rows]
+    parent = {d: d for d, _ in words}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i, (d, a) in enumerate(ids):
-        for e, b in ids[:i]:
-            if a.tobytes() == b.tobytes() or near_dups.alignment(a, b) >= 0.8:
+    for i, (d, a) in enumerate(words):
+        for e, b in words[:i]:
+            if a == b or min(len(a), len(b)) >= 5 and _similar(a, b) >= 0.8:
                 x, y = sorted((root(d), root(e)))
                 parent[y] = x
-    return {d: root(d) for d, _ in ids}
+    return {d: root(d) for d, _ in words}
 
 
 def test_classes_match_brute_force(spark):
@@ -60,6 +86,33 @@ def test_classes_match_brute_force(spark):
     assert all(r.keeper == (r.doc_id == r.class_id) for r in out)
 
 
+def test_a_crowded_bucket_costs_no_link_of_a_small_one(spark):
+    rng = random.Random(9)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    near = text(100)
+    other = [*near[:50], "changed", *near[51:]]
+    sigs = {1: ([7, 8], near), 2: ([7], other), 0: ([7], text(100))}  # the hub of bucket 7 is like neither
+    sigs |= {10 + i: ([8], text(100)) for i in range(20)}  # bucket 8 is crowded with unlike texts
+    rows = [(node, len(words), sig, bytearray(near_dups.word_ids(" ".join(words)).tobytes())) for node, (sig, words) in sigs.items()]
+    nodes = near_dups.materialize(spark.createDataFrame(rows, "node long, n int, sig array<long>, seq binary"))
+    assert [(r.a, r.b) for r in near_dups.links(nodes).collect()] == [(1, 2)]
+
+
+def test_all_links_of_crowded_buckets_are_found(spark):
+    """Unlike texts around one long passage, most pairs of which are near the threshold, against all pairs."""
+    rng = random.Random(4)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = text(70)
+    texts = [[*passage, *text(rng.randrange(2, 40))] for _ in range(40)]
+    texts += [[*t[:75], "other", *t[76:]] for t in texts[:15]]
+    rows = [(node, len(words), [5], bytearray(near_dups.word_ids(" ".join(words)).tobytes())) for node, words in enumerate(texts)]
+    nodes = near_dups.materialize(spark.createDataFrame(rows, "node long, n int, sig array<long>, seq binary"))
+    found = near_dups.connected_components(near_dups.links(nodes).select("a", "b"))
+    got = {r.node: r.comp for r in found.collect()}
+    want = brute([(i, " ".join(t)) for i, t in enumerate(texts)])
+    assert {i: got.get(i, i) for i in range(len(texts))} == want
+
+
 def test_the_filter_keeps_one_of_each_class(spark):
     rows = [(None, "same words here", "a"), (None, "same words here", "a"), (4, "same words here", "b"), (5, "other", "c"), (5, "other", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, th string")
@@ -68,8 +121,27 @@ def test_the_filter_keeps_one_of_each_class(spark):
     assert sorted((r.doc_id, r.th) for r in out.collect()) == [(4, "b"), (5, "c")]
 
 
+def test_recall_of_planted_near_copies(spark):
+    """Copies with 1 to 6 % of their words changed are found, be they in short or long texts."""
+    rng = random.Random(3)
+    docs, kin = [], {}
+    for base in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((60, 150, 400)))]
+        docs.append((base, " ".join(words)))
+        for c in range(2):
+            near = [f"x{rng.randrange(3000)}" if rng.random() < rng.uniform(0.01, 0.06) else w for w in words]
+            docs.append((1000 + 10 * base + c, " ".join(near)))
+            kin[1000 + 10 * base + c] = base
+    out = {r.doc_id: r.class_id for r in near_dups.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(out[d] == b for d, b in kin.items()) >= 0.95 * len(kin)
+    assert len({out[b] for b in range(60)}) == 60
+
+
 def test_alignment_counts_order():
     a = near_dups.word_ids(" ".join(f"w{i}" for i in range(100)))
     b = near_dups.word_ids(" ".join([f"w{i}" for i in range(50, 100)] + [f"w{i}" for i in range(50)]))
     assert near_dups.alignment(a, a) == 1.0
     assert near_dups.alignment(a, b) < 0.8
+    one = a.copy()
+    one[40] = 7
+    assert near_dups.alignment(a, one) == 99 / 101
