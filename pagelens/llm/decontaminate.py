@@ -7,17 +7,21 @@ fits into one of them whole. A passage whose greatest possible score in every bl
 run block-max WAND over the blocks left, which returns all items above THRESHOLD. An item found so is verified: enough
 of the three-word shingles of its question and of its answer must stand in the passage.
 
-The index is held by every Python worker; it is built from at most SEGMENT_CHARS of item text at a time, and more items
-than that make more segments, each searched in turn (each with word weights of its own).
+The index is held by every Python worker, so it has about SEGMENT_CHARS of item text; more items than that make more
+indexes, and each is searched by all texts in a pass of its own. Word weights, mean length and the length of passages
+are those of all items, so scores and hits are the same however many indexes there are.
 
-Defined results: NULL and empty texts have no passages; NULL and wordless items match nothing; repeated rows and items
-are each reported; an empty table, of either kind, gives an empty result.
+Defined results: NULL and empty texts have no passages; items with NULL or wordless texts match nothing; an item with a
+NULL item_id is found and reported as any other; repeated rows and items are each reported; an empty table, of either
+kind, gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_or_null, lower_batches
+from .common import column_or_null, drop_rows, materialize, nested, unnested
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -39,6 +43,8 @@ SHINGLE = 3
 PASSAGE = 64
 #: Items of a block, unless the table of block bounds would have more than CELLS cells.
 BLOCK, CELLS = 2, 16_000_000
+#: Cells of that table that a text looks at in one go.
+SLAB = 4_000_000
 SEGMENT_CHARS = 8_000_000
 
 
@@ -64,25 +70,36 @@ class _Vocabulary(dict):
         return -1
 
 
+@dataclass
+class Counts:
+    """Of all items: how many, their mean and greatest length, and how many hold each word."""
+
+    n: int
+    mean: float
+    longest: int
+    holders: dict[str, int]
+
+
 class Index:
-    """Postings, block bounds and shingles of the items (id, question words, answer words)."""
+    """Postings, block bounds and shingles of the items (id, question words, answer words), which may be some of all those counted."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]]) -> None:
-        items = sorted((x for x in items if x[1] or x[2]), key=lambda x: (len(x[1]) + len(x[2]), x[0]))
+    def __init__(self, items: list[tuple[int | None, list[str], list[str]]], of_all: Counts | None = None) -> None:
+        items = sorted((x for x in items if x[1] or x[2]), key=lambda x: (len(x[1]) + len(x[2]), x[0] is None, x[0] or 0))
         self.ids = [x[0] for x in items]
         self.parts = [(shingle_set(q), shingle_set(a)) for _, q, a in items]
         self.vocabulary = _Vocabulary()
         counts = [Counter(q + a) for _, q, a in items]
         sizes = [sum(c.values()) for c in counts]
         n = len(items)
-        mean = sum(sizes) / max(1, n)
-        holders = Counter(w for c in counts for w in c)
-        for word in sorted(holders):
+        own = Counter(w for c in counts for w in c)
+        of_all = of_all or Counts(n, sum(sizes) / max(1, n), max(sizes, default=0), own)
+        mean = of_all.mean
+        for word in sorted(own):
             self.vocabulary[word] = len(self.vocabulary)
-        idf = {w: float(np.log1p((n - d + 0.5) / (d + 0.5))) for w, d in holders.items()}
-        self.block = max(BLOCK, -(-n * max(1, len(holders)) // CELLS))
+        idf = {w: float(np.log1p((of_all.n - of_all.holders[w] + 0.5) / (of_all.holders[w] + 0.5))) for w in own}
+        self.block = max(BLOCK, -(-n * max(1, len(own)) // CELLS))
         self.blocks = -(-n // self.block)
-        self.bounds = np.zeros((len(holders) + 1, self.blocks), np.float32)  # the last row is for words in no item
+        self.bounds = np.zeros((len(own) + 1, self.blocks), np.float32)  # the last row is for words in no item
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for at, (c, size) in enumerate(zip(counts, sizes, strict=True)):
             weights = {self.vocabulary[w]: idf[w] * k * (K1 + 1) / (k + K1 * (1 - B + B * size / mean)) for w, k in c.items()}
@@ -93,7 +110,7 @@ class Index:
         self.items = {t: np.array([p[0] for p in ps]) for t, ps in postings.items()}
         self.weights = {t: np.array([p[1] for p in ps]) for t, ps in postings.items()}
         self.most = self.bounds.max(axis=1, initial=0.0).tolist()
-        self.window = 2 * max([PASSAGE // 2, *sizes])
+        self.window = 2 * max(PASSAGE // 2, of_all.longest)
 
     def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """Every (item, score) with score >= least for the distinct terms, by block-max WAND."""
@@ -142,10 +159,20 @@ class Index:
         pairs = np.unique(at // stride * terms + ids[at])
         half, term = pairs // terms, pairs % terms
         halves = -(-n // stride)
-        sums = np.zeros((halves + 1, self.blocks), np.float32)
-        present, first = np.unique(half, return_index=True)
-        sums[present] = np.add.reduceat(self.bounds[term], first, axis=0)
-        best = (sums[:-1] + sums[1:]).max(axis=1)
+        edge = np.searchsorted(half, np.arange(halves + 1))
+        best = np.zeros(halves, np.float32)
+        before = np.zeros((1, self.blocks), np.float32)  # the half before the slab
+        at, most = 0, max(1, SLAB // max(1, self.blocks))
+        while at < halves:
+            end = min(at + most, max(at + 1, int(np.searchsorted(edge, edge[at] + most, "right")) - 1), halves)
+            sums = np.zeros((end - at, self.blocks), np.float32)
+            if edge[at] < edge[end]:
+                present, first = np.unique(half[edge[at] : edge[end]], return_index=True)
+                sums[present - at] = np.add.reduceat(self.bounds[term[edge[at] : edge[end]]], first, axis=0)
+            sums = np.concatenate([before, sums])
+            best[max(at - 1, 0) : end - 1] = (sums[:-1] + sums[1:]).max(axis=1)[int(at == 0) :]
+            before, at = sums[-1:], end
+        best[-1] = before.max(initial=0.0)
         return [(k * stride, min(n, (k + 2) * stride)) for k in np.flatnonzero(best >= THRESHOLD - 1e-4).tolist() if k + 1 < halves or halves == 1]
 
     def hits(self, text: str | None) -> dict[int, tuple[float, float, float, int]]:
@@ -184,17 +211,35 @@ class Index:
 _HIT = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("question_overlap", T.DoubleType()), T.StructField("answer_overlap", T.DoubleType()), T.StructField("word", T.IntegerType())]))
 
 
-def _segments(items: DataFrame, id_col: str, text_col: str, question_col: str | None, answer_col: str | None) -> list[Index]:
-    """One index for each SEGMENT_CHARS of item text."""
-    rows = items.select(column_or_null(items, id_col, "long").alias("id"), column_or_null(items, text_col, "string").alias("text"), column_or_null(items, question_col, "string").alias("q"), column_or_null(items, answer_col, "string").alias("a"))
-    size = rows.agg(F.sum(F.length(F.concat_ws(" ", "text", "q", "a")))).first()[0] or 0
-    parts = -(-size // SEGMENT_CHARS) or 1
-    out = []
+_WORDS = "uid long, id long, q array<string>, a array<string>, chars long"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (uid, id, text, q, a) to the words of question and answer; items without a word are left out."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            q, a = (words_of(r["q"]), words_of(r["a"])) if r["q"] is not None else split_item(r["text"] or "")
+            if q or a:
+                out.append({"uid": r["uid"], "id": r["id"], "q": q, "a": a, "chars": sum(map(len, q)) + sum(map(len, a))})
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("uid", pa.int64()), ("id", pa.int64()), ("q", pa.list_(pa.string())), ("a", pa.list_(pa.string())), ("chars", pa.int64())]))
+
+
+def indexes(items: DataFrame, id_col: str, text_col: str, question_col: str | None, answer_col: str | None) -> Iterator[tuple[Index, bool]]:
+    """(index, whether it is the only one) of about SEGMENT_CHARS of item text each, one after the other, with the statistics of all items."""
+    cols = [column_or_null(items, id_col, "long").alias("id"), column_or_null(items, text_col, "string").alias("text"), column_or_null(items, question_col, "string").alias("q"), column_or_null(items, answer_col, "string").alias("a")]
+    rows = materialize(items.select(*cols).withColumn("uid", F.monotonically_increasing_id()).select("uid", "id", "text", "q", "a").mapInArrow(_cut, _WORDS))
+    words = F.concat("q", "a")
+    n, mean, longest, chars = rows.agg(F.count("*"), F.avg(F.size(words)), F.max(F.size(words)), F.sum("chars")).first()
+    holders = materialize(rows.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count("*").alias("df")))
+    parts = -(-(chars or 0) // SEGMENT_CHARS) or 1
+    # Row ids deal the items out evenly, whatever repeats among them.
+    parted = rows.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)).cast("int"))
     for k in range(parts):
-        part = rows.filter(F.pmod(F.xxhash64("id", "text", "q", "a"), F.lit(parts)) == k) if parts > 1 else rows
-        held = [(r.id, words_of(r.q), words_of(r.a)) if r.q is not None else (r.id, *split_item(r.text or "")) for r in part.collect()]
-        out.append(Index([(i, q, a) for i, q, a in held if i is not None]))
-    return out
+        own = parted.filter(F.col("part") == k)
+        held = [(r.id, r.q, r.a) for r in own.select("uid", "id", "q", "a").orderBy("uid").collect()]
+        known = own.select(F.explode(words).alias("word")).distinct().join(holders, "word").collect()
+        yield Index(held, Counts(n, mean or 0.0, longest or 0, {r.word: r.df for r in known})), parts == 1
 
 
 def _finder(held):
@@ -209,23 +254,30 @@ def _finder(held):
     return find
 
 
-def hits(docs: DataFrame, items: DataFrame, text: Column, *, item_id_col: str = "item_id", item_text_col: str = "text", question_col: str | None = None, answer_col: str | None = None) -> Column:
+def _hits(docs: DataFrame, index: Index, text: Column) -> Column:
     """A column of docs: the array of verified (item, score, question_overlap, answer_overlap, word) of each text."""
-    spark = docs.sparkSession
-    lower_batches(spark)
-    out = F.array().cast("array<struct<item:bigint,score:double,question_overlap:double,answer_overlap:double,word:int>>")
-    for index in _segments(items, item_id_col, item_text_col, question_col, answer_col):
-        out = F.concat(out, F.arrow_udf(_finder(spark.sparkContext.broadcast(index)), _HIT)(text))
-    return out
-
-
-def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **item_cols: str) -> DataFrame:
-    """One row per (document, test item found in it): score, overlaps, and the word at which the passage starts. One pass, no shuffle."""
-    rows = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), hits(docs, items, column_or_null(docs, text_col, "string"), **item_cols).alias("h"))
-    return rows.select("doc_id", F.explode("h").alias("h")).select("doc_id", F.col("h.item").alias("item_id"), "h.score", "h.question_overlap", "h.answer_overlap", F.col("h.word").alias("passage_word"))
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **item_cols: str) -> DataFrame:
-    """docs without those in which a test item was found; all columns. One pass, no shuffle."""
-    found = docs.withColumn("__hits", hits(docs, items, column_or_null(docs, text_col, "string"), **item_cols))
-    return found.filter(F.size("__hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return F.arrow_udf(_finder(docs.sparkSession.sparkContext.broadcast(index)), _HIT)(text)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", question_col: str | None = None, answer_col: str | None = None) -> DataFrame:
+    """One row per (document, test item found in it): score, overlaps, and the word at which the passage starts. A pass for each index, no shuffle of docs."""
+    out = None
+    for index, _ in indexes(items, item_id_col, item_text_col, question_col, answer_col):
+        rows = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), _hits(docs, index, column_or_null(docs, text_col, "string")).alias("h"))
+        found = materialize(rows.select("doc_id", F.explode("h").alias("h")))
+        out = found if out is None else out.unionByName(found)
+    return out.select("doc_id", F.col("h.item").alias("item_id"), "h.score", "h.question_overlap", "h.answer_overlap", F.col("h.word").alias("passage_word"))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", question_col: str | None = None, answer_col: str | None = None) -> DataFrame:
+    """docs without those in which a test item was found; all columns. One pass where one index holds all items, else a pass for each over docs, written once."""
+    rows = gone = None
+    for index, alone in indexes(items, item_id_col, item_text_col, question_col, answer_col):
+        if alone:
+            found = docs.select(nested(docs), _hits(docs, index, column_or_null(docs, text_col, "string")).alias("__hits"))
+            return materialize(found.filter(F.size("__hits") == 0).select("__row")).select(*unnested(docs))
+        if rows is None:
+            rows = materialize(docs.select(nested(docs), column_or_null(docs, text_col, "string").alias("__text")).withColumn("__uid", F.monotonically_increasing_id()))
+        found = materialize(rows.select("__uid", _hits(rows, index, F.col("__text")).alias("h")).filter(F.size("h") > 0).select("__uid"))
+        gone = found if gone is None else gone.unionByName(found)
+    return drop_rows(rows, materialize(gone.distinct())).select(*unnested(docs))
