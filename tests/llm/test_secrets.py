@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from pagelens.llm import secrets
 
@@ -50,3 +52,37 @@ def test_owner_specific_keys_become_spans_and_copied_ones_do_not(spark):
     out = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, repo string"), repo_col="repo").collect()}
     assert out[1].spans == f"live:5:{5 + len(KEY)}" and out[1].n_owner_specific == 1
     assert out[10].spans == "" and out[10].n_examples == 1 and out[10].most_owners == 4
+
+
+def test_a_value_in_many_repositories_of_one_owner_is_an_example(spark):
+    rows = [(k, f"pasted {KEY}", "a", f"a/{k}") for k in range(4)] + [(10, f"mine {KEY[:-1]}z", "a", "a/1")]
+    out = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, repo string"), repo_col="repo").collect()}
+    assert all(out[k].spans == "" and out[k].n_examples == 1 and (out[k].most_owners, out[k].most_repos) == (1, 4) for k in range(4))
+    assert out[10].spans == f"live:5:{5 + len(KEY)}"
+
+
+def _plain(text):
+    """New candidates by comparing every match with every span taken so far."""
+    base, taken = secrets.base_spans(text), []
+    for pattern in (secrets.FORMATS, secrets.TOKEN):
+        for m in pattern.finditer(text):
+            mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and secrets.entropy(m[0]) >= secrets.LEAST_ENTROPY
+            if (pattern is secrets.FORMATS or mixed) and all(m.end() <= s or e <= m.start() for s, e in [(s, e) for s, _, e in base] + taken):
+                taken.append((m.start(), m.end()))
+    return taken
+
+
+def test_new_spans_never_meet_others():
+    rng = random.Random(1)
+    pieces = [KEY, "token=", "AKIA" + "B2" * 9, "deadbeef" * 4, "://user:pass99@host", "eyJ" + "aB3" * 5 + "." + "cD4" * 5 + "." + "eF5" * 5, " ", "x", "/", "password: 'hunter22'"]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        assert [(s, e) for s, e, _, new, _ in secrets.candidates(text, secrets.base_spans(text)) if new] == _plain(text)
+
+
+def test_dense_texts_take_linear_time():
+    began = time.monotonic()
+    for text in ("token=abcdef123 " + KEY + " ", "eyJaaaaaaaaaaaa", "eyJaaaaaaaa.", "AKIA"):
+        whole = text * (2_000_000 // len(text))
+        secrets.candidates(whole, secrets.base_spans(whole))
+    assert time.monotonic() - began < 60
