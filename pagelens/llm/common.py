@@ -31,9 +31,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one if all runs in this process, as in tests; else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or _folders.get("base")
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _folders.setdefault("base", tempfile.mkdtemp(prefix="pagelens-"))
     run = f"{base.rstrip('/')}/pagelens-{spark.sparkContext.applicationId}"
     if run not in _folders:
@@ -61,13 +63,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
         spark.conf.set(key, before)
 
 
-def lower_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's batch size for Python to `rows`, for operators whose result is computed later, by the caller."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def materialize(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: lineage ends here, and lost executors lose nothing.
 
@@ -114,6 +109,16 @@ def release(spark: SparkSession, paths: list[str]) -> None:
             _written.remove(path)
 
 
+def nested(docs: DataFrame) -> Column:
+    """All columns of docs in the struct __row, beside which no name of an operator's own can clash with one of theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+
+
+def unnested(docs: DataFrame) -> list[Column]:
+    """The columns of docs out of __row."""
+    return [F.col("__row").getField(c).alias(c) for c in docs.columns]
+
+
 def column_or_null(df: DataFrame, name: str | None, kind: str) -> Column:
     """Column `name` cast to `kind`; NULL if there is no such column."""
     return F.col(f"`{name}`").cast(kind) if name is not None and name in df.columns else F.lit(None).cast(kind)

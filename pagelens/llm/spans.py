@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
 Texts are cut into sentences (at line ends, and after . ! or ? before white space). A span is a
-run of LEAST_SENTENCES or more sentences with LEAST_WORDS words, or a single sentence of ALONE_WORDS. The shortest span
+run of LEAST_SENTENCES or more sentences with LEAST_WORDS words. The shortest span
 from every sentence on, and the shortest one up to every sentence, are hashed (96 bits, over the words in lower case)
 and counted over the whole corpus; longer spans cover nothing that these don't. The first occurrence, by doc_id and
 place, stays; sentences covered by any other occurrence are removed.
@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SHARE, column_or_null, lookup_join, lower_batches, materialize
+from .common import SHARE, column_or_null, lookup_join, materialize, nested
 
-LEAST_SENTENCES, LEAST_WORDS, ALONE_WORDS = 2, 20, 50
+LEAST_SENTENCES, LEAST_WORDS = 2, 20
 #: Words of a repeated passage wherever its edges fall, and of the marks that find it.
 PASSAGE, KEY = 50, 25
 END = re.compile(r"[.!?]+\s+|\s*\n\s*")
@@ -76,9 +76,7 @@ def spans(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     total = np.concatenate([[0], np.cumsum(counts)])
     place = np.arange(n)
     end = np.maximum(np.searchsorted(total, total[:-1] + LEAST_WORDS, "left"), place + LEAST_SENTENCES)
-    end = np.where(counts >= ALONE_WORDS, place + 1, end)
     begin = np.minimum(np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1, place + 1 - LEAST_SENTENCES)
-    begin = np.where(counts >= ALONE_WORDS, place, begin)
     both = np.unique(np.concatenate([(place * (n + 1) + end)[end <= n], (begin * (n + 1) + place + 1)[begin >= 0]]))
     i, end = both // (n + 1), both % (n + 1)
     out = []
@@ -213,9 +211,10 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, schema=_REMOVED)
 
 
-def _cut_rows(docs: DataFrame, text: Column) -> DataFrame:
-    """docs, written once, with __uid and the struct __c."""
-    return materialize(docs.select("*", _cut(text).alias("__c")).withColumn("__uid", F.monotonically_increasing_id()))
+def _cut_rows(docs: DataFrame, *cols: Column) -> DataFrame:
+    """(cols, __c, __uid) of docs, written once; one of the columns is __text, which the struct __c is cut from."""
+    rows = docs.select(*cols).select("*", _cut(F.col("__text")).alias("__c"))
+    return materialize(rows.withColumn("__uid", F.monotonically_increasing_id()))
 
 
 def _copies(every: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
@@ -231,9 +230,9 @@ def _copies(every: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     return met, lookup_join(met, first, "h", "inner", spread=spread).filter("g = g2 and not (uid = first_uid and i = first_i)")
 
 
-def _removed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _removed(rows: DataFrame) -> DataFrame:
     """(uid, doc_id, span_no, start, end, n_sentences, n_words, first_doc_id) of every removed run of the cut rows."""
-    cut = rows.select(F.col("__uid").alias("uid"), F.col(id_col).alias("doc_id"), F.col("__c").alias("c"))
+    cut = rows.select(F.col("__uid").alias("uid"), F.col("__id").alias("doc_id"), F.col("__c").alias("c"))
     n_spans, n_marks = rows.agg(F.sum(F.size("__c.spans")), F.sum(F.size("__c.marks"))).first()
     every = cut.select("uid", "doc_id", F.explode("c.spans").alias("s")).select("uid", "doc_id", "s.h", "s.g", "s.i", "s.e")
     _, hits = _copies(every, n_spans or 0)
@@ -246,7 +245,7 @@ def _removed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     near = marked.select("words", "hits", "at").mapInArrow(_open, "h long, low int, high int")
     near = materialize(near.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")))
     at = lookup_join(met.select("uid", "h", "i"), near, "h", "inner", spread=F.col("uid")).groupBy("uid").agg(F.collect_list(F.struct("i", "low", "high")).alias("at"))
-    texts = rows.select(F.col("__uid").alias("uid"), F.col(id_col).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = rows.select(F.col("__uid").alias("uid"), F.col("__id").alias("doc_id"), F.col("__text").alias("text"))
     runs = materialize(texts.join(at, "uid").mapInArrow(_passages, "uid long, doc_id long, h long, g long, i int, e int"))
     _, found = _copies(runs, runs.count())
     hits = hits.withColumn("passage", F.lit(False)).unionByName(found.select("uid", "i", "e", "first", F.lit(True).alias("passage")))
@@ -255,10 +254,13 @@ def _removed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return joined.mapInArrow(_merge, "uid long, doc_id long, span_no int, start int, end int, n_sentences int, n_words long, first_doc_id long")
 
 
+def _inputs(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    return [column_or_null(docs, id_col, "long").alias("__id"), column_or_null(docs, text_col, "string").alias("__text")]
+
+
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The runs of sentences to remove: doc_id, span_no within the document, start and end (code points, end exclusive), sentences, words, and the document that keeps the first copy."""
-    wanted = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), column_or_null(docs, text_col, "string").alias("text"))
-    return _removed(_cut_rows(wanted, F.col("text")), "doc_id", "text").drop("uid")
+    return _removed(_cut_rows(docs, *_inputs(docs, id_col, text_col))).drop("uid")
 
 
 @F.arrow_udf(T.StringType())
@@ -273,9 +275,8 @@ def _without(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
 
 def remove_repeated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated runs cut out of their texts; the other columns stay as they are."""
-    rows = _cut_rows(docs.withColumn("__id", column_or_null(docs, id_col, "long")), column_or_null(docs, text_col, "string"))
-    gone = _removed(rows, "__id", text_col).groupBy(F.col("uid").alias("__uid")).agg(F.collect_list("start").alias("__starts"), F.collect_list("end").alias("__ends"))
-    lower_batches(docs.sparkSession)
+    rows = _cut_rows(docs, nested(docs.drop(text_col)), *_inputs(docs, id_col, text_col))
+    gone = _removed(rows).groupBy(F.col("uid").alias("__uid")).agg(F.collect_list("start").alias("__starts"), F.collect_list("end").alias("__ends"))
     joined = rows.drop("__c").join(gone, "__uid", "left")
-    text = F.when(F.col("__starts").isNull(), F.col(f"`{text_col}`")).otherwise(_without(F.col(f"`{text_col}`"), F.coalesce("__starts", F.array().cast("array<int>")), F.coalesce("__ends", F.array().cast("array<int>"))))
-    return joined.withColumn("__text", text).select(*[(F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns])
+    cut = materialize(joined.withColumn("__text", F.when(F.col("__starts").isNull(), F.col("__text")).otherwise(_without("__text", F.coalesce("__starts", F.array().cast("array<int>")), F.coalesce("__ends", F.array().cast("array<int>"))))).select("__row", "__text"))
+    return cut.select(*[F.col("__text").alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -4,27 +4,70 @@ from collections import defaultdict
 from pagelens.llm import spans
 
 
+def cut(text):
+    """(start, end) of the sentences, by a plain scan."""
+    ends, i = [], 0
+    while i < len(text):
+        j = i
+        if text[i] in ".!?":
+            while j < len(text) and text[j] in ".!?":
+                j += 1
+            k = j
+            while k < len(text) and text[k].isspace():
+                k += 1
+            if k > j:
+                ends.append(k)
+            i = k
+        elif text[i].isspace():
+            while j < len(text) and text[j].isspace():
+                j += 1
+            if "\n" in text[i:j]:
+                ends.append(j)
+            i = j
+        else:
+            i += 1
+    out = []
+    for s, e in zip([0, *ends], [*ends, len(text)], strict=True):
+        while s < e and text[s].isspace():
+            s += 1
+        while s < e and text[e - 1].isspace():
+            e -= 1
+        if s < e:
+            out.append((s, e))
+    return out
+
+
 def brute(rows):
-    """Removed sentences by plain comparison of the words of all spans, long ones too."""
-    cut, seen = {}, defaultdict(list)
+    """Removed sentences by plain comparison of the words of all spans of two sentences or more and 20 words or more, and of all runs of 50 words."""
+    own, seen = {}, defaultdict(list)
     for order, (doc, text) in enumerate(rows):
-        own = spans.sentences(text)
-        words = [text[s:e].lower().split() for s, e in own]
-        cut[order] = (own, words)
-        for i in range(len(own)):
-            for e in range(i + 1, len(own) + 1):
-                if len(words[i]) >= spans.ALONE_WORDS if e == i + 1 else sum(map(len, words[i:e])) >= spans.LEAST_WORDS:
-                    seen[tuple(" ".join(w) for w in words[i:e])].append((doc is None, doc or 0, order, i, e))
-    gone = defaultdict(set)
-    for found in seen.values():
-        for _, _, order, i, e in sorted(found)[1:]:
-            gone[order] |= set(range(i, e))
-    out = []
-    for order, places in gone.items():
-        own, _ = cut[order]
-        for i in sorted(places):
-            out.append((rows[order][0], own[i]))
-    return sorted(out, key=repr)
+        found = cut(text)
+        words = [text[s:e].lower().split() for s, e in found]
+        edge = [0]
+        for w in words:
+            edge.append(edge[-1] + len(w))
+        flat = [x for w in words for x in w]
+        own[order] = (found, edge)
+        for i in range(len(found)):
+            for e in range(i + 2, len(found) + 1):
+                if edge[e] - edge[i] >= 20:
+                    seen["span", tuple(" ".join(w) for w in words[i:e])].append((doc is None, doc or 0, order, i, e))
+        for i in range(len(flat) - 49):
+            seen["run", tuple(flat[i : i + 50])].append((doc is None, doc or 0, order, i, i + 50))
+    gone, runs = defaultdict(set), defaultdict(set)
+    for (kind, _), places in seen.items():
+        for _, _, order, i, e in sorted(places)[1:]:
+            if kind == "span":
+                gone[order] |= set(range(i, e))
+            else:
+                runs[order].add(i)
+    for order, starts in runs.items():
+        _, edge = own[order]
+        for k, (s, t) in enumerate(zip(edge, edge[1:], strict=False)):
+            inside = [i for i in starts if i <= s and t <= i + 50] if t - s <= 50 else range(s, t - 49)
+            if t - s <= 50 and inside or t - s > 50 and set(inside) <= starts:
+                gone[order].add(k)
+    return sorted(((rows[order][0], own[order][0][i]) for order, places in gone.items() for i in places), key=repr)
 
 
 def _rows():
