@@ -3,13 +3,13 @@
 Sources get target word totals by water filling: shares in proportion to their weights, none above `most_repeats` times
 its own words. Every document of a source is then taken `floor(rate)` times, and once more with the rate's fraction as
 its inclusion probability. The flight phase moves these probabilities through the null space of two constraints, the
-words and the documents of the source, until at most two documents are undecided; it runs in blocks of about BLOCK
-documents, whose few undecided ones meet in the blocks of the next level, so a source of any size is balanced by small
-tasks. Each block holds back a few documents of all lengths, undecided, for the last level. There the landing phase settles the
-last ones of a source by the choice whose word total (then document count) is nearest, and then turns single documents
-of that block while this brings the source's words nearer to their target (a very long document may be the last).
+words and the documents of the source, until a few documents are undecided, two as a rule; it runs in blocks of about
+BLOCK documents, whose undecided ones meet in the blocks of the next level, so a source of any size is balanced by small
+tasks. Long documents are decided first, while there are short ones to make up for them, so the last ones are short. The
+landing phase settles these by the choice that is nearest in words and documents; what is decided stays.
 
-Chance comes from hashes of the rows themselves, so reruns agree, whatever the partitions.
+Chance comes from hashes of the rows themselves, so reruns agree, whatever the partitions (copies of a row that repeats
+more than BLOCK / 4 times are told apart by their place in the written table).
 
 Defined results: a NULL text has no words and is taken without effect; NULL sources are one source, the last; rows that
 repeat are documents of their own; if there are no words at all, targets are 0; an empty table gives an empty result.
@@ -24,14 +24,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, column_or_null, fits, lookup_join, materialize
+from .common import BROADCAST_ROWS, column_or_null, fits, lookup_join, materialize, nested, unnested
 
 #: Weights by the rank of the source, the share of all words that is asked for, and the most a source gives.
 WEIGHTS = (5.0, 2.0, 1.0)
 ASKED, MOST_REPEATS = 1.5, 2.0
-#: Documents of a flight block, and one in how many of them it holds back.
-BLOCK, HOLD = 512, 32
+#: Documents of a flight block.
+BLOCK = 512
 _EPS = 1e-9
+#: A document whose own share of the direction is below this can't move.
+_STUCK = 1e-7
 
 
 def uniform(seed: int, step: int) -> float:
@@ -42,59 +44,68 @@ def uniform(seed: int, step: int) -> float:
     return ((x ^ (x >> 31)) >> 11) / (1 << 53)
 
 
-def flight(p: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Probabilities moved to 0 or 1 but for two at most, with the sums of p and of p * size kept."""
-    p = p.astype(float).copy()
-    pool: list[int] = []
-    for step, i in enumerate(np.lexsort((seed, -size)).tolist()):
-        if not _EPS < p[i] < 1 - _EPS:
-            continue
-        pool.append(i)
-        while len(pool) == 3:
-            a, b, c = (float(size[k]) for k in pool)
-            move = np.array([b - c, c - a, a - b]) if not a == b == c else np.array([1.0, -1.0, 0.0])
-            now = p[pool]
+def _direction(size: np.ndarray, i: int, count: bool) -> np.ndarray:
+    """Row i moved within the null space of the words, and of the number of documents if `count`: the unit vector i less its projection on the constraints."""
+    u = np.zeros(len(size))
+    u[i] = 1.0
+    if count:
+        off = size - size.mean()
+        u -= 1 / len(size)
+    else:
+        off = size
+    squared = float(off @ off)
+    return u - off * (off[i] / squared) if squared > 0 else u
+
+
+def flight(p: np.ndarray, size: np.ndarray, seed: np.ndarray, *, last: bool = False) -> np.ndarray:
+    """Probabilities moved to 0 or 1 but for a few of the shortest documents, with the sums of p and of p * size kept.
+
+    The longest undecided document goes first, until it is decided: each move takes it along the null space, up or down
+    by chance so that no probability changes in the mean, as far as some probability reaches 0 or 1. In the last block,
+    a document that can't move with both sums kept moves with the words kept.
+    """
+    p = np.where(p < _EPS, 0.0, np.where(p > 1 - _EPS, 1.0, p.astype(float)))
+    size = size.astype(float)
+    step = 0
+    for i in np.lexsort((seed, -size)).tolist():
+        while 0.0 < p[i] < 1.0:
+            at = np.flatnonzero((p > 0.0) & (p < 1.0))
+            k = int(np.searchsorted(at, i))
+            u = _direction(size[at], k, True)
+            if u[k] < _STUCK and last:
+                u = _direction(size[at], k, False)
+            if u[k] < _STUCK:
+                break
+            now = p[at]
             with np.errstate(divide="ignore", invalid="ignore"):
-                up = np.nanmin(np.where(move > 0, (1 - now) / move, np.where(move < 0, -now / move, np.inf)))
-                down = np.nanmin(np.where(move > 0, now / move, np.where(move < 0, (now - 1) / move, np.inf)))
+                ups = np.where(u > 0, (1 - now) / u, np.where(u < 0, -now / u, np.inf))
+                downs = np.where(u > 0, now / u, np.where(u < 0, (now - 1) / u, np.inf))
+            up, down = float(ups.min()), float(downs.min())
             ahead = uniform(int(seed[i]), step) < down / (up + down)
-            now = now + move * (up if ahead else -down)
-            p[pool] = np.where(now < _EPS, 0.0, np.where(now > 1 - _EPS, 1.0, now))
-            pool = [k for k in pool if 0.0 < p[k] < 1.0]
+            end = int((ups if ahead else downs).argmin())
+            now = now + u * (up if ahead else -down)
+            now[end] = float((u[end] > 0) == ahead)
+            p[at] = np.where(now < _EPS, 0.0, np.where(now > 1 - _EPS, 1.0, now))
+            step += 1
     return p
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The undecided ones, two at most, set so that the words, then the documents, are nearest to their sums."""
+    """The undecided ones, a few at most, set so that words, in units of their mean length, and documents are nearest to their sums."""
     p = p.copy()
     left = np.flatnonzero((p > 0.0) & (p < 1.0))
-    best = min(product((0.0, 1.0), repeat=len(left)), key=lambda z: (abs(float(((np.array(z) - p[left]) * size[left]).sum())), abs(float((np.array(z) - p[left]).sum())), z))
+    unit = max(1.0, float(size[left].mean())) if len(left) else 1.0
+    best = min(product((0.0, 1.0), repeat=len(left)), key=lambda z: (abs(float(((np.array(z) - p[left]) * size[left]).sum())) / unit + abs(float((np.array(z) - p[left]).sum())), z))
     p[left] = best
     return p
 
 
-def nearer(p: np.ndarray, size: np.ndarray, wanted: float) -> np.ndarray:
-    """Decisions p, long documents first, turned one by one while their words come nearer to `wanted`."""
-    p = p.copy()
-    off = float((p * size).sum()) - wanted
-    for i in np.argsort(-size, kind="stable").tolist():
-        change = float(size[i]) * (1 - 2 * p[i])
-        if abs(off + change) < abs(off):
-            p[i], off = 1 - p[i], off + change
-    return p
-
-
 def _fly(last: bool):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["size", "seed", "uid"], ascending=[False, True, True])
         size, seed = block["size"].to_numpy(), block["seed"].to_numpy().astype(np.uint64)
-        p = block["p"].to_numpy()
-        if last:
-            return block.assign(p=nearer(landing(flight(p, size, seed), size), size, float((p * size).sum())))
-        held = np.arange(len(p)) % HOLD == HOLD // 2
-        out = p.copy()
-        out[~held] = flight(p[~held], size[~held], seed[~held])
-        return block.assign(p=out)
+        p = flight(block["p"].to_numpy(), size, seed, last=last)
+        return block.assign(p=landing(p, size) if last else p)
 
     return run
 
@@ -179,8 +190,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every document as many times as it is taken, with all columns of docs."""
-    held = materialize(docs.select("*", F.struct(*_rows(docs, id_col, text_col, source_col)).alias("__m")).withColumn("__uid", F.monotonically_increasing_id()))
+    held = materialize(docs.select(nested(docs), F.struct(*_rows(docs, id_col, text_col, source_col)).alias("__m")).withColumn("__uid", F.monotonically_increasing_id()))
     copies = _copies(held.select("__m.*", F.col("__uid").alias("uid"))).select(F.col("uid").alias("__uid"), (F.col("base") + F.col("p")).cast("int").alias("__copies")).filter("__copies > 0")
     # Merged at every size: texts move once, and no size of table is where the plan turns.
     taken = held.drop("__m").join(copies.hint("merge"), "__uid")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*unnested(docs))

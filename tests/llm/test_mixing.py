@@ -44,10 +44,11 @@ def test_targets_and_takings(spark):
     by_target = {}
     for r in out:
         assert r.taken <= 2 * r.size and r.taken == r.size * r.copies
-        by_target.setdefault((r.source_size, round(r.target, 6)), []).append(r.taken)
+        by_target.setdefault((r.source_size, round(r.target, 6)), []).append((r.taken, r.copies))
     assert len(out) == len(rows) and set(by_target) == {(sizes[s], round(want[s], 6)) for s in sizes}
     for (size, target), taken in by_target.items():
-        assert abs(sum(taken) - target) <= max(2, 0.01 * target)
+        assert abs(sum(t for t, _ in taken) - target) <= max(2, 0.002 * target)
+        assert abs(sum(c for _, c in taken) - len(taken) * target / max(1, size)) <= max(2, 0.002 * len(taken))  # documents too
     again = mixing.mix(docs.repartition(7)).collect()
     key = lambda r: (r.doc_id is None, r.doc_id, r.size, r.taken)
     assert sorted(map(key, out), key=repr) == sorted(map(key, again), key=repr)
@@ -68,6 +69,24 @@ def test_the_flight_is_fair():
     assert np.abs(np.mean(runs, axis=0) - p).max() < 0.04
 
 
+def test_the_landing_leaves_decided_ones_and_is_near_in_both_totals():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 30, 400):
+        size, p, seed = rng.integers(1, 900, n), rng.random(n), rng.integers(0, 2**60, n).astype(np.uint64)
+        flown = mixing.flight(p, size, seed, last=True)
+        landed = mixing.landing(flown, size)
+        decided = (flown == 0) | (flown == 1)
+        assert set(landed) <= {0.0, 1.0} and (landed[decided] == flown[decided]).all() and (~decided).sum() <= 2
+        if n >= 30:
+            assert abs((landed * size).sum() - (p * size).sum()) <= np.sort(size)[:3].sum() and abs(landed.sum() - p.sum()) <= 2
+
+
+def test_one_long_document_among_equal_ones_is_moved_with_the_words_kept():
+    size, p = np.array([1000, *[10] * 300]), np.full(301, 0.5)
+    done = mixing.landing(mixing.flight(p, size, np.arange(301, dtype=np.uint64), last=True), size)
+    assert abs((done * size).sum() - 2000) <= 10
+
+
 def test_apply_mix_repeats_rows(spark):
     docs = spark.createDataFrame([(1, "a b c", "x", 5), (2, "d", "x", 6), (3, "", "y", 7)], "doc_id long, text string, source string, seed int")
     out = mixing.apply_mix(docs)
