@@ -3,15 +3,16 @@
 Features are the distinct lower-case words of the whole text and their beginnings of three to eight letters, hashed; the
 ones whose frequency differs between the classes are chosen by a two-proportion test. The classifier is a logistic
 regression on them and on the logarithm of the count of distinct words. Its loss has, beside the log loss and a small
-ridge, the squared change of the logit between a labelled sentence and its counterfactuals: the sentence with its
-identity terms swapped for others, or, where it names none, with a neutral mention of a group added. So mentioning a
-group moves the score little, however often insults stand beside such words in the training texts.
+ridge, the squared change of the logit between a labelled sentence and its counterfactuals: the sentence with one of its
+identity terms swapped for each other of the same kind and language or, where it names none, with a neutral mention added.
+Of each class, the sentences that name a group come first, and first sentences of other texts fill up to SENTENCES. So
+mentioning a group moves the score little, however often insults stand beside such words in the training texts.
 
 The model is fitted on about TRAIN_ROWS labelled rows (all, if there are fewer), chosen by a hash of doc_id; rows whose
 crc32(doc_id as text) mod 5 is 0 are never among them. Scores read the text alone.
 
 Defined results: NULL and empty texts score as a text without words; without labelled rows of both classes every score is
-the smoothed share of toxic labels; repeated rows score alike; NULL doc_ids are scored and count as not held out; an
+the smoothed share of toxic labels; repeated rows score alike, and labelled rows that share a doc_id count as one document; NULL doc_ids are scored and count as not held out; an
 empty table gives an empty result.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_or_null, lower_batches, materialize
+from .common import column_or_null, materialize
 
 #: Labelled rows that the model is fitted on, about; features kept at most; hash buckets of features.
 TRAIN_ROWS, FEATURES, BUCKETS = 16_000, 4096, 1 << 20
@@ -36,7 +37,7 @@ TRAIN_ROWS, FEATURES, BUCKETS = 16_000, 4096, 1 << 20
 LEAST_Z, LEAST_DOCS = 3.0, 4
 #: Weights of the ridge and of the counterfactual penalty, gradient steps, and sentences per class that get counterfactuals.
 RIDGE, PENALTY, STEPS, SENTENCES = 2e-4, 0.5, 250, 400
-#: Identity terms, by kind; a term is swapped for the others of its kind.
+#: Identity terms, by kind, in English, German, French and Spanish; a term is swapped for the others of its kind.
 IDENTITY = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "catholic", "atheist", "sikh"),
     ("black", "white", "asian", "latino", "african", "arab", "european", "native"),
@@ -44,6 +45,24 @@ IDENTITY = (
     ("women", "men", "female", "male", "woman", "man"),
     ("immigrant", "refugee", "foreigner", "citizen", "migrant"),
     ("disabled", "deaf", "blind", "autistic", "elderly", "young"),
+    ("muslim", "christ", "jude", "hindu", "buddhist", "katholik", "atheist"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "araber", "europäer"),
+    ("schwul", "lesbisch", "bisexuell", "heterosexuell"),
+    ("frauen", "männer", "frau", "mann"),
+    ("einwanderer", "flüchtling", "ausländer", "bürger", "migrant"),
+    ("behindert", "taub", "blind", "autistisch", "alt", "jung"),
+    ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "catholique", "athée"),
+    ("noir", "blanc", "asiatique", "africain", "arabe", "européen"),
+    ("homosexuel", "lesbienne", "bisexuel", "hétérosexuel"),
+    ("femmes", "hommes", "femme", "homme"),
+    ("immigré", "réfugié", "étranger", "citoyen", "migrant"),
+    ("handicapé", "sourd", "aveugle", "autiste", "âgé", "jeune"),
+    ("musulmán", "cristiano", "judío", "hindú", "budista", "católico", "ateo"),
+    ("negro", "blanco", "asiático", "africano", "árabe", "europeo"),
+    ("homosexual", "lesbiana", "bisexual", "heterosexual"),
+    ("mujeres", "hombres", "mujer", "hombre"),
+    ("inmigrante", "refugiado", "extranjero", "ciudadano", "migrante"),
+    ("discapacitado", "sordo", "ciego", "autista", "mayor", "joven"),
 )
 WORD = re.compile(r"\w+")
 
@@ -103,19 +122,27 @@ def length_of(words: set[str]) -> float:
     return float(np.log1p(len(words))) / 6 - 1
 
 
-def counterfactuals(text: str) -> list[tuple[set[str], set[str]]]:
-    """(words, words of a counterfactual) of the text's sentences that name a group, or of its first sentence with a mention added."""
-    out = []
-    pieces = [distinct_words(s) for s in re.split(r"[.!?\n]+", text)]
-    for words in filter(None, pieces):
-        for kind in IDENTITY:
-            for term in words.intersection(kind):
-                out += [(words, words - {term} | {other}) for other in kind if other != term]
-    if not out:
-        words = next(filter(None, pieces), None)
-        if words:
-            out = [(words, words | {term}) for kind in IDENTITY for term in kind]
-    return out
+def sentences(text: str | None) -> list[set[str]]:
+    """The distinct words of each sentence with a word."""
+    return [words for words in (distinct_words(s) for s in re.split(r"[.!?\n]+", text or "")) if words]
+
+
+def counterfactuals(words: set[str], turn: int) -> list[tuple[set[str], set[str]]]:
+    """(words, words of a counterfactual): each identity term swapped for every other of its kind or, if there is none, one term of each kind added, the turn-th."""
+    swaps = [(words, words - {term} | {other}) for kind in IDENTITY for term in sorted(words.intersection(kind)) for other in kind if other != term]
+    return swaps or [(words, words | {kind[turn % len(kind)]}) for kind in IDENTITY]
+
+
+def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (toxic, text, order) to (toxic, named, order, words): the sentences that name a group, and the first sentence of every other text."""
+    terms = {t for kind in IDENTITY for t in kind}
+    for batch in batches:
+        out = []
+        for toxic, text, order in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = sentences(text)
+            named = [w for w in own if not w.isdisjoint(terms)]
+            out += [{"toxic": toxic, "named": bool(named), "order": order, "words": sorted(w)} for w in named or own[:1]]
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("toxic", pa.int32()), ("named", pa.bool_()), ("order", pa.int64()), ("words", pa.list_(pa.string()))]))
 
 
 class Matrix:
@@ -168,13 +195,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
-    """The model from the labelled documents that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, n_sentences: int = SENTENCES) -> Model:
+    """The model from about `train_rows` labelled documents that are not held out, and the counterfactuals of at most `n_sentences` sentences of each class."""
     marked = labels.select(column_or_null(labels, id_col, "long").alias("doc_id"), column_or_null(labels, label_col, "int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id"))).distinct()
     share = min(1.0, train_rows / max(1, marked.count()))
     chosen = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     texts = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), column_or_null(docs, text_col, "string").alias("text"))
-    sample = materialize(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.xxhash64("doc_id", "toxic").alias("order")))
+    # Of documents with the same doc_id, one is taken.
+    first = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
+    sample = materialize(first.select("toxic", "text", F.xxhash64("doc_id", "toxic").alias("order")))
     counts = sample.select("toxic", "text").mapInArrow(_count, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counts = materialize(counts)
     rows = counts.filter("bucket = -1").first()
@@ -196,7 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     encoded: pd.DataFrame = sample.mapInArrow(encode, "toxic int, at array<int>, length double, order long").toPandas().sort_values(["order", "length"])
     data = Matrix([list(a) for a in encoded["at"]], encoded["length"].tolist(), len(encoder.at))
-    pairs = [p for t in (0, 1) for r in sample.filter(F.col("toxic") == t).select("order", "text").orderBy("order").limit(SENTENCES // 8).collect() for p in counterfactuals(r.text or "")[:64]]
+    spoken = materialize(sample.select("toxic", "text", "order").mapInArrow(_sentences, "toxic int, named boolean, order long, words array<string>"))
+    best = [spoken.filter(F.col("toxic") == t).orderBy(F.col("named").desc(), "order", "words").limit(n_sentences).collect() for t in (0, 1)]
+    pairs = [p for rows in best for turn, r in enumerate(rows) for p in counterfactuals(set(r.words), turn)]
     both = tuple(Matrix([encoder.encode(p[k]) for p in pairs], [length_of(p[k]) for p in pairs], len(encoder.at)) for k in (0, 1)) if pairs else None
     return Model(encoder, train(data, encoded["toxic"].to_numpy(float), both))
 
@@ -211,7 +242,6 @@ def _scorer(held):
 
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, score and predicted. One pass, no shuffle."""
-    lower_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), F.arrow_udf(_scorer(held), T.DoubleType())(column_or_null(docs, text_col, "string")).alias("score"))
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return materialize(rows).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -62,3 +62,24 @@ def test_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     out = toxicity.score_toxicity(docs, toxicity.fit(docs, none)).collect()
     assert {r.score for r in out} == {0.5} and not any(r.held_out for r in out if r.doc_id is None)
+
+
+def test_sentences_that_name_a_group_get_the_counterfactuals(spark):
+    """Few texts name a group, none of them early by hash order; swaps come from all of them, in every language."""
+    assert toxicity.counterfactuals({"gay", "x"}, 0)[0] == ({"gay", "x"}, {"straight", "x"})
+    assert ({"die", "frauen"}, {"die", "männer"}) in toxicity.counterfactuals({"die", "frauen"}, 3)
+    added = toxicity.counterfactuals({"x"}, 5)
+    assert len(added) == len(toxicity.IDENTITY) and all(len(b - a) == 1 for a, b in added)
+    docs, labels, truth = _tables(spark)
+    rows = [(2000 + k, f"word{k} word2. The gay word{k + 1} stays") for k in range(40)] + [(2000, "a text of the same id")] * 3
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    labels = labels.unionByName(spark.createDataFrame([(2000 + k, 0) for k in range(40)], "doc_id long, toxic int"))
+    seen = []
+    real = toxicity.counterfactuals
+    try:
+        toxicity.counterfactuals = lambda words, turn: seen.append(words) or real(words, turn)
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.counterfactuals = real
+    taught = sum(zlib.crc32(str(2000 + k).encode()) % 5 != 0 for k in range(1, 40))
+    assert sum({"gay", "stays"} <= words for words in seen) >= taught and len(seen) <= 2 * toxicity.SENTENCES
