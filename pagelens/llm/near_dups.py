@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SHARE, column_or_null, connected_components, drop_rows, fits, lookup_join, materialize, scratch
+from .common import SHARE, column_or_null, connected_components, drop_rows, fits, lookup_join, materialize, nested, scratch, unnested
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -221,8 +221,8 @@ def _shingle_list(seqs: pa.Array) -> pa.Array:
 
 
 def sketched(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs, written once, with the row id __uid and the struct __s (text hash, number of words, signature, words)."""
-    rows = docs.withColumn("__s", _sketch(column_or_null(docs, text_col, "string")))
+    """docs without the text, written once, with the row id __uid and the struct __s (text hash, number of words, signature, words)."""
+    rows = docs.withColumn("__s", _sketch(column_or_null(docs, text_col, "string"))).drop(text_col)
     return materialize(rows.withColumn("__uid", F.monotonically_increasing_id()))
 
 
@@ -352,7 +352,7 @@ def classes(rows: DataFrame, id_col: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class), class_size, copies of its own words, and whether it is the one that stays."""
     wanted = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), column_or_null(docs, text_col, "string").alias("text"))
-    rows = sketched(wanted, "text").drop("text")
+    rows = sketched(wanted, "text")
     named = classes(rows, "doc_id")
     facts = rows.select("doc_id", "__uid", F.col("__s.th").alias("th"))
     return lookup_join(facts, named, "th", "inner", spread=F.col("__uid")).select("doc_id", "class_id", "class_size", "copies", (F.col("keeper") == F.col("__uid")).alias("keeper"))
@@ -360,8 +360,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, the one with the least doc_id, with all columns of docs."""
-    rows = sketched(docs.withColumn("__id", column_or_null(docs, id_col, "long")), text_col)
+    rows = sketched(docs.select(nested(docs), column_or_null(docs, id_col, "long").alias("__id"), column_or_null(docs, text_col, "string").alias("__text")), "__text")
     named = classes(rows.select("__id", "__uid", "__s"), "__id")
     facts = rows.select("__uid", F.col("__s.th").alias("th"))
     gone = lookup_join(facts, named.filter("class_size > 1"), "th", "inner", spread=F.col("__uid")).filter(F.col("keeper") != F.col("__uid")).select("__uid")
-    return drop_rows(rows, materialize(gone)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return drop_rows(rows, materialize(gone)).select(*unnested(docs))

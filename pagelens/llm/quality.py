@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column_or_null, lookup_join, materialize, scratch
+from .common import column_or_null, lookup_join, materialize, nested, scratch, unnested
 
 #: Fixed values of the base rule.
 LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
@@ -215,22 +215,26 @@ def _fit(rows: DataFrame) -> DataFrame:
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """`rows`, a written table with the struct __q and the keys __lk and gk, with __base and __d (NULL where no group was fitted)."""
-    raw = rows.filter(~base_failed("__q")).select(F.col("__lk").alias("lk"), "gk", F.array(*vector("__q")).alias("x"), (F.col("__q.n_words") / (F.col("__q.n_words") + NOISE_WORDS)).alias("w"))
-    # Short texts scatter more: each vector is drawn towards the corpus median as its words are few.
-    median = raw.agg(*[F.percentile_approx(F.col("x")[i], 0.5, 2000).alias(f"m{i}") for i in range(P)]).first()
-    drawn = lambda v, w: [F.lit(m or 0.0) + (xi - F.lit(m or 0.0)) * F.sqrt(w) for xi, m in zip(v, median, strict=True)]
-    narrow = materialize(raw.select("gk", "lk", F.array(*drawn([F.col("x")[i] for i in range(P)], F.col("w"))).alias("x")))
+    """`rows`, a written table with the struct __q and the keys __lk and __gk, with __base and __d (NULL where no group was fitted)."""
+    raw = materialize(rows.filter(~base_failed("__q")).select(F.col("__lk").alias("lk"), F.col("__gk").alias("gk"), F.array(*vector("__q")).alias("x"), (F.col("__q.n_words") / (F.col("__q.n_words") + NOISE_WORDS)).alias("w")))
+    # Short texts scatter more: each vector is drawn towards the median of its language as its words are few.
+    medians = materialize(raw.groupBy("lk").agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, 2000) for i in range(P)]).alias("m")))
+    drawn = lambda v, m, w: [F.col(m)[i] + (xi - F.col(m)[i]) * F.sqrt(w) for i, xi in enumerate(v)]
+    narrow = materialize(lookup_join(raw, medians, "lk", "inner").select("gk", "lk", F.array(*drawn([F.col("x")[i] for i in range(P)], "m", F.col("w"))).alias("x")))
     with scratch(rows.sparkSession) as scope:
-        params = scope.keep(_fit(narrow)).select("gk", "centre", "precision")
-    x = drawn(vector("__q"), F.col("__q.n_words") / (F.col("__q.n_words") + NOISE_WORDS))
-    return lookup_join(rows, params, "gk").withColumn("__base", base_failed("__q")).withColumn("__d", distance(x)).drop("gk", "centre", "precision", "__lk")
+        of_group = materialize(narrow.select("gk", "lk").distinct())
+        params = lookup_join(_fit(narrow), of_group, "gk", "inner")
+        params = scope.keep(materialize(lookup_join(params, medians, "lk", "inner").select(F.col("gk").alias("__gk"), F.col("centre").alias("__centre"), F.col("precision").alias("__precision"), F.col("m").alias("__median"))))
+    x = drawn(vector("__q"), "__median", F.col("__q.n_words") / (F.col("__q.n_words") + NOISE_WORDS))
+    judged = lookup_join(rows, params, "__gk").withColumn("__base", base_failed("__q")).withColumn("__d", distance(x, "__centre", "__precision"))
+    return judged.drop("__gk", "__centre", "__precision", "__median", "__lk")
 
 
 def _scanned(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """The rows of docs as __row, with the counts __q of their texts and their keys."""
     lang = F.coalesce(column_or_null(docs, lang_col, "string"), F.lit("\x00"))
     source = F.coalesce(column_or_null(docs, source_col, "string"), F.lit("\x00"))
-    return docs.select("*", _stats(column_or_null(docs, text_col, "string")).alias("__q"), lang.alias("__lk"), F.concat_ws("\x01", lang, source).alias("gk"))
+    return docs.select(nested(docs), _stats(column_or_null(docs, text_col, "string")).alias("__q"), lang.alias("__lk"), F.concat_ws("\x01", lang, source).alias("__gk"))
 
 
 def _kept() -> Column:
@@ -240,14 +244,11 @@ def _kept() -> Column:
 def quality_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document: its counts, the base rule, the squared distance from its group and the verdict."""
     wanted = docs.select(column_or_null(docs, id_col, "long").alias("doc_id"), column_or_null(docs, text_col, "string").alias("text"), column_or_null(docs, lang_col, "string").alias("lang"), column_or_null(docs, source_col, "string").alias("source"))
-    rows = materialize(_scanned(wanted, "text", "lang", "source").drop("text", "lang", "source"))
-    return _judged(rows).select("doc_id", *[F.col(f"__q.{n}").alias(n) for n in STAT_NAMES[:5]], F.col("__base").alias("base_failed"), _kept().alias("kept"), F.col("__d").alias("distance"))
+    rows = materialize(_scanned(wanted, "text", "lang", "source").withColumn("__row", F.struct("__row.doc_id")))
+    return _judged(rows).select("__row.doc_id", *[F.col(f"__q.{n}").alias(n) for n in STAT_NAMES[:5]], F.col("__base").alias("base_failed"), _kept().alias("kept"), F.col("__d").alias("distance"))
 
 
 def filter_quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The documents that are kept, with all their columns. Texts are written once beside their counts and never shuffled (unless there are more than 50,000 groups)."""
-    if "gk" in docs.columns:
-        kept = filter_quality(docs.withColumnRenamed("gk", "__own_gk"), text_col=text_col, lang_col=lang_col, source_col=source_col)
-        return kept.withColumnRenamed("__own_gk", "gk").select(*[f"`{c}`" for c in docs.columns])
     rows = materialize(_scanned(docs, text_col, lang_col, source_col))
-    return _judged(rows).filter(_kept()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(rows).filter(_kept()).select(*unnested(docs))

@@ -4,19 +4,19 @@ import pytest
 
 from pagelens.llm import decontaminate, lang_id, mixing, near_dups, quality, secrets, sharding, spans, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, __uid2 int, size int, score string, k int, node int, seed int, h int, e int, label string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid string, __uid2 int, size int, score string, k int, node int, seed int, h int, e int, label string, centre string, precision string, gk string, lk int, __gk int, __uid int, __row string, __text string, __hits int, __m int, __id string, `a.b` int"
 LONG = "a very long text, word by word. " * 30_000
 
 
 def _rows():
-    rest = ("u", 1, 2, "s", 3, 4, 5, 6, 7, "l")
+    rest = ("u", 1, 2, "s", 3, 4, 5, 6, 7, "l", "c", "p", "g", 8, 9, 10, "r", "t", 11, 12, "i", 13)
     return [
         (None, None, None, None, None, *rest),
         (1, "", "en", "a", 0, *rest),
         (1, "", "en", "a", 0, *rest),
         (2, LONG, "en", "b", len(LONG), *rest),
         (3, " \n\t ", None, "b", 4, *rest),
-        (4, "plain words that say little. they say it twice.", "en", None, 40, *[None] * 10),
+        (4, "plain words that say little. they say it twice.", "en", None, 40, *[None] * 22),
         (4, "other words, of the same id!", "de", "a", 30, *rest),
         (5, "😀 é\x00 \u2028 \x85 done", "xx", "ö", 9, *rest),
     ]
