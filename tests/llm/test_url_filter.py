@@ -1,6 +1,11 @@
+import math
+import os
+import random
 import re
+from collections import defaultdict
 
 import duckdb
+import pytest
 
 from pagelens.llm import url_filter
 
@@ -63,3 +68,135 @@ def test_the_verdict_does_not_hang_on_the_depth(spark):
         assert {out[100 + k].template for k in range(5)} == {f"x.net/es/{deep}*"}
         assert all(out[100 + k].rule is None and out[100 + k].verdict == "block" for k in range(5))
         assert out[200].template == "x.net/{n}" + "/z" * 500 and out[200].verdict == "allow"
+
+
+def _plain(urls):
+    """Verdict and template of every url, by plain dictionaries over the whole tree, host by host."""
+    ruled = [brute(u) for u in urls]
+    shape = lambda p: re.sub("[0-9]+", "{n}", "".join(c.lower() if "A" <= c <= "Z" else c for c in p))
+    leaves = defaultdict(lambda: [0, 0, 0])  # (host, shape) -> urls, labelled, blocked
+    for host, path, _, verdict in ruled:
+        for k, v in enumerate((1, verdict is not None, verdict == "block")):
+            leaves[host, shape(path)][k] += v
+    final = {}
+    for host in {h for h, _ in leaves}:
+        own = {s: s.split("/") for h, s in leaves if h == host}
+        name = {s: seg[:1] for s, seg in own.items()}
+        for depth in range(1, max(map(len, own.values()))):  # variable segments
+            groups = defaultdict(list)
+            for s, seg in own.items():
+                if len(seg) > depth:
+                    groups[tuple(name[s])].append(s)
+            for members in groups.values():
+                kinds, n = len({own[s][depth] for s in members}), sum(leaves[host, s][0] for s in members)
+                for s in members:
+                    name[s] = [*name[s], "*" if kinds >= 20 and kinds >= 0.3 * n else own[s][depth]]
+        seg = {s: list(v) for s, v in name.items()}
+        counts = defaultdict(lambda: [0, 0, 0])
+        for s in own:
+            for k in range(3):
+                counts[tuple(seg[s])][k] += leaves[host, s][k]
+        path = {t: t[:1] for t in counts}
+        for depth in range(1, max(map(len, counts))):  # alike siblings
+            groups = defaultdict(lambda: defaultdict(list))
+            for t in counts:
+                if len(t) > depth + 1:
+                    groups[path[t]][t[depth]].append(t)
+            merge = set()
+            for parent, children in groups.items():
+                sums = lambda ts: [sum(counts[t][k] for t in ts) for k in range(3)]
+                children = {c: ts for c, ts in children.items() if sums(ts)[0] >= 8}
+                while True:
+                    total = sums([t for ts in children.values() for t in ts])
+                    tails = defaultdict(int)
+                    for ts in children.values():
+                        for t in ts:
+                            tails[t[depth + 1 :]] += counts[t][0]
+                    ratio, dof = {}, len(tails) - 1
+                    for child, ts in children.items():
+                        n, seen = sums(ts)[0], defaultdict(int)
+                        for t in ts:
+                            seen[t[depth + 1 :]] += counts[t][0]
+                        if dof > 0 and total[0] > n:
+                            expected = {t: n * m / total[0] for t, m in tails.items()}
+                            chi2 = sum((seen[t] - e) ** 2 / e + (seen[t] - e) ** 2 / (tails[t] - e) for t, e in expected.items())
+                            ratio[child] = chi2 / (dof * (1 - 2 / (9 * dof) + 1.96 * math.sqrt(2 / (9 * dof))) ** 3)
+                    bad = [r for r in ratio.values() if r > 1]
+                    if not bad:
+                        break
+                    bound = min(sum(bad) / len(bad), max(bad))
+                    children = {c: ts for c, ts in children.items() if ratio.get(c, 0) <= 1 or ratio[c] < bound - 1e-9}
+                good = []
+                for child in ratio:
+                    _, labelled, blocked = sums(children[child])
+                    others = total[1] - labelled
+                    if labelled and others:
+                        rate = total[2] / total[1]
+                        if (blocked / labelled - (total[2] - blocked) / others) ** 2 > 1.96**2 * rate * (1 - rate) * (1 / labelled + 1 / others):
+                            continue
+                    good.append(child)
+                if len(good) > 1:
+                    merge |= {(parent, c) for c in good}
+            for t in counts:
+                if len(t) > depth:
+                    path[t] = (*path[t], "{~}" if len(t) > depth + 1 and (path[t], t[depth]) in merge else t[depth])
+        for s in own:
+            final[host, s] = host + "/".join(path[tuple(seg[s])])
+    keys = lambda h, t: ("", ".".join(h.split(".")[-2:]), h, h + (t[len(h) :].rpartition("/")[0]), t)
+    sums = [defaultdict(lambda: [0, 0]) for _ in range(5)]
+    for (h, s), (_, labelled, blocked) in leaves.items():
+        for level, key in zip(sums, keys(h, final[h, s]), strict=True):
+            level[key][0] += labelled
+            level[key][1] += blocked
+    out = []
+    for host, p, _, verdict in ruled:
+        template, purity = final[host, shape(p)], 0.5
+        for level, key in zip(sums, keys(host, template), strict=True):
+            labelled, blocked = level[key]
+            purity = (blocked + 2 * (0.5 + 0.5 * (purity - 0.5) if level is not sums[0] else 0.5)) / (labelled + 2)
+        out.append((template, round(purity, 9), verdict or ("block" if purity >= 0.8 else "allow")))
+    return out
+
+
+def test_verdicts_match_a_plain_tree(spark):
+    rng = random.Random(6)
+    urls = []
+    for host in ("a.x.net", "b.x.net", "c.org", "d.com", "e.net"):
+        for lang, n in (("en", 60), ("de", 30), ("es", 25), ("fr", 12)):
+            for _ in range(n):
+                tail = rng.choice(["{}", "{}.html", "{}/", "a/{}", "a/{}/comments"]) if host != "b.x.net" or lang != "en" else rng.choice(["list/{}", "{}.html", "{}/"])
+                urls.append(f"http://{host}/{lang}/{tail.format(rng.randrange(10**6))}?q")
+        urls += [f"http://{host}/tags/{''.join(rng.choice('abcdefgh') for _ in range(9))}/x" for _ in range(30)] + [f"http://{host}", f"http://{host}/", f"http://{host}//", f"http://{host}/en"]
+    urls += URLS
+    out = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)).collect()}
+    got = [(out[k].template, round(out[k].purity, 9), out[k].verdict) for k in range(len(urls))]
+    want = _plain(urls)
+    assert [x for x in zip(urls, got, want, strict=True) if x[1] != x[2]] == []
+    unruled = [out[k] for k in range(len(urls)) if out[k].rule is None]
+    assert {"allow", "block"} == {r.verdict for r in unruled} and any("{~}" in r.template for r in unruled)
+
+
+def test_the_method_decides_urls_of_the_tables(spark):
+    """Unruled urls of the larger table are judged by labels, and the result is that of the plain tree."""
+    path = "/root/testdata/sf0.1/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    pages = spark.read.parquet(path).select("page_id", "url")
+    rows = pages.collect()
+    out = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    got = [(out[r.page_id].template, round(out[r.page_id].purity, 9), out[r.page_id].verdict) for r in rows]
+    assert got == _plain([r.url for r in rows])
+    unruled = [r for r in out.values() if r.rule is None]
+    assert any("{~}" in r.template for r in unruled) and {"allow", "block"} == {r.verdict for r in unruled}
+
+
+def test_edges(spark):
+    long = "http://long.net/" + "x" * 200_000
+    rows = [(1, long, 5, "h", "t"), (2, "http://deep.net" + "/y" * 3000, 5, "h", "t"), (2, None, None, None, None), (None, "", 1, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, id int, host string, template string")
+    out = url_filter.filter_urls(pages).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.host, r.verdict) for r in out) == [(False, 1, "long.net", "allow"), (False, 2, "", "allow"), (False, 2, "deep.net", "allow"), (True, 0, "", "allow")]
+    assert url_filter.host_and_path(spark.range(1).select("id").id.cast("string"))  # reads the column it is given
+    one = spark.createDataFrame([("http://Ab.c/d?e",)], "link string")
+    host, path = url_filter.host_and_path(one.link)
+    assert tuple(one.select(host, path).first()) == ("ab.c", "/d")
