@@ -41,16 +41,17 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Sketches and shingles a sketch: for texts of LONG_FROM shingles or more, and for those of fewer than SHORT_BELOW.
 #: A pair whose shingles have the Jaccard similarity J shares one with a chance of about 1 - (1 - J ** ELL) ** M: words
-#: changed here and there up to a similarity of 0.8 leave a J of about 0.53 in long texts, found with 0.994, and one of 0.23
-#: or more in short ones, found with 0.92 at least.
-M_LONG, ELL_LONG, LONG_FROM = 32, 3, 40
+#: changed here and there leave a J of about 0.53 in long texts at a similarity of 0.8, found with 0.93, and of 0.6 at 0.83,
+#: found with 0.99; in short ones J is 0.23 or more, found with 0.92 at least. More shingles a sketch would lose more, and
+#: fewer would bring unlike texts together that share a passage.
+M_LONG, ELL_LONG, LONG_FROM = 32, 4, 40
 M_SHORT, ELL_SHORT, SHORT_BELOW = 48, 2, 50
 #: Buckets of more texts have their members' shingles counted before members meet.
-LARGE = 16
+LARGE = 64
 #: Middles of a crowded bucket that all its members are compared to before they are compared pair by pair.
 MIDDLES = 2
-#: Ids of texts to compare that are broadcast at most (they are counted first).
-USED = 1_000_000
+#: Ids of texts to compare that are broadcast at most, and rows of other narrow tables (they are counted first).
+USED, NARROW = 1_000_000, 400_000
 
 WORD = re.compile(r"\w+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -236,7 +237,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The links (a, b, similarity) among the distinct pairs (a, b, na, nb), written."""
     close = materialize(pairs.filter(F.least("na", "nb") >= F.greatest("na", "nb") * SIMILARITY).select("a", "b"))
     seqs = materialize(_words_of(nodes, close.select(F.col("a").alias("node")).union(close.select("b")).distinct()))
-    one = lookup_join(close, seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa")), "a", "inner", rows=0, spread=F.col("b"))
+    firsts = seqs.select(F.col("node").alias("a"), F.col("seq").alias("sa"))
+    one = firsts.join(F.broadcast(close), "a") if fits(close, NARROW) else lookup_join(close, firsts, "a", "inner", rows=0, spread=F.col("b"))
     both = lookup_join(materialize(one), seqs.select(F.col("node").alias("b"), F.col("seq").alias("sb")), "b", "inner", rows=0, spread=F.col("a"))
     return materialize(both.select("a", "b", _alignment("sa", "sb").alias("similarity")).filter(F.col("similarity") >= SIMILARITY))
 
@@ -255,7 +257,7 @@ def _mixed(members: DataFrame) -> DataFrame:
 def _shareable(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, r): of how many words of a member of a crowded bucket the shingles are found in such a member of another component."""
     crowded = materialize(members.filter(F.col("size") > LARGE).select("node", "comp").distinct())
-    listed = lookup_join(crowded, _words_of(nodes, crowded.select("node")).select("node", "seq"), "node", "inner", rows=0)
+    listed = _words_of(nodes, crowded.select("node")).select("node", "seq").join(F.broadcast(crowded) if fits(crowded, NARROW) else crowded, "node")
     listed = materialize(listed.repartition("node").select("node", "comp", F.posexplode(_shingle_list("seq")).alias("p", "s")))
     several = listed.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("s")
     places = lookup_join(listed.drop("comp"), materialize(several), "s", "inner", spread=F.col("node")).groupBy("node").agg(F.sort_array(F.collect_list("p")).alias("ps"))
@@ -273,17 +275,21 @@ def _can_link(n: str, r: str, on: str, or_: str) -> Column:
 def _relabelled(members: DataFrame, found: DataFrame) -> DataFrame:
     """members with their components after the links found."""
     comp = connected_components(found.select("a", "b"))
-    return materialize(lookup_join(members.drop("comp"), comp, "node", spread=F.col("k")).withColumn("comp", F.coalesce("comp", "node")))
+    return materialize(lookup_join(members.drop("comp"), comp, "node", rows=NARROW, spread=F.col("k")).withColumn("comp", F.coalesce("comp", "node")))
+
+
+#: A member of bucket k, the words that it may share, and whether it was compared to all others of the bucket.
+_MEMBER = ("k", "node", "comp", "n", "r", "met")
 
 
 def _still_mixed(members: DataFrame) -> DataFrame:
-    """The members (k, node, comp, n, r) of buckets with several components, with the bucket's size now and its least n."""
+    """The members (k, node, comp, n, r, met) of buckets with several components, with the bucket's size now and its least n."""
     mixed = materialize(_mixed(members))
-    return materialize(lookup_join(members.select("k", "node", "comp", "n", "r"), mixed, "k", "inner", spread=F.col("node")))
+    return materialize(lookup_join(members.select(*_MEMBER), mixed, "k", "inner", rows=NARROW, spread=F.col("node")))
 
 
 def _across(members: DataFrame, nodes: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
-    """found, with the links between members (k, node, comp, n) of one bucket but of different components.
+    """found, with the links between members (k, node, comp, n, met) of one bucket but of different components.
 
     Where a bucket is crowded, the words are counted that a member can share with a member of another component at all, and
     members that then can link to no one are set aside. Of the rest, the one with the fewest other words is the middle of
@@ -294,9 +300,9 @@ def _across(members: DataFrame, nodes: DataFrame, found: DataFrame, tested: Data
     members = _still_mixed(members.withColumn("r", F.col("n")))
     crowded = members.filter(F.col("size") > LARGE)
     if not crowded.isEmpty():
-        limited = lookup_join(crowded.drop("r"), _shareable(members, nodes), "node", "inner", spread=F.col("k"))
+        limited = lookup_join(crowded.drop("r"), _shareable(members, nodes), "node", "inner", rows=NARROW, spread=F.col("k"))
         limited = limited.filter(_can_link("n", "r", "least", "r"))
-        members = _still_mixed(limited.select("k", "node", "comp", "n", "r").unionByName(members.filter(F.col("size") <= LARGE).select("k", "node", "comp", "n", "r")))
+        members = _still_mixed(limited.select(*_MEMBER).unionByName(members.filter(F.col("size") <= LARGE).select(*_MEMBER)))
     hubs = None
     for _ in range(MIDDLES):
         pool = members.filter(F.col("size") > LARGE)
@@ -308,13 +314,17 @@ def _across(members: DataFrame, nodes: DataFrame, found: DataFrame, tested: Data
         middle = pool.groupBy("k").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("own"), "node", "n", "r", "comp")).alias("m"))
         middle = materialize(middle.select("k", F.col("m.node").alias("hub"), F.col("m.n").alias("hn"), F.col("m.r").alias("hr"), F.col("m.comp").alias("hc")))
         hubs = middle if hubs is None else hubs.unionByName(middle)
-        rows = lookup_join(members, middle, "k", "inner", spread=F.col("node")).filter((F.col("comp") != F.col("hc")) & _can_link("n", "r", "hn", "hr"))
+        members = materialize(lookup_join(members, middle, "k", rows=NARROW, spread=F.col("node")))
+        rows = members.filter((F.col("comp") != F.col("hc")) & _can_link("n", "r", "hn", "hr"))
+        members = members.withColumn("met", F.col("met") | F.coalesce(F.col("node") == F.col("hub"), F.lit(False))).select(*_MEMBER)
         pairs = materialize(_pairs(rows, "node", "n", "hub", "hn").join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         found, tested = found.union(_verified(pairs, nodes)), tested.unionByName(pairs)
         members = _still_mixed(_relabelled(members, found))
-    # Of all the buckets that two texts share, the one with the least key makes the pair.
+    # Hubs and middles have met their whole bucket. Of all the other buckets that two texts share, the one with the least key
+    # makes the pair.
+    members = members.filter(~F.col("met"))
     keys = members.groupBy("node").agg(F.sort_array(F.collect_list("k")).alias("ks"))
-    members = materialize(members.select("k", "node", "comp", "n", "r").join(keys, "node"))
+    members = materialize(members.select(*_MEMBER).join(keys, "node"))
     other = members.select("k", F.col("node").alias("o"), F.col("comp").alias("oc"), F.col("n").alias("on"), F.col("r").alias("or_"), F.col("ks").alias("oks"))
     apart = (F.col("node") < F.col("o")) & (F.col("comp") != F.col("oc")) & _can_link("n", "r", "on", "or_") & (F.array_min(F.array_intersect("ks", "oks")) == F.col("m.k"))
     met = members.alias("m").join(other.alias("o"), (F.col("m.k") == F.col("o.k")) & apart)
@@ -329,12 +339,13 @@ def links(nodes: DataFrame) -> DataFrame:
     total = nodes.agg(F.sum(F.size("sig"))).first()[0] or 0
     heavy = hubs.filter(F.col("size") * SHARE > total).select("k")
     members = materialize(lookup_join(keyed, hubs.select("k", "hub"), "k", "inner", rows=0, spread=F.col("node"), heavy=heavy).distinct())
-    sizes = members.select(F.col("node").alias("hub"), F.col("n").alias("hn")).distinct()
-    stars = lookup_join(members.select("node", "n", "hub").distinct(), materialize(sizes), "hub", "inner", spread=F.col("node"))
+    sizes = members.filter(F.col("node") == F.col("hub")).select("hub", F.col("n").alias("hn")).distinct()
+    stars = lookup_join(members.select("node", "n", "hub").distinct(), materialize(sizes), "hub", "inner", rows=NARROW, spread=F.col("node"))
     tested = materialize(_pairs(stars, "node", "n", "hub", "hn"))
     found = _verified(tested, nodes)
     # Where a bucket still holds several components, its texts are compared across them.
-    return materialize(_across(_relabelled(members.withColumn("comp", F.col("node")), found), nodes, found, tested))
+    members = members.select("k", "node", F.col("node").alias("comp"), "n", (F.col("node") == F.col("hub")).alias("met"))
+    return materialize(_across(_relabelled(members, found), nodes, found, tested))
 
 
 def classes(rows: DataFrame, id_col: str) -> DataFrame:
