@@ -1,15 +1,15 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into sentences (at line ends, and after . ! or ? before white space). A span is a
-run of LEAST_SENTENCES or more sentences with LEAST_WORDS words. The shortest span
-from every sentence on, and the shortest one up to every sentence, are hashed (96 bits, over the words in lower case)
-and counted over the whole corpus; longer spans cover nothing that these don't. The first occurrence, by doc_id and
-place, stays; sentences covered by any other occurrence are removed.
+Texts are cut into sentences (at line ends, and after . ! or ? before white space). From every sentence on, and up to
+every sentence, slides a span over several consecutive sentences: LEAST_WORDS words, or one more than the sentence has,
+so that it holds the sentence whole and goes on into its neighbours, the last of which may be cut. A sentence of
+PASSAGE words is a passage by itself and its own span. Spans are hashed (96 bits, over the words in lower case) and
+counted over the whole corpus; longer spans cover nothing that these don't. The first occurrence, by doc_id and place,
+stays; sentences that lie wholly in any other occurrence are removed.
 
-Repeated passages need not begin or end with a sentence, so a second pass goes by words: a sentence that lies wholly in
-PASSAGE words that occur before goes too (a longer sentence if all its runs of PASSAGE words do). Every run of PASSAGE
-words holds a mark, a run of KEY words whose hash is the least among its neighbours; only around marks that occur twice,
-one of them beside a sentence that is still there, are the runs of PASSAGE words hashed and counted.
+Repeated passages need not begin or end with a sentence. Every sentence of a repeated passage of PASSAGE words that is
+whole in both copies has a span that lies in the passage: with fewer than LEAST_WORDS words, it has so many with those
+before it or with those after it; with more, one word before or after it is in the passage. So all these are found.
 
 Defined results: NULL and empty texts have no spans; a NULL doc_id comes after all others; rows with the same doc_id are
 separate documents, in an order that the input's layout fixes; an empty table gives an empty result.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,8 @@ from pyspark.sql import types as T
 
 from .common import SHARE, column_or_null, lookup_join, materialize, nested
 
-LEAST_SENTENCES, LEAST_WORDS = 2, 20
-#: Words of a repeated passage wherever its edges fall, and of the marks that find it.
-PASSAGE, KEY = 50, 25
+#: Least words of a span, and the words of a sentence that is a passage by itself.
+LEAST_WORDS, PASSAGE = 20, 50
 END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -64,62 +64,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _Words(dict):
+    """64-bit hashes of words, kept up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_words = _Words()
+
+
 def spans(words: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first sentence, sentence after the last, 64-bit hash, 32-bit hash) of every span over the sentences' words."""
-    n = len(words)
-    if not n:
-        return (np.zeros(0, np.int32),) * 2 + (np.zeros(0, np.int64),) * 2
-    digests = [xxhash.xxh3_128_intdigest(" ".join(w)) for w in words]
-    high = np.array([d >> 64 for d in digests], np.uint64)
-    low = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64)
-    counts = np.array([len(w) for w in words])
-    total = np.concatenate([[0], np.cumsum(counts)])
-    place = np.arange(n)
-    end = np.maximum(np.searchsorted(total, total[:-1] + LEAST_WORDS, "left"), place + LEAST_SENTENCES)
-    begin = np.minimum(np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1, place + 1 - LEAST_SENTENCES)
-    both = np.unique(np.concatenate([(place * (n + 1) + end)[end <= n], (begin * (n + 1) + place + 1)[begin >= 0]]))
-    i, end = both // (n + 1), both % (n + 1)
-    out = []
-    power, inverse = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
-    for h in (high, low):
-        summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(h) * power, dtype=np.uint64)])
-        out.append(_mix((summed[end] - summed[i]) * inverse[i] + (end - i).astype(np.uint64)))
-    return i.astype(np.int32), end.astype(np.int32), out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.int64)
-
-
-def _runs(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit and 32-bit hash of the run of `size` words from every word on that has so many."""
-    n = len(words)
-    if n < size:
-        return (np.zeros(0, np.uint64),) * 2
-    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    power, inverse = _powers(_BASE, n), _powers(_BASE_INVERSE, n)
+    """(first word, word after the last, 64-bit hash, 32-bit hash) of every span over the sentences' words."""
+    counts = np.array([len(w) for w in words], np.int64)
+    edge = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+    total = int(edge[-1])
+    size = np.where(counts >= PASSAGE, counts, np.maximum(counts + 1, LEAST_WORDS))
+    onward, back = edge[:-1] + size <= total, edge[1:] - size >= 0
+    both = np.unique(np.concatenate([(edge[:-1] * (total + 1) + edge[:-1] + size)[onward], ((edge[1:] - size) * (total + 1) + edge[1:])[back]]))
+    first, end = both // (total + 1), both % (total + 1)
+    digests = np.fromiter((_words[w] for own in words for w in own), np.uint64, total)
+    power, inverse = _powers(_BASE, total), _powers(_BASE_INVERSE, total)
     out = []
     for h in (_mix(digests), _mix(digests ^ _BASE)):
         summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * power, dtype=np.uint64)])
-        out.append(_mix((summed[size:] - summed[:-size]) * inverse[: n - size + 1]))
-    return out[0], out[1] >> np.uint64(32)
-
-
-def marks(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the marks: equal runs of PASSAGE words have equal marks at equal places, one at least."""
-    if len(words) < PASSAGE:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64)
-    keys, _ = _runs(words, KEY)
-    least = np.lib.stride_tricks.sliding_window_view(keys, PASSAGE - KEY + 1).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
-    return at.astype(np.int32), keys[at].view(np.int64)
+        out.append(_mix((summed[end] - summed[first]) * inverse[first] + (end - first).astype(np.uint64)))
+    return first.astype(np.int32), end.astype(np.int32), out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.int64)
 
 
-_MARK = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("h", T.LongType())])
 _SPAN = T.StructType([T.StructField("i", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("g", T.LongType())])
-_CUT = T.StructType([T.StructField("start", T.ArrayType(T.IntegerType())), T.StructField("end", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("marks", T.ArrayType(_MARK))])
+_CUT = T.StructType([T.StructField("start", T.ArrayType(T.IntegerType())), T.StructField("end", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("spans", T.ArrayType(_SPAN))])
 
 
 @F.arrow_udf(_CUT)
 def _cut(texts: pa.Array) -> pa.Array:
-    starts, ends, words, found, marked = [], [], [], [], []
-    at_sentence, at_span, at_mark = [0], [0], [0]
+    starts, ends, words, found = [], [], [], []
+    at_sentence, at_span = [0], [0]
     for text in texts.to_pylist():
         own = sentences(text)
         each = [text[s:e].lower().split() for s, e in own]
@@ -129,83 +112,30 @@ def _cut(texts: pa.Array) -> pa.Array:
         found.append(spans(each))
         at_sentence.append(len(starts))
         at_span.append(at_span[-1] + len(found[-1][0]))
-        marked.append(marks([w for one in each for w in one]))
-        at_mark.append(at_mark[-1] + len(marked[-1][0]))
-    column = lambda k, kind, of=found: pa.array(np.concatenate([np.zeros(0, np.int32), *[f[k] for f in of]]), kind)
+    column = lambda k, kind: pa.array(np.concatenate([np.zeros(0, np.int32), *[f[k] for f in found]]), kind)
     struct = pa.StructArray.from_arrays([column(0, pa.int32()), column(1, pa.int32()), column(2, pa.int64()), column(3, pa.int64())], ["i", "e", "h", "g"])
-    mark = pa.StructArray.from_arrays([column(0, pa.int32(), marked), column(1, pa.int64(), marked)], ["i", "h"])
     listed = lambda values: pa.ListArray.from_arrays(pa.array(at_sentence, pa.int32()), pa.array(values, pa.int32()))
-    return pa.StructArray.from_arrays([listed(starts), listed(ends), listed(words), pa.ListArray.from_arrays(pa.array(at_span, pa.int32()), struct), pa.ListArray.from_arrays(pa.array(at_mark, pa.int32()), mark)], ["start", "end", "words", "spans", "marks"])
+    return pa.StructArray.from_arrays([listed(starts), listed(ends), listed(words), pa.ListArray.from_arrays(pa.array(at_span, pa.int32()), struct)], ["start", "end", "words", "spans"])
 
 
 _REMOVED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("span_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_sentences", pa.int32()), ("n_words", pa.int64()), ("first_doc_id", pa.int64())])
 
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (words, hits, at), at being the non-first marks: (h, low, high), the places before a mark from which on a run of PASSAGE words holds a sentence that no hit removes, or lies in one."""
-    for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for r in batch.to_pylist():
-            edge = np.concatenate([[0], np.cumsum(r["words"])]).tolist()
-            gone = {k for hit in r["hits"] or () for k in range(hit["i"], hit["e"])}
-            left = [k for k in range(len(edge) - 1) if k not in gone]
-            for mark in r["at"]:
-                p = mark["i"]
-                # Sentences that end after the run's earliest first word, in their order, until one begins too late.
-                for k in left[bisect_right(left, bisect_right(edge, max(0, p + KEY - PASSAGE)) - 2) :]:
-                    s, t = edge[k], edge[k + 1]
-                    if s >= p + PASSAGE:
-                        break
-                    low, high = (max(t, p + KEY) - PASSAGE, min(s, p)) if t - s <= PASSAGE else (max(s, p + KEY - PASSAGE), min(t - PASSAGE, p))
-                    low, high = max(low, 0), min(high, edge[-1] - PASSAGE)
-                    if low <= high:
-                        out.append((mark["h"], low - p, high - p))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["h", "low", "high"])
-
-
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (uid, doc_id, text, at), at being marks with low and high: the runs of PASSAGE words there, as (uid, doc_id, h, g, i, e)."""
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            h, g = _runs([w for s, e in sentences(r["text"]) for w in r["text"][s:e].lower().split()], PASSAGE)
-            wanted = np.zeros(len(h), bool)
-            for mark in r["at"]:
-                wanted[max(0, mark["i"] + mark["low"]) : max(0, mark["i"] + mark["high"] + 1)] = True
-            i = np.flatnonzero(wanted)
-            out.append((np.full(len(i), r["uid"]), [r["doc_id"]] * len(i), h[i].view(np.int64), g[i].astype(np.int64), i.astype(np.int32)))
-        flat = lambda k, kind: pa.array(np.concatenate([np.zeros(0, np.int32), *[x[k] for x in out]]), kind)
-        first = flat(4, pa.int32())
-        yield pa.RecordBatch.from_arrays([flat(0, pa.int64()), pa.array([d for x in out for d in x[1]], pa.int64()), flat(2, pa.int64()), flat(3, pa.int64()), first, pa.array(first.to_numpy() + np.int32(PASSAGE), pa.int32())], ["uid", "doc_id", "h", "g", "i", "e"])
-
-
-def _in_passages(words: list[int], found: list[tuple[int, int | None]]) -> list[dict]:
-    """The sentences that lie in the repeated runs of PASSAGE words (first word, document of the first copy), as hits."""
-    found = sorted(found, key=lambda x: x[0])
-    at = [i for i, _ in found]
-    out, s = [], 0
-    for k, n in enumerate(words):
-        t = s + n
-        a, b = bisect_left(at, min(s, t - PASSAGE)), bisect_right(at, max(s, t - PASSAGE))
-        if b - a >= (1 if n <= PASSAGE else n - PASSAGE + 1):
-            out.append({"i": k, "e": k + 1, "first": min((f for _, f in found[a:b] if f is not None), default=None)})
-        s = t
-    return out
-
-
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (uid, doc_id, start, end, words, hits) to maximal runs of removed sentences."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
             runs: list[list] = []
-            hits = [x for x in r["hits"] if not x["passage"]] + _in_passages(r["words"], [(x["i"], x["first"]) for x in r["hits"] if x["passage"]])
-            for hit in sorted(hits, key=lambda x: (x["i"], x["e"])):
-                if runs and hit["i"] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], hit["e"])
-                    runs[-1][2] = min((x for x in (runs[-1][2], hit["first"]) if x is not None), default=None)
+            edge = list(accumulate(r["words"], initial=0))
+            # The sentences that lie wholly in each span.
+            hits = [(bisect_left(edge, x["i"]), bisect_right(edge, x["e"]) - 1, x["first"]) for x in r["hits"]]
+            for i, e, of in sorted(hits, key=lambda x: x[:2]):
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], e)
+                    runs[-1][2] = min((x for x in (runs[-1][2], of) if x is not None), default=None)
                 else:
-                    runs.append([hit["i"], hit["e"], hit["first"]])
+                    runs.append([i, e, of])
             for no, (i, e, first) in enumerate(runs):
                 out.append({"uid": r["uid"], "doc_id": r["doc_id"], "span_no": no, "start": r["start"][i], "end": r["end"][e - 1], "n_sentences": e - i, "n_words": sum(r["words"][i:e]), "first_doc_id": first})
         yield pa.RecordBatch.from_pylist(out, schema=_REMOVED)
@@ -217,39 +147,27 @@ def _cut_rows(docs: DataFrame, *cols: Column) -> DataFrame:
     return materialize(rows.withColumn("__uid", F.monotonically_increasing_id()))
 
 
-def _copies(every: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """Of (uid, doc_id, h, g, i, e), `total` rows: those whose hashes (h, g) occur twice or more, and of these all but the first, with the first's doc_id as `first`."""
+def _copies(every: DataFrame, total: int) -> DataFrame:
+    """Of (uid, doc_id, h, g, i, e), `total` rows: all but the first of those whose hashes (h, g) occur twice or more, with the first's doc_id as `first`."""
     spread = F.col("uid")
-    # Counting needs the hashes only; most occur once and go no further than this.
-    often = materialize(every.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1"))
-    heavy = often.filter(F.col("n") * SHARE > total).select("h").distinct()
-    met = lookup_join(every, often.select("h", F.col("g").alias("g2")), "h", "inner", spread=spread, heavy=heavy).filter("g = g2").drop("g2")
-    met = materialize(met)
+    # Counting needs one hash only; most occur once and go no further than this.
+    often = materialize(every.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
+    heavy = often.filter(F.col("n") * SHARE > total).select("h")
+    met = materialize(lookup_join(every, often.select("h"), "h", "inner", spread=spread, heavy=heavy))
     first = met.groupBy("h", "g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid", "i")).alias("f"))
-    first = materialize(first.select("h", F.col("g").alias("g2"), F.col("f.doc_id").alias("first"), F.col("f.uid").alias("first_uid"), F.col("f.i").alias("first_i")))
-    return met, lookup_join(met, first, "h", "inner", spread=spread).filter("g = g2 and not (uid = first_uid and i = first_i)")
+    # Where two texts share the first hash only, each of the two is a first of its own.
+    first = first.groupBy("h").agg(F.collect_list(F.struct("g", "f")).alias("firsts"))
+    of = lambda c: F.filter("firsts", lambda x: x["g"] == F.col("g"))[0]["f"][c]
+    joined = lookup_join(met, materialize(first), "h", "inner", spread=spread, heavy=heavy)
+    return joined.select("uid", "i", "e", of("doc_id").alias("first"), of("uid").alias("first_uid"), of("i").alias("first_i")).filter("not (uid = first_uid and i = first_i)")
 
 
 def _removed(rows: DataFrame) -> DataFrame:
     """(uid, doc_id, span_no, start, end, n_sentences, n_words, first_doc_id) of every removed run of the cut rows."""
     cut = rows.select(F.col("__uid").alias("uid"), F.col("__id").alias("doc_id"), F.col("__c").alias("c"))
-    n_spans, n_marks = rows.agg(F.sum(F.size("__c.spans")), F.sum(F.size("__c.marks"))).first()
+    n_spans = rows.agg(F.sum(F.size("__c.spans"))).first()[0]
     every = cut.select("uid", "doc_id", F.explode("c.spans").alias("s")).select("uid", "doc_id", "s.h", "s.g", "s.i", "s.e")
-    _, hits = _copies(every, n_spans or 0)
-    hits = materialize(hits.select("uid", "i", "e", "first"))
-    # Marks that occur twice: of the groups with a non-first one beside a sentence that stays, all runs of words there.
-    every = cut.select("uid", "doc_id", F.explode("c.marks").alias("s")).select("uid", "doc_id", "s.h", F.lit(0).alias("g"), "s.i", F.lit(0).alias("e"))
-    met, others = _copies(every, n_marks or 0)
-    marked = others.groupBy("uid").agg(F.collect_list(F.struct("h", "i")).alias("at"))
-    marked = cut.select("uid", "c.words").join(marked, "uid").join(hits.groupBy("uid").agg(F.collect_list(F.struct("i", "e")).alias("hits")), "uid", "left")
-    near = marked.select("words", "hits", "at").mapInArrow(_open, "h long, low int, high int")
-    near = materialize(near.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")))
-    at = lookup_join(met.select("uid", "h", "i"), near, "h", "inner", spread=F.col("uid")).groupBy("uid").agg(F.collect_list(F.struct("i", "low", "high")).alias("at"))
-    texts = rows.select(F.col("__uid").alias("uid"), F.col("__id").alias("doc_id"), F.col("__text").alias("text"))
-    runs = materialize(texts.join(at, "uid").mapInArrow(_passages, "uid long, doc_id long, h long, g long, i int, e int"))
-    _, found = _copies(runs, runs.count())
-    hits = hits.withColumn("passage", F.lit(False)).unionByName(found.select("uid", "i", "e", "first", F.lit(True).alias("passage")))
-    by_doc = hits.groupBy("uid").agg(F.collect_list(F.struct("passage", "i", "e", "first")).alias("hits"))
+    by_doc = _copies(every, n_spans or 0).groupBy("uid").agg(F.collect_list(F.struct("i", "e", "first")).alias("hits"))
     joined = cut.join(by_doc, "uid").select("uid", "doc_id", "c.start", "c.end", "c.words", "hits")
     return joined.mapInArrow(_merge, "uid long, doc_id long, span_no int, start int, end int, n_sentences int, n_words long, first_doc_id long")
 

@@ -38,35 +38,24 @@ def cut(text):
 
 
 def brute(rows):
-    """Removed sentences by plain comparison of the words of all spans of two sentences or more and 20 words or more, and of all runs of 50 words."""
-    own, seen = {}, defaultdict(list)
+    """Removed sentences by plain comparison of the words of all spans."""
+    own, seen = {}, defaultdict(set)
     for order, (doc, text) in enumerate(rows):
         found = cut(text)
         words = [text[s:e].lower().split() for s, e in found]
-        edge = [0]
-        for w in words:
-            edge.append(edge[-1] + len(w))
+        edge = [sum(map(len, words[:k])) for k in range(len(words) + 1)]
         flat = [x for w in words for x in w]
         own[order] = (found, edge)
-        for i in range(len(found)):
-            for e in range(i + 2, len(found) + 1):
-                if edge[e] - edge[i] >= 20:
-                    seen["span", tuple(" ".join(w) for w in words[i:e])].append((doc is None, doc or 0, order, i, e))
-        for i in range(len(flat) - 49):
-            seen["run", tuple(flat[i : i + 50])].append((doc is None, doc or 0, order, i, i + 50))
-    gone, runs = defaultdict(set), defaultdict(set)
-    for (kind, _), places in seen.items():
-        for _, _, order, i, e in sorted(places)[1:]:
-            if kind == "span":
-                gone[order] |= set(range(i, e))
-            else:
-                runs[order].add(i)
-    for order, starts in runs.items():
-        _, edge = own[order]
-        for k, (s, t) in enumerate(zip(edge, edge[1:], strict=False)):
-            inside = [i for i in starts if i <= s and t <= i + 50] if t - s <= 50 else range(s, t - 49)
-            if t - s <= 50 and inside or t - s > 50 and set(inside) <= starts:
-                gone[order].add(k)
+        for s, t in zip(edge, edge[1:], strict=False):
+            size = t - s if t - s >= 50 else max(20, t - s + 1)
+            for p, q in ((s, s + size), (t - size, t)):
+                if 0 <= p and q <= len(flat):
+                    seen[tuple(flat[p:q])].add((doc is None, doc or 0, order, p, q))
+    gone = defaultdict(set)
+    for places in seen.values():
+        for _, _, order, p, q in sorted(places)[1:]:
+            edge = own[order][1]
+            gone[order] |= {k for k in range(len(edge) - 1) if p <= edge[k] and edge[k + 1] <= q}
     return sorted(((rows[order][0], own[order][0][i]) for order, places in gone.items() for i in places), key=repr)
 
 
@@ -116,6 +105,28 @@ def test_passages_whose_edges_are_not_sentence_ends_are_found(spark):
     rows = [(10 * d + k, f"{text(30)} {p} {text(30)}.") for k, p in enumerate(passages) for d in (0, 1)]
     out = spans.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     gone = {r.doc_id: dict(rows)[r.doc_id][r.start : r.end] for r in out}
-    # The third is 40 words long only, the fourth holds a sentence of 55; nothing goes from any first copy.
-    assert gone == {10: one + ".", 11: two + ". " + " ".join(passages[1].split(". ")[2].split()[:8]), 13: passages[3].split(". ")[1] + "."}
+    # Nothing goes from any first copy, and no sentence that is partly outside of the passage.
+    assert gone == {10: one + ".", 11: two + ". " + " ".join(passages[1].split(". ")[2].split()[:8]), 12: passages[2].split(". ")[1] + ".", 13: passages[3].split(". ")[1] + "."}
     assert all(r.first_doc_id == r.doc_id - 10 for r in out)
+
+
+def test_every_whole_sentence_of_a_repeated_passage_goes(spark):
+    """Passages of 50 words or more, wherever they begin and end; a sentence at an edge may be whole in one copy only, and stays."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    stream = lambda n: [word() + ("." if rng.random() < 0.07 else "") for _ in range(n)]
+    rows, inside = [], {}
+    for k in range(60):
+        passage = stream(rng.randrange(50, 90))
+        rows.append((k, " ".join([*stream(40), *passage, *stream(40)])))
+        before, after = stream(rng.randrange(0, 60)), stream(rng.randrange(0, 60))
+        rows.append((100 + k, " ".join([*before, *passage, *after])))
+        inside[100 + k] = (len(" ".join([*before, ""])) if before else 0, len(" ".join([*before, *passage])))
+    out = spans.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = dict(rows)
+    left = []
+    for d, (low, high) in inside.items():
+        gone = [(r.start, r.end) for r in out if r.doc_id == d]
+        both = {texts[d - 100][s:e] for s, e in cut(texts[d - 100])}
+        left += [(d, s, e) for s, e in cut(texts[d]) if texts[d][s:e] in both and low <= s and e <= high and not any(a <= s and e <= b for a, b in gone)]
+    assert not left and all(r.doc_id >= 100 for r in out)
