@@ -20,6 +20,14 @@ SHARDS = 8
 _left: list[str] = []
 
 
+def _roots(docs: DataFrame) -> list[str]:
+    """The paths that docs was read from, as its plan names them; no folder is listed."""
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    relations = [leaf for leaf in map(leaves.apply, range(leaves.size())) if leaf.getClass().getSimpleName() == "LogicalRelation"]
+    found = [r.relation().location().rootPaths() for r in relations if r.relation().getClass().getSimpleName() == "HadoopFsRelation"]
+    return [paths.apply(k).toString() for paths in found for k in range(paths.size())]
+
+
 def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """A stage that first deletes what the stage before has left on the shared folder, unless its docs are read from there.
 
@@ -29,7 +37,7 @@ def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callabl
 
     @wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles()
+        read = _roots(docs)
         release(spark, [p for p in _left if not any(p.rpartition("/")[2] in f for f in read)])
         scope = Scratch(spark)
         out = work(spark, docs, sf_dir)

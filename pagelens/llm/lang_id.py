@@ -40,13 +40,34 @@ SAMPLE_DOCS = 6_000
 #: Of these, about so many of each language at least.
 LEAST_DOCS = 200
 
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.DOTALL | re.IGNORECASE)
+_HIDDEN = re.compile(r"<(script|style)\b", re.IGNORECASE)
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in ("script", "style")}
 _DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?\s*([A-Za-z]{2,3})""", re.IGNORECASE)
 
 
 def visible_text(page: str | None) -> str:
-    """Text of a page without markup, scripts and comments."""
-    return _html.unescape(_HIDDEN.sub(" ", page or ""))
+    """Text of a page without markup, scripts and comments; each is looked for to the end of the page once."""
+    page = page or ""
+    out, at, unclosed = [], 0, set()
+    while (tag := page.find("<", at)) >= 0:
+        hidden = _HIDDEN.match(page, tag)
+        kind = hidden[1].lower() if hidden else "comment" if page.startswith("<!--", tag) else None
+        end = -1
+        if kind and kind not in unclosed:
+            if hidden:
+                closing = _CLOSING[kind].search(page, hidden.end())
+                end = closing.end() if closing else -1
+            else:
+                end = page.find("-->", tag + 4) + 3 if page.find("-->", tag + 4) >= 0 else -1
+            if end < 0:
+                unclosed.add(kind)
+        if end < 0:
+            end = page.find(">", tag) + 1
+        if not end:
+            break
+        out += [page[at:tag], " "]
+        at = end
+    return _html.unescape("".join([*out, page[at:]]))
 
 
 def declared_language(page: str | None) -> str | None:
