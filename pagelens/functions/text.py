@@ -32,6 +32,16 @@ def count_prices(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(PRICE))
 
 
+def round1(value: Column) -> Column:
+    """A non-negative double to one decimal: to the nearest of its exact binary value, to the even one of two equally near."""
+    m = F.round(value * 20).cast("long")
+    # Only odd twentieths lie between two tenths; by how much the value is off one is exact in halves of it.
+    off = (value * 16 - m) + value * 4
+    up = (off > 0) | ((off == 0) & (F.pmod((m + 1) / 2, F.lit(2)) == 0))
+    between = (F.pmod(m, F.lit(2)) == 1) & (F.abs(value * 20 - m) < 1e-9)
+    return F.when(between, F.when(up, m + 1).otherwise(m - 1) / 20).otherwise(F.round(value, 1))
+
+
 def blank_to_null(text: Column) -> Column:
     return F.when(text != "", text)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ENGAGEMENT, count_prices, has_price, tokens, truncate_at_sentence
+from ..functions.text import ENGAGEMENT, count_prices, has_price, round1, tokens, truncate_at_sentence
 from .dom import Node, clean, extract, scope
 
 #: Tags of content, of zones that other operators read, and the bounds of a cluster.
@@ -161,7 +161,7 @@ def is_feed_item() -> Column:
 
 
 def quality(pages: DataFrame, blks: DataFrame, *, html_col: str = "html") -> DataFrame:
-    """How much of each page's text its blocks hold: tokens, coverage, repeated terms, price signals. Ratios are not rounded."""
+    """How much of each page's text its blocks hold: tokens, coverage, repeated terms, price signals. Ratios have one decimal."""
     source = extract(pages, _source, "source_text string, source_chars int", html_col=html_col)
     index = blks.groupBy("page_id").agg(
         F.sum("tokens").alias("indexed_tokens"),
@@ -182,11 +182,11 @@ def quality(pages: DataFrame, blks: DataFrame, *, html_col: str = "html") -> Dat
         "page_id",
         F.when(empty, 0).otherwise(tokens(F.col("source_text"))).alias("source_tokens"),
         "indexed_tokens",
-        F.when(empty, 100.0).otherwise(F.least(F.lit(100.0), 100 * F.col("indexed_chars") / F.greatest(F.lit(1), "source_chars"))).alias("coverage_pct"),
-        (100 * F.col("extra") / F.greatest(F.lit(1), "terms")).alias("duplicate_overhead_pct"),
+        F.when(empty, 100.0).otherwise(round1(F.least(F.lit(100.0), 100 * F.col("indexed_chars") / F.greatest(F.lit(1), "source_chars")))).alias("coverage_pct"),
+        round1(100 * F.col("extra") / F.greatest(F.lit(1), "terms")).alias("duplicate_overhead_pct"),
         "source_price_signals",
         "indexed_price_signals",
-        F.when(F.col("source_price_signals") > 0, 100 * F.col("indexed_price_signals") / F.greatest(F.lit(1), "source_price_signals")).otherwise(100.0).alias("signal_retention_pct"),
+        F.when(F.col("source_price_signals") > 0, round1(100 * F.col("indexed_price_signals") / F.greatest(F.lit(1), "source_price_signals"))).otherwise(100.0).alias("signal_retention_pct"),
         "structural_blocks",
         "card_blocks",
         F.when(F.col("structural_blocks") > 0, "hybrid").otherwise("semantic").alias("mode"),

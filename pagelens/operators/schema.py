@@ -55,6 +55,9 @@ def _table_rows(root: Node | None) -> list[dict]:
     return out
 
 
+TABLES = "table_idx int, header array<string>, cells array<array<string>>"
+
+
 def column_type(values: Column) -> Column:
     """The type of a column of cell texts, by a vote of its first 20 that are not empty."""
     sample = F.slice(F.filter(values, lambda v: ~F.coalesce(v, F.lit("")).isin(*EMPTY_CELLS)), 1, SAMPLE)
@@ -80,7 +83,10 @@ def column_type(values: Column) -> Column:
 
 def tables(pages: DataFrame, *, max_rows: int | None = None, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per table: columns, types, rows, total_rows, column_count, rows_returned and rows_truncated."""
-    raw = extract(pages, _table_rows, "table_idx int, header array<string>, cells array<array<string>>", html_col=html_col, keep=keep)
+    return _tables(extract(pages, _table_rows, TABLES, html_col=html_col, keep=keep), max_rows, keep)
+
+
+def _tables(raw: DataFrame, max_rows: int | None, keep: tuple[str, ...]) -> DataFrame:
     width = F.greatest(F.size("header"), F.coalesce(F.array_max(F.transform("cells", lambda r: F.size(r))), F.lit(0)))
     raw = raw.withColumn("__w", width)
     places = F.when(F.col("__w") > 0, F.sequence(F.lit(1), F.col("__w"))).otherwise(F.array().cast("array<int>"))
@@ -165,10 +171,9 @@ def _option_rows(select: Node) -> list[dict]:
     return [{"value": o.attrs.get("value", ""), "label": clean(o.content()) or o.attrs.get("value", "")} for o in select.find("option")]
 
 
-def _labels(form: Node, node: Node) -> dict:
+def _labels(by_id: dict[str, Node], node: Node) -> dict:
     """The texts that may label a field: of its label by id, of the label around it, and of the first label beside it."""
-    own = node.attrs.get("id")
-    named = next((n for n in form.find("label") if own and n.attrs.get("for") == own), None)
+    named = by_id.get(node.attrs.get("id") or "")
     around = ""
     for above in node.above():
         if above.tag == "label" and not around:
@@ -187,9 +192,13 @@ def _form_rows(root: Node | None) -> list[dict]:
         inputs = [n for n in form.find("input")]
         ordered = [n for n in inputs if n.attrs.get("type", "text") != "submit"] + list(form.find("select")) + list(form.find("textarea"))
         ordered += [n for n in form.find("button") if n.attrs.get("type", "submit") == "submit"] + [n for n in inputs if n.attrs.get("type") == "submit"]
+        by_id: dict[str, Node] = {}
+        for label in form.find("label"):
+            if label.attrs.get("for"):
+                by_id.setdefault(label.attrs["for"], label)
         base = {"form_idx": k, "action": clean(form.attrs.get("action")), "method": (form.attrs.get("method") or "get").upper()}
         for i, n in enumerate(ordered):
-            out.append(base | {"field_idx": i, "tag": n.tag, "attrs": n.attrs, "content": clean(n.content()), "options": _option_rows(n) if n.tag == "select" else []} | _labels(form, n))
+            out.append(base | {"field_idx": i, "tag": n.tag, "attrs": n.attrs, "content": clean(n.content()), "options": _option_rows(n) if n.tag == "select" else []} | _labels(by_id, n))
         if not ordered:
             out.append(base | {"field_idx": None})
     return out
@@ -197,7 +206,10 @@ def _form_rows(root: Node | None) -> list[dict]:
 
 def form_fields(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per field of each form, in the order inputs, selects, text areas, buttons: type, label, name, flags, kept attributes and options. A form without fields has one row with a NULL field_idx."""
-    raw = extract(pages, _form_rows, FIELDS, html_col=html_col, keep=keep)
+    return _fields(extract(pages, _form_rows, FIELDS, html_col=html_col, keep=keep), keep)
+
+
+def _fields(raw: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     a = F.col("attrs")
     given = F.coalesce(a["type"], F.lit("text"))
     submits = (F.col("tag") == "button") | ((F.col("tag") == "input") & (given == "submit"))
@@ -219,6 +231,9 @@ def forms(fields: DataFrame, *, keep: tuple[str, ...] = ("page_id",)) -> DataFra
     return fields.groupBy(*keep, "form_idx").agg(F.first("action").alias("action"), F.first("method").alias("method"), listed.alias("fields"), F.count("field_idx").alias("field_count"))
 
 
+LISTS = "list_idx int, type string, items array<struct<value:string,label:string>>"
+
+
 def _item_text(item: Node) -> str:
     parts = [item.text]
     for child in item.children:
@@ -247,7 +262,7 @@ def _list_rows(root: Node | None) -> list[dict]:
 
 def lists(pages: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """One row per list: unordered ones first, then ordered ones, then selects outside forms; type, items, total."""
-    raw = extract(pages, _list_rows, "list_idx int, type string, items array<struct<value:string,label:string>>", html_col=html_col, keep=keep)
+    raw = extract(pages, _list_rows, LISTS, html_col=html_col, keep=keep)
     return raw.withColumn("total", F.size("items"))
 
 
@@ -255,12 +270,40 @@ def list_items(lsts: DataFrame, *, keep: tuple[str, ...] = ("page_id",)) -> Data
     return lsts.select(*keep, "list_idx", "type", F.posexplode("items").alias("item_idx", "i")).select(*keep, "list_idx", "type", "item_idx", "i.value", "i.label")
 
 
-def page_schema(pages: DataFrame, *, max_rows: int | None = None) -> DataFrame:
-    """One row per page: its tables, forms and lists as arrays, and how many of each."""
-    t = tables(pages, max_rows=max_rows)
-    t = t.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("table_idx", "columns", "types", "rows", "total_rows"))).alias("tables"))
-    f = forms(form_fields(pages)).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("form_idx", "action", "method", "field_count"))).alias("forms"))
-    lst = lists(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("list_idx", "type", "total"))).alias("lists"))
-    out = pages.select("page_id").join(t, "page_id", "left").join(f, "page_id", "left").join(lst, "page_id", "left")
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    return out.withColumn("n_tables", F.greatest(size("tables"), F.lit(0))).withColumn("n_forms", F.greatest(size("forms"), F.lit(0))).withColumn("n_lists", F.greatest(size("lists"), F.lit(0)))
+def _schema_rows(root: Node | None) -> list[dict]:
+    return [{"kind": kind, name: row} for kind, (name, rows) in enumerate((("t", _table_rows(root)), ("f", _form_rows(root)), ("l", _list_rows(root)))) for row in rows] + [{"kind": 3}]
+
+
+def page_schema(pages: DataFrame, *, max_rows: int | None = None, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """One row per page: its tables, forms and lists as arrays, and how many of each. Each page is parsed once, and there is one shuffle by page."""
+    whole = lambda ddl: ddl.replace(" ", ":", 1)
+    struct = lambda ddl: "struct<" + ",".join(whole(part.strip()) for part in _fields_of(ddl)) + ">"
+    raw = extract(pages, _schema_rows, f"kind int, t {struct(TABLES)}, f {struct(FIELDS)}, l {struct(LISTS)}", html_col=html_col, keep=keep)
+    names = {c: raw.schema[c].dataType.names for c in "tfl"}
+    lists_ = {n: "list_type" if n == "type" else n for n in names["l"]}
+    rows = raw.select(*keep, "kind", *[F.col(f"{c}.{n}").alias(n) for c in "tf" for n in names[c]], *[F.col(f"l.{n}").alias(to) for n, to in lists_.items()])
+    # The expressions of each kind run over all rows, and what they make of other kinds is left out.
+    rows = _tables(rows, max_rows, (*keep, "kind", *names["f"], *lists_.values()))
+    table = F.struct("table_idx", "columns", "types", "rows", "total_rows")
+    rows = _fields(rows.withColumn("table", table), (*keep, "kind", "table", *lists_.values()))
+    field = F.struct("form_idx", "field_idx", "tag", "type", "label", "name", "required", "disabled", "options", "action", "method")
+    listed = F.struct("list_idx", F.col("list_type").alias("type"), "items", F.size("items").alias("total"))
+    gathered = lambda kind, one: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, one)))
+    out = rows.groupBy(*keep).agg(gathered(0, F.col("table")).alias("tables"), gathered(1, field).alias("__f"), gathered(2, listed).alias("lists"))
+    of_form = lambda k: F.filter("__f", lambda x: x["form_idx"] == k)
+    shown = ("tag", "type", "label", "name", "required", "disabled", "options")
+    fields = lambda k: F.transform(F.filter(of_form(k), lambda x: x["field_idx"].isNotNull()), lambda x: F.struct(*[x[n].alias(n) for n in shown]))
+    forms_ = F.transform(F.array_distinct(F.transform("__f", lambda x: x["form_idx"])), lambda k: F.struct(k.alias("form_idx"), F.get(of_form(k), F.lit(0))["action"].alias("action"), F.get(of_form(k), F.lit(0))["method"].alias("method"), fields(k).alias("fields")))
+    return out.select(*keep, "tables", forms_.alias("forms"), "lists").select("*", F.size("tables").alias("n_tables"), F.size("forms").alias("n_forms"), F.size("lists").alias("n_lists"))
+
+
+def _fields_of(ddl: str) -> list[str]:
+    """The top-level fields of a DDL text."""
+    out, depth = [""], 0
+    for c in ddl:
+        depth += {"<": 1, ">": -1}.get(c, 0)
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out

@@ -285,6 +285,69 @@ def markdown(totals: DataFrame, riskiest: DataFrame, findings: DataFrame, pages:
     return t.crossJoin(lines).crossJoin(body).select(F.concat_ws("\n\n", "head", F.when(F.col("top") != "", F.concat(F.lit("Riskiest pages:\n"), "top")), F.when(F.col("body") != "", F.col("body")), F.lit("Found by surface rules; no attack was tried.")).alias("markdown"))
 
 
+def _listed(one: Column, order: list[str]) -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct(*order, one.alias("__one")))), lambda s: s["__one"])
+
+
+def page_reports(pages: DataFrame, findings: DataFrame, *, headers: DataFrame | None = None, cookies: DataFrame | None = None) -> DataFrame:
+    """One row per page (page_id, url, error): its finding counts, risk, findings in order and, where given, the summaries of its headers (page_id, headers) and cookies.
+
+    A row per page is the report's body at any size; `report_json` and `report_markdown` write one out.
+    """
+    one = F.struct("severity", "rule_id", "detail")
+    found = findings.groupBy("page_id").agg(_listed(one, ["place"]).alias("findings"))
+    out = pages.select("page_id", "url", "error").join(severity_counts(findings), "page_id", "left").fillna(0, [*SEVERITIES, "risk_score"]).join(found, "page_id", "left")
+    out = out.withColumn("findings", F.coalesce("findings", F.array().cast(out.schema["findings"].dataType)))
+    if headers is not None:
+        out = out.join(headers.select("page_id", header_summary(lower_headers(F.col("headers"))).alias("http_headers")), "page_id", "left")
+    if cookies is not None:
+        counted = cookies.groupBy("page_id").agg(F.count("*").alias("cookie_count"))
+        out = out.join(cookie_summary(cookies), "page_id", "left").join(counted, "page_id", "left").fillna(0, ["cookie_count", "truncated"])
+    return out
+
+
+def report_json(reports: DataFrame) -> DataFrame:
+    """(page_id, json): each page's report as a JSON object; a failed page has its url and error only."""
+    counts = F.struct(*SEVERITIES).alias("finding_counts")
+    rest = [c for c in ("http_headers", "cookie_count", "cookies", "truncated") if c in reports.columns]
+    whole = F.to_json(F.struct("url", counts, "risk_score", "findings", *rest))
+    return reports.select("page_id", F.when(F.col("error").isNull(), whole).otherwise(F.to_json(F.struct("url", "error"))).alias("json"))
+
+
+def report_summary(totals: DataFrame, riskiest: DataFrame, *, seeds: list[str], crawl_depth: int = 0, most_pages: int | None = None, generated_at: Column | None = None) -> DataFrame:
+    """One row: the report's head as a JSON object, with the totals and the riskiest pages (five at most) that `report` gives."""
+    worst = riskiest.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("risk_score")).alias("o"), "page_id", "url", "risk_score"))), lambda s: F.struct(s["url"].alias("url"), s["risk_score"].alias("risk_score"))).alias("highest_risk_pages"))
+    when = F.date_format(F.current_timestamp() if generated_at is None else generated_at, "yyyy-MM-dd'T'HH:mm:ssXXX")
+    summary = F.struct("pages_scanned", "pages_failed", F.struct(*SEVERITIES).alias("finding_totals"), "highest_risk_pages")
+    head = [when.alias("generated_at"), F.array(*map(F.lit, seeds)).alias("seeds"), F.lit(crawl_depth).alias("crawl_depth"), F.lit(most_pages).cast("int").alias("max_pages")]
+    return totals.crossJoin(worst).select(F.to_json(F.struct(*head, summary.alias("summary"))).alias("json"))
+
+
+def write_json(reports: DataFrame, summary: DataFrame, path: str) -> None:
+    """The report as files: a JSON line per page under path/pages, and the head under path/summary."""
+    report_json(reports).select(F.col("json").alias("value")).write.mode("overwrite").text(f"{path}/pages")
+    summary.select(F.col("json").alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/summary")
+
+
+def report_markdown(reports: DataFrame) -> DataFrame:
+    """(page_id, markdown): a section for each page with its counts, headers, cookies and findings, or its error."""
+    lines = [F.concat(F.lit("### "), F.coalesce("url", F.lit("?")))]
+    lines += [F.concat(F.lit("- Risk: "), "risk_score", F.lit(" ("), F.concat_ws(", ", *[F.concat(F.lit(f"{s} "), F.col(s)) for s in SEVERITIES]), F.lit(")"))]
+    if "http_headers" in reports.columns:
+        names = reports.schema["http_headers"].dataType.names
+        shown = [F.when(F.coalesce(F.col("http_headers")[n], F.lit("")) != "", F.concat(F.lit(f"- `{n}`: "), F.col("http_headers")[n])) for n in names]
+        lines += [F.when(F.concat_ws("", *shown) != "", F.concat_ws("\n", *shown))]
+    if "cookies" in reports.columns:
+        flags = lambda c: F.concat_ws(", ", F.when(c["secure"], "Secure"), F.when(c["http_only"], "HttpOnly"), F.when(F.coalesce(c["same_site"], F.lit("")) != "", F.concat(F.lit("SameSite="), c["same_site"])))
+        one = lambda c: F.concat(F.lit("- cookie `"), F.coalesce(c["name"], F.lit("")), F.lit("` ("), F.coalesce(c["domain"], F.lit("")), F.lit("): "), F.when(flags(c) == "", "no flags").otherwise(flags(c)))
+        more = F.when(F.col("truncated") > 0, F.concat(F.lit("- and "), "truncated", F.lit(" cookies more")))
+        lines += [F.when(F.size("cookies") > 0, F.array_join(F.transform("cookies", one), "\n")), more]
+    each = F.transform("findings", lambda f: F.concat(F.lit("- **["), F.upper(f["severity"]), F.lit("]** `"), f["rule_id"], F.lit("` "), F.coalesce(f["detail"], F.lit(""))))
+    lines += [F.when(F.size("findings") > 0, F.array_join(each, "\n")).otherwise(F.lit("No rule has found anything."))]
+    failed = F.concat(lines[0], F.lit("\n`"), "error", F.lit("`"))
+    return reports.select("page_id", F.when(F.col("error").isNull(), F.concat_ws("\n", *lines)).otherwise(failed).alias("markdown"))
+
+
 def same_domain_links(acts: DataFrame, pages: DataFrame, *, most: int = 30) -> DataFrame:
     """Per page its links to its own host, without query and fragment, the first of each, at most `most`."""
     rows = link_rows(acts, pages).filter("href not like 'javascript:%'")

@@ -7,6 +7,7 @@ tables first and reads it back, so that plain SQL over those tables says what mu
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,9 +72,40 @@ def _grep(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     return grep.grep(_actions(spark, sf_dir), query).select("page_id", "id", "label")
 
 
-@_query(_grep_oracle("'a' LIKE 'a%'"))
+def _menu_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page per customer: a menu, the form of its page, and a footer link that half of them have."""
+    forms_ = _form_pages(spark, sf_dir).select("page_id", F.regexp_extract("html", "(<form.*</form>)", 1).alias("form"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), "c_mktsegment")
+    menu = F.concat(F.lit('<nav><a href="/c'), "page_id", F.lit('">Start</a><a href="/seg/'), "c_mktsegment", F.lit('">About '), "c_mktsegment", F.lit("</a></nav>"))
+    foot = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<footer><a href="/read/'), "page_id", F.lit('">Read more</a></footer>'))).otherwise(F.lit(""))
+    return forms_.join(c, "page_id").select("page_id", F.concat(F.lit("<html><body>"), menu, "form", foot, F.lit("</body></html>")).alias("html"))
+
+
+# The actions of those pages: a row each.
+_MENU = """menu AS (SELECT c_custkey AS page_id, a.pos, a.type, CASE a.pos WHEN 2 THEN 'About ' || c_mktsegment ELSE a.label END AS label,
+  CASE a.pos WHEN 1 THEN '/c' || c_custkey WHEN 2 THEN '/seg/' || c_mktsegment WHEN 9 THEN '/read/' || c_custkey END AS href, a.grp
+  FROM customer CROSS JOIN (VALUES (1, 'a', 'Start', 'Navigation'), (2, 'a', '', 'Navigation'), (3, 'input[email]', 'email', 'Login Form'), (4, 'input[text]', 'company', 'Login Form'),
+    (5, 'input[password]', 'pw', 'Login Form'), (6, 'select', 's1s2s3', 'Login Form'), (7, 'textarea', 'about_you', 'Login Form'), (8, 'button', 'Sign up', 'Login Form'), (9, 'a', 'Read more', 'Footer')) a(pos, type, label, grp)
+  WHERE a.pos < 9 OR c_custkey % 2 = 0)"""
+
+
+def _menu_oracle(condition: str) -> str:
+    return f"WITH {_MENU} SELECT page_id, CAST(pos AS VARCHAR) AS id, label FROM menu WHERE {condition}"
+
+
+def _menu_grep(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
+    return grep.grep(actions.actions(_menu_pages(spark, sf_dir)), query).select("page_id", "id", "label")
+
+
+@_query(f"WITH {_MENU} SELECT page_id, CAST(pos AS VARCHAR) AS id, type, label, href, grp AS \"group\" FROM menu")
+def menu_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions of several groups and kinds."""
+    return actions.actions(_menu_pages(spark, sf_dir)).select("page_id", "id", "type", "label", "href", "group")
+
+
+@_query(_menu_oracle("starts_with(type, 'input[p')"))
 def grep_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grep(spark, sf_dir, "type:a")
+    return _menu_grep(spark, sf_dir, "type:input[p")
 
 
 @_query(_grep_oracle("contains(lower(href), 'th') AND pos IN (1, 3, 5)"))
@@ -86,19 +118,31 @@ def grep_label_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grep(spark, sf_dir, "label~/^th.*e/i")
 
 
-@_query(_grep_oracle("true"))
+@_query(_menu_oracle("grp = 'Login Form' AND starts_with(type, 'select')"))
 def grep_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grep(spark, sf_dir, 'group:"Navigation" && type:a')
+    return _menu_grep(spark, sf_dir, 'group:"Login Form" && type:select')
+
+
+@_query(_menu_oracle("grp = 'Navigation'"))
+def grep_group_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text that hits a group's name takes the whole group."""
+    return _menu_grep(spark, sf_dir, "navig")
 
 
-@_query(_grep_oracle("regexp_matches(concat_ws(' ', label, 'Navigation', 'a', href), 'read|article|details|learn\\s*more|more\\s*info', 'i')"))
+@_query(" UNION ALL ".join(
+    f"SELECT * FROM (WITH {_MENU} SELECT '{name}' AS intent, page_id, CAST(pos AS VARCHAR) AS id FROM menu WHERE regexp_matches(concat_ws(' ', label, grp, type, href), '{pattern}', 'i'))"
+    for name, pattern in grep.INTENTS.items()
+))
 def grep_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grep(spark, sf_dir, "intent:read")
+    """Every intent over the same pages."""
+    acts = actions.actions(_menu_pages(spark, sf_dir))
+    each = [grep.grep(acts, f"intent:{name}").select(F.lit(name).alias("intent"), "page_id", "id") for name in grep.INTENTS]
+    return reduce(DataFrame.unionByName, each)
 
 
-@_query(_grep_oracle("contains(lower(concat_ws(' ', label, 'Navigation', 'a', href)), 'tion')"))
+@_query(_menu_oracle("contains(lower(concat_ws(' ', label, grp, type, href)), 'about build')"))
 def grep_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grep(spark, sf_dir, "tion")
+    return _menu_grep(spark, sf_dir, "about && build")
 
 
 @_query(f"WITH {_LINKS} SELECT page_id, count(*) AS total, count(*) FILTER (WHERE contains(lower(label), 'the')) AS \"count\" FROM links GROUP BY page_id")
@@ -106,12 +150,21 @@ def grep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep.grep_pages(_actions(spark, sf_dir), "label~the").select("page_id", "total", "count")
 
 
-@_query()
+# The links of the page table as lines and as XML.
+_LINE = "trim('@' || pos || ' a ' || substr(label, 1, 100) || ' [Navigation]')"
+_ESCAPE = "replace(replace(replace(replace({}, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;')"
+_ACTION = "'<action id=\"' || pos || '\" type=\"a\"' || coalesce(' label=\"' || " + _ESCAPE.format("nullif(substr(label, 1, 100), '')") + " || '\"', '') || coalesce(' href=\"' || " + _ESCAPE.format("nullif(href, '')") + " || '\"', '') || ' group=\"Navigation\"/>'"
+
+
+@_query(f"WITH {_LINKS} SELECT page_id, count(*) AS \"count\", count(*) AS total, '# grep: type:a (' || count(*) || '/' || count(*) || ')' || chr(10) || string_agg({_LINE}, chr(10) ORDER BY pos) AS terse FROM links GROUP BY page_id")
 def grep_terse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep.grep_pages(_actions(spark, sf_dir), "type:a", fmt="terse")
 
 
-@_query()
+@_query(f"""WITH {_LINKS}, h AS (SELECT *, contains(lower(substr(label, 1, 100)), 'the') AS hit FROM links)
+SELECT page_id, count(*) FILTER (WHERE hit) AS "count", count(*) AS total,
+  '<page url="about:blank" title="Query">' || CASE WHEN count(*) FILTER (WHERE hit) > 0 THEN '<group name="Navigation">' || string_agg({_ACTION}, chr(10) ORDER BY pos) FILTER (WHERE hit) || '</group>'
+    ELSE '<query text="label~the" count="0"/>' END || '</page>' AS xml FROM h GROUP BY page_id""")
 def grep_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep.grep_pages(_actions(spark, sf_dir), "label~the", fmt="xml")
 
@@ -123,7 +176,7 @@ def actions_terse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.to_terse(_actions(spark, sf_dir))
 
 
-@_query()
+@_query(f"""WITH {_LINKS} SELECT page_id, '<page url="about:blank" title=""><group name="Navigation">' || string_agg({_ACTION}, chr(10) ORDER BY pos) || '</group></page>' AS xml FROM links GROUP BY page_id""")
 def actions_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.to_xml(_actions(spark, sf_dir))
 
@@ -151,8 +204,8 @@ def clean_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_LINKS} SELECT page_id, pos - 1 AS item_idx, label FROM (SELECT page_id, label, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS pos FROM links WHERE label <> '')")
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of the first list of every page: its navigation."""
-    return schema.list_items(schema.lists(_pages(spark, sf_dir))).filter("list_idx = 0").select("page_id", F.col("item_idx").cast("long").alias("item_idx"), "label")
+    """Items of every list of the pages; each has one, its navigation."""
+    return schema.list_items(schema.lists(_pages(spark, sf_dir))).select("page_id", F.col("item_idx").cast("long").alias("item_idx"), "label")
 
 
 # Tables: one page per region with its nations, one per brand with its parts.
@@ -191,6 +244,16 @@ def table_max_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.tables(_nation_pages(spark, sf_dir), max_rows=3).select("page_id", "total_rows", "rows_returned", "rows_truncated")
 
 
+@_query("""SELECT c_custkey AS page_id, 0 AS n_tables, 1 AS n_forms, 0 AS n_lists, CASE WHEN c_custkey % 3 = 0 THEN 'GET' ELSE 'POST' END AS method, 'Work email,Company,Work email,Work email,Work email,Sign up' AS labels, NULL::BIGINT AS list_total FROM customer
+UNION ALL SELECT -1 - page_id, 0, 0, 1, NULL, NULL, len(regexp_extract_all(html, '<li>')) FROM pages WHERE contains(html, '<li>')""")
+def page_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables, forms and lists of the form pages and of the page table's pages with a list (as negative numbers), in one parse."""
+    listed = _pages(spark, sf_dir).filter(F.contains("html", F.lit("<li>"))).select((-1 - F.col("page_id")).alias("page_id"), "html")
+    found = schema.page_schema(_form_pages(spark, sf_dir).select("page_id", "html").unionByName(listed))
+    first = F.get("forms", F.lit(0))
+    return found.select("page_id", "n_tables", "n_forms", "n_lists", first["method"].alias("method"), F.array_join(F.transform(first["fields"], lambda f: f["label"]), ",").alias("labels"), F.get("lists", F.lit(0))["total"].cast("long").alias("list_total"))
+
+
 def _price_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page per brand: a table without head, prices with sign and thousands, sizes in per cent."""
     price = F.concat(F.lit("$"), F.format_number(F.col("p_retailprice").cast("decimal(15,2)"), 2))
@@ -325,6 +388,25 @@ def security_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.markdown(*security.report(security.severity_counts(found), pages), found, pages)
 
 
+@_query(f"""{_HEADER_RULES}, o AS (SELECT *, CASE severity WHEN 'critical' THEN 100 WHEN 'high' THEN 25 WHEN 'medium' THEN 5 ELSE 0 END AS points, list_position(['critical', 'high', 'medium', 'low', 'info'], severity) AS place FROM f)
+SELECT s_suppkey AS page_id, coalesce(sum(points), 0)::VARCHAR AS risk, count(o.rule_id) AS n_findings, coalesce(arg_min(severity, place), '') AS worst, 0::VARCHAR AS critical FROM supplier LEFT JOIN o ON s_suppkey = o.page_id GROUP BY s_suppkey""")
+def security_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's report as JSON, read back."""
+    pages = _responses(spark, sf_dir).select("page_id", "url", F.lit(None).cast("string").alias("error"))
+    found = security.roll_up(security.header_findings(_responses(spark, sf_dir)))
+    told = security.report_json(security.page_reports(pages, found, headers=_responses(spark, sf_dir)))
+    at = lambda path: F.get_json_object("json", path)
+    return told.select("page_id", at("$.risk_score").alias("risk"), F.json_array_length(at("$.findings")).cast("long").alias("n_findings"), F.coalesce(at("$.findings[0].severity"), F.lit("")).alias("worst"), at("$.finding_counts.critical").alias("critical"))
+
+
+@_query()
+def security_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's section of every page."""
+    pages = _responses(spark, sf_dir).select("page_id", "url", F.lit(None).cast("string").alias("error"))
+    found = security.roll_up(security.header_findings(_responses(spark, sf_dir)))
+    return security.report_markdown(security.page_reports(pages, found, headers=_responses(spark, sf_dir)))
+
+
 @_query("""WITH c AS (SELECT user_id AS page_id, event_id AS pos, event_id % 4 = 0 AS secure, event_id % 3 = 0 AS http_only,
   CASE event_id % 5 WHEN 0 THEN 'none' WHEN 1 THEN '' ELSE 'lax' END AS same, CASE event_id % 6 WHEN 0 THEN 'session_' WHEN 1 THEN '__Host-' WHEN 2 THEN '__Secure-' ELSE 'pref_' END AS prefix,
   CASE WHEN event_id % 7 = 0 THEN '.other.example.org' ELSE '' END AS domain FROM events),
@@ -445,19 +527,33 @@ def rank_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.ranked(blocks.blocks(_card_pages(spark, sf_dir))).select("page_id", "block_no", "score", "rank")
 
 
-@_query()
+@_query(f"""WITH {_CARDS}, n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY page_id) AS cards, greatest(1, len(text) // 4) AS tokens FROM c),
+l AS (SELECT page_id, k AS rank, cards, tokens, 'p' || k || ' | ' || p_brand || ' | card | ' || tokens || 't | ' || substr(text, 1, 80) AS line FROM n
+  UNION ALL SELECT page_id, max(k) + 1, max(cards), max(greatest(1, len(p_brand) // 4)), 'p0 | h1 | ' || max(p_brand) || ' | ' || max(greatest(1, len(p_brand) // 4)) || 't' FROM n GROUP BY page_id),
+t AS (SELECT *, count(*) OVER w AS total, sum(tokens) OVER w AS source, sum(len(line) + 1) OVER (PARTITION BY page_id ORDER BY rank) AS chars FROM l WINDOW w AS (PARTITION BY page_id)),
+y AS (SELECT *, 'range=0:' || rank || '/' || total || ' source=' || source || 't' || CASE WHEN rank < total THEN ' next=' || rank ELSE '' END || ' cards=' || cards AS summary FROM t),
+z AS (SELECT *, min(CASE WHEN (chars + len(summary)) // 4 > 120 THEN rank END) OVER (PARTITION BY page_id) AS stop FROM y)
+SELECT page_id, string_agg(line, chr(10) ORDER BY rank) || chr(10) || arg_max(summary, rank) AS outline, count(*)::INT AS n_lines FROM z WHERE stop IS NULL OR rank < stop GROUP BY page_id""")
 def outline_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.outline(blocks.blocks(_card_pages(spark, sf_dir)), max_tokens=120)
 
 
-@_query(f"""WITH {_CARDS}, n AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) AS k, text, greatest(1, len(text) // 4) AS tokens FROM c),
-u AS (SELECT *, sum(tokens) OVER (PARTITION BY page_id ORDER BY k) AS used FROM n WHERE k <= 10)
-SELECT page_id, 'p' || k AS id, text FROM u WHERE used <= 60""")
-def fetch_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten cards of every page within sixty tokens; whole ones are compared."""
+def _first_ten(spark: SparkSession, sf_dir: str, max_tokens: int) -> DataFrame:
     blks = blocks.blocks(_card_pages(spark, sf_dir))
     wanted = blks.select("page_id").distinct().withColumn("ids", F.array(*[F.lit(f"p{k}") for k in (*range(1, 11), 1, 999)]))
-    return blocks.fetch(blks, wanted, max_tokens=60).filter(~F.col("text").endswith("…truncated]")).select("page_id", "id", "text")
+    return blocks.fetch(blks, wanted, max_tokens=max_tokens).select("page_id", "id", "text")
+
+
+@_query(f"""WITH {_CARDS}, n AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) AS k, text FROM c) SELECT page_id, 'p' || k AS id, text FROM n WHERE k <= 10""")
+def fetch_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten cards of every page, asked for with a repeat and with one that is not there."""
+    return _first_ten(spark, sf_dir, 10_000)
+
+
+@_query()
+def fetch_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within sixty tokens; what goes beyond is cut."""
+    return _first_ten(spark, sf_dir, 60)
 
 
 @_query()
@@ -533,12 +629,12 @@ def ax_supplement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two versions of a page per customer, with an action per order: finished orders are gone in the second, urgent ones say so."""
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("url"), F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("id"), F.lit("a").alias("type"), F.concat(F.lit("Order "), "o_orderkey").alias("label"), F.concat(F.lit("/o/"), "o_orderkey").alias("href"), F.lit("Page").alias("group"), "o_orderstatus", "o_orderkey")
-    before = o.filter("o_orderkey % 4 <> 3").drop("o_orderstatus", "o_orderkey")
+    before = o.filter("o_orderkey % 4 <> 3 and url % 7 <> 0").drop("o_orderstatus", "o_orderkey")
     after = o.filter("o_orderstatus <> 'F'").withColumn("label", F.when(F.col("o_orderkey") % 5 == 0, F.upper("label")).otherwise(F.col("label"))).drop("o_orderstatus", "o_orderkey")
     return before, after
 
 
-@_query("""WITH b AS (SELECT o_custkey AS url, o_orderkey AS k FROM orders WHERE o_orderkey % 4 <> 3), a AS (SELECT o_custkey AS url, o_orderkey AS k FROM orders WHERE o_orderstatus <> 'F'),
+@_query("""WITH b AS (SELECT o_custkey AS url, o_orderkey AS k FROM orders WHERE o_orderkey % 4 <> 3 AND o_custkey % 7 <> 0), a AS (SELECT o_custkey AS url, o_orderkey AS k FROM orders WHERE o_orderstatus <> 'F'),
 u AS (SELECT url FROM b INTERSECT SELECT url FROM a)
 SELECT coalesce(a.url, b.url) AS url, coalesce(a.k, b.k)::VARCHAR AS id, CASE WHEN b.k IS NULL THEN 'appeared' WHEN a.k IS NULL THEN 'disappeared' ELSE 'changed' END AS change
 FROM a FULL OUTER JOIN b ON a.url = b.url AND a.k = b.k WHERE coalesce(a.url, b.url) IN (SELECT url FROM u) AND (b.k IS NULL OR a.k IS NULL OR a.k % 5 = 0)""")
@@ -546,19 +642,32 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.diff(*_versions(spark, sf_dir)).select("url", "id", "change")
 
 
-@_query()
+_CHANGES = """WITH b AS (SELECT o_custkey AS url, o_orderkey AS k FROM orders WHERE o_orderkey % 4 <> 3 AND o_custkey % 7 <> 0), a AS (SELECT o_custkey AS url, o_orderkey AS k FROM orders WHERE o_orderstatus <> 'F'),
+u AS (SELECT url FROM b INTERSECT SELECT url FROM a),
+d AS (SELECT coalesce(a.url, b.url) AS url, coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'appeared' WHEN a.k IS NULL THEN 'disappeared' ELSE 'changed' END AS change
+  FROM a FULL OUTER JOIN b ON a.url = b.url AND a.k = b.k WHERE coalesce(a.url, b.url) IN (SELECT url FROM u) AND (b.k IS NULL OR a.k IS NULL OR a.k % 5 = 0)),
+e AS (SELECT *, CASE WHEN change <> 'disappeared' AND k % 5 = 0 THEN 'ORDER ' ELSE 'Order ' END || k AS label FROM d)"""
+
+
+@_query(f"""{_CHANGES}, s AS (SELECT url, change, '## ' || change || chr(10) || string_agg('@' || k || ' Page > a[' || label || '] (#' || k || ') — ' || label, chr(10) ORDER BY k || '|') AS part FROM e GROUP BY url, change)
+SELECT u.url, '# diff ' || u.url || chr(10) || 'groups: Page' || chr(10) || coalesce(string_agg(part, chr(10) ORDER BY change), '(no changes)') AS terse FROM u LEFT JOIN s ON u.url = s.url GROUP BY u.url""")
 def diff_terse(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _versions(spark, sf_dir)
-    return diff.diff_terse(diff.diff(before, after), diff.page_groups(after))
+    both = diff.page_groups(after).join(before.select("url").distinct(), "url", "left_semi")
+    return diff.diff_terse(diff.diff(before, after), both)
 
 
-@_query()
+@_query(f"""{_CHANGES}, s AS (SELECT url, change, '<' || change || ' count="' || count(*) || '">' || string_agg('<action id="' || k || '" type="a" label="' || label || '" group="Page" breadcrumb="Page &gt; a[' || label || '] (#' || k || ')"'
+    || CASE WHEN change = 'changed' THEN ' previous_label="Order ' || k || '"' ELSE '' END || '/>', '' ORDER BY k || '|') || '</' || change || '>' AS part FROM e GROUP BY url, change)
+SELECT u.url, '<page url="' || u.url || '" title="" diff="true"><skeleton><groups><group name="Page"/></groups></skeleton><delta>' || coalesce(string_agg(part, '' ORDER BY change), '<note>nothing changed</note>') || '</delta></page>' AS xml
+FROM u LEFT JOIN s ON u.url = s.url GROUP BY u.url""")
 def diff_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, after = _versions(spark, sf_dir)
-    return diff.diff_xml(diff.diff(before, after), diff.page_groups(after))
+    both = diff.page_groups(after).join(before.select("url").distinct(), "url", "left_semi")
+    return diff.diff_xml(diff.diff(before, after), both)
 
 
-@_query("SELECT o_custkey AS url, o_orderkey::VARCHAR AS id FROM orders WHERE o_orderstatus <> 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 <> 3)")
+@_query("SELECT o_custkey AS url, o_orderkey::VARCHAR AS id FROM orders WHERE o_orderstatus <> 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 4 <> 3 AND o_custkey % 7 <> 0)")
 def full_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.full_snapshots(*_versions(spark, sf_dir)).select("url", "id")
 
@@ -584,10 +693,10 @@ def form_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def heal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts' names looked for among the names of their brand."""
-    p = table(spark, sf_dir, "part")
-    wanted = p.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("request_id"), F.col("p_brand").alias("page_id"), F.col("p_name").alias("label"))
-    found = p.select(F.col("p_brand").alias("page_id"), F.col("p_partkey").alias("pos"), F.concat(F.lit("#p"), "p_partkey").alias("selector"), F.col("p_name").alias("candidate_label"), F.lit(False).alias("has_testid"), (F.col("p_partkey") % 2 == 0).alias("has_id"), F.lit(False).alias("has_name"), F.lit(False).alias("has_aria"))
+    """Every part's name looked for among the twenty of its page."""
+    p = table(spark, sf_dir, "part").withColumn("page", F.floor(F.col("p_partkey") / 20))
+    wanted = p.select(F.col("p_partkey").alias("request_id"), F.col("page").alias("page_id"), F.col("p_name").alias("label"))
+    found = p.select(F.col("page").alias("page_id"), F.col("p_partkey").alias("pos"), F.concat(F.lit("#p"), "p_partkey").alias("selector"), F.col("p_name").alias("candidate_label"), F.lit(False).alias("has_testid"), (F.col("p_partkey") % 2 == 0).alias("has_id"), F.lit(False).alias("has_name"), F.lit(False).alias("has_aria"))
     return heal.rank(wanted, found).select("request_id", "rank", "selector", "score")
 
 
@@ -648,7 +757,7 @@ def webmcp_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(classify.webmcp_terse(tools), "page_id").select("page_id", "n_tools", F.substring_index("terse", "\n", 1).alias("first_line"))
 
 
-@_query("""WITH l AS (SELECT DISTINCT CASE WHEN p_partkey % 5 = 0 THEN 'own' ELSE 's' || p_partkey % 5 END AS site, lower(p_type) AS label FROM part),
+@_query("""WITH l AS (SELECT DISTINCT CASE WHEN p_partkey % 5 = 0 THEN 'own' ELSE 's' || p_partkey % 5 END AS site, lower(p_type || ' ' || p_size) AS label FROM part),
 o AS (SELECT DISTINCT label FROM l WHERE site = 'own'), t AS (SELECT label, count(DISTINCT site) AS sites FROM l WHERE site <> 'own' GROUP BY label),
 m AS (SELECT 'missing' AS kind, label, sites FROM t WHERE NOT EXISTS (SELECT 1 FROM o WHERE contains(t.label, o.label) OR contains(o.label, t.label)) ORDER BY label LIMIT 15),
 u AS (SELECT 'unique' AS kind, label, 1::BIGINT AS sites FROM o WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(t.label, o.label) OR contains(o.label, t.label)) ORDER BY label LIMIT 15)
@@ -656,7 +765,7 @@ SELECT * FROM m UNION ALL SELECT * FROM u""")
 def feature_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     site = F.when(F.col("p_partkey") % 5 == 0, "own").otherwise(F.concat(F.lit("s"), F.col("p_partkey") % 5))
-    return compare.gaps(p.select(site.alias("site"), F.col("p_type").alias("label")), "own")
+    return compare.gaps(p.select(site.alias("site"), F.concat_ws(" ", "p_type", "p_size").alias("label")), "own")
 
 
 @_query("""WITH v AS (SELECT user_id AS url, event_id, event_type, dense_rank() OVER (PARTITION BY user_id ORDER BY event_id % 3) AS n FROM events),
@@ -682,6 +791,17 @@ def heal_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heal.verify(asked, dom.nodes(pages))
 
 
+@_query("""SELECT p_partkey AS request_id, CASE WHEN p_partkey % 3 = 0 THEN '#cached' ELSE '#p' || p_partkey END AS selector, CASE WHEN p_partkey % 3 = 0 THEN 'cache' ELSE 'local' END AS source FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 4 <> 0""")
+def heal_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages: a third of the requests is in the cache, and a fourth asks for what is not there."""
+    p = table(spark, sf_dir, "part")
+    pages = p.select(F.col("p_partkey").alias("page_id"), F.concat(F.lit('<div><a id="p'), "p_partkey", F.lit('" href="/x">Part '), "p_partkey", F.lit("</a></div>")).alias("html"))
+    label = F.when(F.col("p_partkey") % 4 == 0, "zzzz!").otherwise(F.concat(F.lit("part "), "p_partkey"))
+    asked = p.select(F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("page_id"), F.concat(F.lit("https://x.co/"), "p_partkey").alias("url"), label.alias("label"), F.lit("a").alias("action_type"))
+    cached = asked.filter("request_id % 3 = 0").select(heal.cache_key(F.col("url"), F.col("label"), F.col("action_type")).alias("cache_key"), F.lit("#cached").alias("selector"))
+    return heal.heal(asked, dom.nodes(pages), cached).select("request_id", "selector", "source")
+
+
 @_query("""SELECT c_custkey AS page_id, 'handoff' AS status, 1::BIGINT AS handoffs, 0::BIGINT AS questions FROM customer""")
 def form_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form plans with their questions answered, replayed: the password still needs a person."""

@@ -35,16 +35,50 @@ def json_or_text(text: Column) -> Column:
     return F.coalesce(F.when(looks, F.try_parse_json(text)), F.try_parse_json(quoted))
 
 
-def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The selector cache of a Parquet folder; an empty one where there is none yet."""
-    from pyspark.errors import AnalysisException
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) as the session sees them."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
 
-    try:
-        return spark.read.schema(CACHE).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], CACHE)
+def load_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The selector cache of a Parquet folder; an empty one where there is none yet. Other errors are raised."""
+    files, there = _folder(spark, path)
+    return spark.read.schema(CACHE).parquet(path) if files.exists(there) else spark.createDataFrame([], CACHE)
 
 
 def save_cache(cache: DataFrame, path: str) -> None:
-    """The whole cache, written in place of the one at `path`."""
-    cache.select("cache_key", "selector").write.mode("overwrite").parquet(path)
+    """The whole cache in place of the one at `path`, which it may be read from: it is written beside that, and then takes its place."""
+    spark = cache.sparkSession
+    beside, before = f"{path.rstrip('/')}.next", f"{path.rstrip('/')}.before"
+    cache.select("cache_key", "selector").write.mode("overwrite").parquet(beside)
+    files, there = _folder(spark, path)
+    old, new = _folder(spark, before)[1], _folder(spark, beside)[1]
+    files.delete(old, True)
+    if files.exists(there):
+        files.rename(there, old)
+    if not files.rename(new, there):
+        files.rename(old, there)
+        raise OSError(f"the cache could not be moved to {path}")
+    files.delete(old, True)
+
+
+def once_per_url(captures: DataFrame, *, url_col: str = "url", order: str = "at") -> DataFrame:
+    """The first capture of every run of captures of one url, in order: what is prepared once per url. captures has session, url and the order."""
+    from pyspark.sql import Window
+
+    before = F.lag(url_col).over(Window.partitionBy("session").orderBy(order))
+    return captures.withColumn("__before", before).filter(~F.col(url_col).eqNullSafe(F.col("__before")) | F.col("__before").isNull()).drop("__before")
+
+
+def by_content(pages: DataFrame, *, html_col: str = "html") -> tuple[DataFrame, DataFrame]:
+    """(contents, places): each distinct page text once, keyed by its hash as page_id, and which page has which; what is built from
+    contents (blocks, quality) is joined back to pages by `content_id`, so pages of equal text are built once."""
+    keyed = pages.withColumn("content_id", F.sha2(F.col(html_col).cast("string"), 256))
+    contents = keyed.filter(F.col(html_col).isNotNull()).groupBy(F.col("content_id").alias("page_id")).agg(F.first(html_col).alias(html_col))
+    return contents, keyed.select("page_id", "content_id")
+
+
+def binding_path_json(path: Column) -> Column:
+    """A binding's path (an array) as compact JSON; [] for NULL."""
+    return F.coalesce(F.to_json(path), F.lit("[]"))

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from pagelens.functions import text
 from pagelens.operators import blocks
 
 
@@ -84,3 +87,9 @@ def test_quality(spark):
     assert got[1].coverage_pct == 100.0 and got[1].duplicate_overhead_pct == 0.0 and got[1].mode == "semantic"
     assert got[2].source_price_signals == got[2].indexed_price_signals == 5 and got[2].mode == "hybrid"
     assert got[3].source_tokens == 0 and got[3].coverage_pct == 100.0
+
+
+def test_one_decimal_as_the_exact_value_says(spark):
+    values = [100 * a / b for b in (1, 2, 3, 7, 8, 16, 40, 200, 400, 2000) for a in range(0, 3 * b, max(1, b // 60))] + [0.05, 0.15, 0.25, 0.35, 0.45, 2.675, 99.95, 6.25, 6.75]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", text.round1(F.col("v")).alias("r")).collect()
+    assert [(r.v, r.r) for r in got if r.r != round(r.v, 1)] == []

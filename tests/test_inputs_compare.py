@@ -1,6 +1,9 @@
+import random
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
-from pagelens.operators import classify, compare, forms
+from pagelens.operators import blocks, classify, compare, forms
 from pagelens.sources import inputs
 
 
@@ -26,6 +29,45 @@ def test_cache_round_trip(spark, tmp_path):
     assert [tuple(r) for r in inputs.load_cache(spark, path).collect()] == [("a.co|/|a|x", "#x")]
 
 
+def test_a_cache_may_be_saved_where_it_was_read(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    for k in range(3):
+        known = inputs.load_cache(spark, path)
+        inputs.save_cache(known.unionByName(spark.createDataFrame([(f"k{k}", "#x")], inputs.CACHE)), path)
+    assert sorted(r.cache_key for r in inputs.load_cache(spark, path).collect()) == ["k0", "k1", "k2"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["cache"]
+
+
+def test_once_per_url_and_by_content(spark):
+    rows = [("s", 1, "a"), ("s", 2, "a"), ("s", 3, "b"), ("s", 4, "a"), ("s", 5, None), ("s", 6, None), ("t", 1, "a")]
+    caps = spark.createDataFrame(rows, "session string, at int, url string")
+    assert sorted((r.session, r.at) for r in inputs.once_per_url(caps).collect()) == [("s", 1), ("s", 3), ("s", 4), ("s", 5), ("s", 6), ("t", 1)]
+    pages = spark.createDataFrame([(1, "<p>x</p>"), (2, "<p>x</p>"), (3, "<p>y</p>"), (4, None)], "page_id long, html string")
+    contents, places = inputs.by_content(pages)
+    found = places.join(blocks.blocks(contents).select(F.col("page_id").alias("content_id"), "text"), "content_id")
+    assert contents.count() == 2 and sorted((r.page_id, r.text) for r in found.collect()) == [(1, "x"), (2, "x"), (3, "y")]
+    paths = spark.createDataFrame([([1, 2],), (None,)], "path array<int>")
+    assert [r[0] for r in paths.select(inputs.binding_path_json(F.col("path"))).collect()] == ["[1,2]", "[]"]
+
+
+def test_gaps_match_plain_containment(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["own", "b", "c"]), "".join(rng.choice("ab ") for _ in range(rng.randrange(7)))) for _ in range(300)]
+    rows += [("own", "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(9)))) for _ in range(60)] + [("b", "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(9)))) for _ in range(60)]
+    rows = [r for r in rows if "a" not in r[1] or len(r[1]) > 4]
+    sites = defaultdict(set)
+    for s, label in rows:
+        if label.strip(" "):
+            sites[label.strip(" ").lower()].add(s)
+    mine, theirs = [x for x in sites if "own" in sites[x]], [x for x in sites if sites[x] - {"own"}]
+    missing = sorted(x for x in theirs if not any(m in x or x in m for m in mine))[:15]
+    unique = sorted(x for x in mine if not any(t in x or x in t for t in theirs))[:15]
+    df = compare.gaps(spark.createDataFrame(rows, "site string, label string"), "own")
+    got = [tuple(r) for r in df.collect()]
+    assert got == [("missing", x, len(sites[x] - {"own"})) for x in missing] + [("unique", x, 1) for x in unique] and missing and unique
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_gaps(spark):
     rows = [("own", "Merge files"), ("own", "Sign"), ("b", "merge"), ("b", "Split"), ("c", "split"), ("c", "Redact text"), ("c", "")]
     got = compare.gaps(spark.createDataFrame(rows, "site string, label string"), "own").collect()

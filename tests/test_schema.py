@@ -85,3 +85,25 @@ def test_lists(spark):
     html = "<div><ol><li>1</li></ol><ul><li>a<ul><li>b</li></ul> tail</li><li></li></ul><select><option>x<option>y<option>z</select><form><select><option>1<option>2<option>3</select></form></div>"
     rows = schema.lists(pages(spark, html)).orderBy("list_idx").collect()
     assert [(r.type, [i.label for i in r["items"]]) for r in rows] == [("unordered", ["a"]), ("unordered", ["b"]), ("ordered", ["1"]), ("select", ["x", "y", "z"])]
+
+
+def test_page_schema_says_what_its_parts_say_in_one_parse(spark):
+    html = [
+        "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>x@y.z</td></tr></table><table><tr><td>q</td></tr></table>",
+        "<form action=/go><input name=q required><select name=s><option value=1>One</option></select></form><form></form><ul><li>x</li><li>y</li></ul><ol><li>z</li></ol>",
+        "<p>nothing</p>", "", None,
+    ]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    df = schema.page_schema(pages)
+    got = {r.page_id: r for r in df.collect()}
+    assert df._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    assert {k: (r.n_tables, r.n_forms, r.n_lists) for k, r in got.items()} == {0: (2, 0, 0), 1: (0, 2, 2), 2: (0, 0, 0), 3: (0, 0, 0), 4: (0, 0, 0)}
+    for r in schema.tables(pages).collect():
+        t = got[r.page_id].tables[r.table_idx]
+        assert (t.columns, t.types, t.rows, t.total_rows) == (r.columns, r.types, r.rows, r.total_rows)
+    for r in schema.forms(schema.form_fields(pages)).collect():
+        f = got[r.page_id].forms[r.form_idx]
+        assert (f.action, f.method, [x.asDict() for x in f.fields]) == (r.action, r.method, [{k: v for k, v in x.asDict().items() if k != "field_idx"} for x in r.fields])
+    for r in schema.lists(pages).collect():
+        x = got[r.page_id].lists[r.list_idx]
+        assert (x.type, x.items, x.total) == (r.type, r["items"], r.total)
