@@ -47,11 +47,13 @@ SIMILARITY = 0.8
 M_LONG, ELL_LONG, LONG_FROM = 32, 4, 40
 M_SHORT, ELL_SHORT, SHORT_BELOW = 48, 2, 50
 #: Buckets of more texts have their members' shingles counted before members meet.
-LARGE = 64
+LARGE = 32
 #: Middles of a crowded bucket that all its members are compared to before they are compared pair by pair.
-MIDDLES = 2
+MIDDLES = 1
 #: Ids of texts to compare that are broadcast at most, and rows of other narrow tables (they are counted first).
-USED, NARROW = 1_000_000, 400_000
+USED, NARROW = 1_000_000, 200_000
+#: Shared shingles of crowded buckets that are held by every worker at most (counted first); more are joined.
+SHARED = 500_000
 
 WORD = re.compile(r"\w+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -254,16 +256,35 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.groupBy("k").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.count("*").alias("size")).filter("low <> high").select("k", "least", "size")
 
 
+def _reach(shared):
+    """The function from words to how many of them stand under the broadcast, sorted shingles."""
+
+    def run(seqs: pa.Array) -> pa.Array:
+        known = shared.value
+        out = []
+        for raw in seqs.to_pylist():
+            h = shingles(np.frombuffer(raw, np.uint32)).view(np.int64)
+            at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+            out.append(min(_covered(np.flatnonzero(known[at] == h)), len(raw) // 4) if len(known) else 0)
+        return pa.array(out, pa.int32())
+
+    run.__annotations__ = {"seqs": pa.Array, "return": pa.Array}
+    return run
+
+
 def _shareable(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, r): of how many words of a member of a crowded bucket the shingles are found in such a member of another component."""
     crowded = materialize(members.filter(F.col("size") > LARGE).select("node", "comp").distinct())
-    listed = _words_of(nodes, crowded.select("node")).select("node", "seq").join(F.broadcast(crowded) if fits(crowded, NARROW) else crowded, "node")
-    listed = materialize(listed.repartition("node").select("node", "comp", F.posexplode(_shingle_list("seq")).alias("p", "s")))
-    several = listed.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("s")
-    places = lookup_join(listed.drop("comp"), materialize(several), "s", "inner", spread=F.col("node")).groupBy("node").agg(F.sort_array(F.collect_list("p")).alias("ps"))
-    gaps = F.transform(F.sequence(F.lit(1), F.size("ps") - 1), lambda i: F.least(F.get("ps", i) - F.get("ps", i - 1), F.lit(SHINGLE)))
-    steps = F.when(F.size("ps") > 1, F.aggregate(gaps, F.lit(0), lambda total, g: total + g)).otherwise(0)
-    covered = materialize(places.select("node", (steps + SHINGLE).alias("r")))
+    words = _words_of(nodes, crowded.select("node")).select("node", "seq").join(F.broadcast(crowded) if fits(crowded, NARROW) else crowded, "node")
+    words = materialize(words.repartition("node"))
+    listed = words.select("node", "comp", F.posexplode(_shingle_list("seq")).alias("p", "s"))
+    several = materialize(listed.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("s"))
+    if fits(several, SHARED):  # passages that many texts share are few; each text is looked at beside all of them
+        known = np.sort(several.toPandas()["s"].to_numpy(np.int64))
+        return materialize(words.select("node", F.arrow_udf(_reach(nodes.sparkSession.sparkContext.broadcast(known)), T.IntegerType())("seq").alias("r")))
+    places = lookup_join(materialize(listed.drop("comp")), several, "s", "inner", rows=0, spread=F.col("node")).groupBy("node").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    gaps = F.transform(F.slice(F.arrays_zip(F.slice("ps", 2, F.size("ps")).alias("b"), F.col("ps").alias("a")), 1, F.size("ps") - 1), lambda x: F.least(x["b"] - x["a"], F.lit(SHINGLE)))
+    covered = materialize(places.select("node", (F.aggregate(gaps, F.lit(0), lambda total, g: total + g) + SHINGLE).alias("r")))
     return materialize(crowded.select("node").join(covered, "node", "left").select("node", F.coalesce("r", F.lit(0)).alias("r")))
 
 

@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from pagelens.llm import near_dups
 
 
@@ -98,8 +100,11 @@ def test_a_crowded_bucket_costs_no_link_of_a_small_one(spark):
     assert [(r.a, r.b) for r in near_dups.links(nodes).collect()] == [(1, 2)]
 
 
-def test_all_links_of_crowded_buckets_are_found(spark):
+@pytest.mark.parametrize("shared", [500_000, 0])
+def test_all_links_of_crowded_buckets_are_found(spark, monkeypatch, shared):
     """Unlike texts around one long passage, most pairs of which are near the threshold, against all pairs."""
+    monkeypatch.setattr(near_dups, "SHARED", shared)
+    monkeypatch.setattr(near_dups, "LARGE", 8)
     rng = random.Random(4)
     text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
     passage = text(70)
