@@ -70,7 +70,7 @@ def brute(rows):
 
     for i, (d, a) in enumerate(words):
         for e, b in words[:i]:
-            if a == b or min(len(a), len(b)) >= 5 and _similar(a, b) >= 0.8:
+            if a == b or min(len(a), len(b)) >= max(5, 0.8 * max(len(a), len(b))) and len({*a} & {*b}) > 0 and _similar(a, b) >= 0.8:
                 x, y = sorted((root(d), root(e)))
                 parent[y] = x
     return {d: root(d) for d, _ in words}

@@ -1,5 +1,9 @@
 import corpus_pipeline
-from pagelens.llm import decontaminate, mixing, near_dups, quality, sharding
+from pagelens.llm import mixing, near_dups, quality, sharding
+
+from .test_decontaminate import _brute as leaks
+from .test_near_dups import brute as classes
+from .test_quality import _plain_mcd
 
 
 def test_stages_in_order():
@@ -7,26 +11,20 @@ def test_stages_in_order():
     assert corpus_pipeline.ORACLE_SQL is None
 
 
-def test_the_run_against_the_operators_one_by_one(spark, sf_dir):
-    """What each stage must keep is worked out in plain Python from the operator's own verdicts, which their tests hold against brute force."""
+def test_the_run_against_plain_python(spark, sf_dir):
+    """Quality, near-duplicates and leaks are worked out by the plain versions that the operators' tests hold; what the mix takes
+    is the operator's own choice (chance from hashes), whose totals its tests hold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    left = {r.doc_id for r in quality.quality_rows(docs).collect() if r.kept}
-    sub = lambda: spark.createDataFrame([rows[d] for d in sorted(left)], docs.schema)
-    classes = {}
-    for d in sorted(left):  # the least document of each class stays
-        for e in classes:
-            a, b = near_dups.word_ids(rows[d].text), near_dups.word_ids(rows[e].text)
-            if a.tobytes() == b.tobytes() or near_dups.alignment(a, b) >= 0.8:
-                classes[d] = classes[e]
-                break
-        else:
-            classes[d] = d
-    left = set(classes.values())
-    texts = [" ".join(decontaminate.words_of(r.text)) for r in items.collect()]
-    left = {d for d in left if not any(t in " ".join(decontaminate.words_of(rows[d].text)) for t in texts)}
-    copies = {r.doc_id: r.copies for r in mixing.mix(sub()).collect()}
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    table = [(r.doc_id, r.text, r.lang, r.source) for r in rows.values()]
+    left = {r[0] for r, (failed, d) in zip(table, _plain_mcd(table), strict=True) if not failed and (d is None or d <= quality.CUTOFF)}
+    kept = {r.doc_id for r in near_dups.drop_near_duplicates(spark.createDataFrame([rows[d] for d in sorted(left)], docs.schema)).collect()}
+    want = set(classes([(d, rows[d].text) for d in sorted(left)]).values())
+    assert len(kept ^ want) <= 0.02 * len(want)  # two texts just within the similarity may share no sketch
+    left = kept
+    left -= {d for d, _ in leaks([(d, rows[d].text) for d in left], [(r.item_id, r.text) for r in items])}
+    copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame([rows[d] for d in sorted(left)], docs.schema)).collect()}
     want = sorted(d for d in left for _ in range(copies[d]))
     out = corpus_pipeline.run(spark, sf_dir)
     got = out.collect()
@@ -35,3 +33,10 @@ def test_the_run_against_the_operators_one_by_one(spark, sf_dir):
     assert all(rows[r.doc_id].text == r.text for r in got)
     shards = {r.doc_id: r.shard for r in sharding.shard_rows(docs, corpus_pipeline.SHARDS).collect()}
     assert all(shards[r.doc_id] == r.shard for r in got)
+
+
+def test_a_stage_deletes_what_the_one_before_left_and_keeps_what_it_reads(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    first = corpus_pipeline.keep_quality(spark, docs, sf_dir)
+    again = corpus_pipeline.drop_copies(spark, first, sf_dir)  # not written in between: the files that it reads stay
+    assert 0 < again.count() <= 40
