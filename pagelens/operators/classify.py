@@ -111,13 +111,12 @@ def replay_readiness(probes: DataFrame, *, key: str = "url", order: str = "at")
 
 #: Labels of buttons that accept cookies, and words that refuse.
 ACCEPT = (
-    ("accept all", "accept all cookies", "allow all", "allow cookies", "accept cookies", "i agree", "i accept", "agree and continue", "got it")
-    + ("agree", "accept", "allow", "consent", "continue")
-    + ("alle akzeptieren", "alles akzeptieren", "akzeptieren und weiter", "akzeptieren", "zustimmen", "einverstanden", "alle zulassen")
-    + ("tout accepter", "accepter tout", "accepter", "j'accepte", "aceptar todo", "aceptar todas", "aceptar", "acepto")
-    + ("принять все", "принять всё", "согласен", "согласна", "разрешить", "принять", "соглашаюсь")
-    + ("accetta tutto", "accetta tutti", "accetta", "accetto", "aceitar todos", "aceitar tudo", "aceitar", "concordo")
-    + ("zaakceptuj wszystkie", "zaakceptuj", "akceptuję", "accepteren", "alles toestaan")
+    "accept all", "accept all cookies", "allow all", "allow cookies", "accept cookies", "i agree", "i accept", "agree and continue", "got it",
+    "agree", "accept", "allow", "consent", "continue", "alle akzeptieren", "alles akzeptieren", "akzeptieren und weiter", "akzeptieren", "zustimmen",
+    "einverstanden", "alle zulassen", "tout accepter", "accepter tout", "accepter", "j'accepte", "aceptar todo", "aceptar todas", "aceptar",
+    "acepto", "принять все", "принять всё", "согласен", "согласна", "разрешить", "принять", "соглашаюсь", "accetta tutto", "accetta tutti",
+    "accetta", "accetto", "aceitar todos", "aceitar tudo", "aceitar", "concordo", "zaakceptuj wszystkie", "zaakceptuj", "akceptuję", "accepteren",
+    "alles toestaan",
 )
 REFUSE = ("reject", "decline", "deny", "refuse", "necessary only", "ablehnen", "nur erforderliche", "refus", "rechazar", "отклонить", "только необходимые", "rifiuta", "recusar")
 #: Prices and consent words as a probe of visible text counts them, and elements whose children may be cards.
@@ -187,12 +186,17 @@ def ax_nodes(raw: DataFrame, *, keep: tuple[str, ...] = ("page_id",)) -> DataFra
 def ax_supplement(nodes: DataFrame, labels: DataFrame, *, threshold: float = 0.85, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Accessibility nodes that no label of the page covers (labels: label), numbered as sw-a11y-n, with tag, type and markup.
 
-    Names that equal a label or stand with one in a relation of holding are settled by hash and containment; only the
-    pairs of one page meet, and a name or label that repeats there is compared once.
+    Only names and labels of one page meet, each once. Those that are equal or hold one another are settled as expressions;
+    the others are compared in Python where their lengths allow the threshold.
     """
     names = nodes.filter("name <> ''").select(*keep, "name").distinct()
     known = labels.filter("label <> ''").select(*keep, "label").distinct()
-    covered = names.join(known, list(keep)).filter(fuzzy_ratio(F.col("name"), F.col("label")) >= threshold).select(*keep, "name").distinct()
+    x, y = F.trim(F.lower("name")), F.trim(F.lower("label"))
+    holds = (F.contains(x, y) | F.contains(y, x)) if threshold <= 0.92 else x == y
+    plain = names.join(known, list(keep)).filter((x == y) | holds).select(*keep, "name").distinct()
+    near = 2 * F.least(F.length(x), F.length(y)) >= threshold * (F.length(x) + F.length(y))
+    left = names.join(plain, [*keep, "name"], "left_anti").join(known, list(keep)).filter(near)
+    covered = plain.unionByName(left.filter(fuzzy_ratio(F.col("name"), F.col("label")) >= threshold).select(*keep, "name").distinct())
     rows = nodes.join(covered, [*keep, "name"], "left_anti")
     bind = F.concat(F.lit("sw-a11y-"), F.row_number().over(Window.partitionBy(*keep).orderBy("pos")))
     tag, kind = F.lit("button"), F.lit(None).cast("string")

@@ -20,10 +20,8 @@ SHARE, SAMPLE = 0.6, 20
 FLOAT = r"(?iU)^\s*[+-]?(?:nan|inf(?:inity)?|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:e[+-]?\d(?:_?\d)*)?)\s*$"
 #: Types of input elements, and the attributes kept of each kind of field.
 INPUT_TYPES = (
-    ("text", "email", "password", "number", "tel", "url")
-    + ("date", "datetime-local", "time", "month", "week")
-    + ("checkbox", "radio", "file", "hidden", "search", "color")
-    + ("range", "submit", "image")
+    "text", "email", "password", "number", "tel", "url", "date", "datetime-local", "time", "month", "week", "checkbox", "radio", "file", "hidden",
+    "search", "color", "range", "submit", "image",
 )
 FIELD_ATTRS = {
     "input": ("name", "type", "placeholder", "required", "pattern", "minlength", "maxlength", "min", "max", "step", "autocomplete", "readonly", "disabled", "value"),
