@@ -67,3 +67,27 @@ def test_filters_keep_the_columns(spark, name):
     assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
     assert {r.doc_id for r in out.collect()} <= {r[0] for r in _rows()}
     assert FILTERS[name](spark, docs.limit(0)).count() == 0
+
+
+def test_reports_without_a_row_for_each_document(spark):
+    docs = spark.createDataFrame(_rows(), SCHEMA)
+    found = decontaminate.contaminated(docs, _items(spark)).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(4, 1)}
+    gone = spans.repeated_spans(docs).collect()
+    assert {r.doc_id for r in gone} <= {2} and all(r.first_doc_id == 2 for r in gone)
+    for report in (decontaminate.contaminated(docs.limit(0), _items(spark)), decontaminate.contaminated(docs, _items(spark).limit(0)), spans.repeated_spans(docs.limit(0))):
+        assert report.count() == 0
+
+
+def test_one_group_that_is_most_of_the_table(spark):
+    """Copies of one row, and of one text under many ids, beside a few others."""
+    rest = _rows()[0][5:]
+    text = "one sentence that is said again and again. " * 12
+    rows = [(7, text, "en", "a", 1, *rest)] * 300 + [(1000 + k, text, "en", "a", 1, *rest) for k in range(300)] + [(5, "other words of some length, said once. they go on here.", "en", "a", 1, *rest)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    assert {r.class_size for r in near_dups.near_duplicates(docs).collect()} == {600, 1}
+    assert sorted(r.doc_id for r in near_dups.drop_near_duplicates(docs).collect()) == [5, 7]
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == 601 and all(r.taken <= 2 * r.size for r in mixed)
+    assert len(quality.quality_rows(docs).collect()) == 601
+    assert {r.doc_id for r in spans.repeated_spans(docs).collect()} >= {1000, 1299}
