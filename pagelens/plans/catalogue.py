@@ -540,7 +540,8 @@ def outline_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _first_ten(spark: SparkSession, sf_dir: str, max_tokens: int) -> DataFrame:
     blks = blocks.blocks(_card_pages(spark, sf_dir))
-    wanted = blks.select("page_id").distinct().withColumn("ids", F.array(*[F.lit(f"p{k}") for k in (*range(1, 11), 1, 999)]))
+    beyond = F.concat(F.lit("p"), F.max("block_no") + 1)
+    wanted = blks.groupBy("page_id").agg(F.array(*[F.lit(f"p{k}") for k in (*range(1, 11), 1)], beyond).alias("ids"))
     return blocks.fetch(blks, wanted, max_tokens=max_tokens).select("page_id", "id", "text")
 
 

@@ -42,6 +42,14 @@ def test_query_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_fetch_blocks_of_a_page_with_a_thousand_cards(spark, tmp_path):
+    duckdb.sql("SELECT 1 + range AS p_partkey, 'new bolt' AS p_name, 'Brand#1' AS p_brand, 9.5::DOUBLE AS p_retailprice FROM range(1005)").write_parquet(str(tmp_path / "part.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet')")
+    want = db.execute(ORACLES["fetch_blocks"]).fetchall()
+    assert len(want) == 10 and sorted(map(tuple, QUERIES["fetch_blocks"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
