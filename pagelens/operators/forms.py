@@ -107,6 +107,11 @@ def _link(fields: pa.Array, acts: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("links", pa.list_(pa.struct([("sid", pa.string()), ("match_score", pa.float64())]))), ("submit", pa.string())]))
 
 
+def _never_broadcast(rows: DataFrame) -> DataFrame:
+    """rows of every page, for a join by page that sorts: Spark takes what is parsed out of pages for as small as their file."""
+    return rows.hint("merge")
+
+
 def _per_page(fields: DataFrame, acts: DataFrame, form_idx: int) -> DataFrame:
     """One row per page: its actions, the fields of the form, and how they are linked. Both tables are read once."""
     told = acts.select("page_id", "pos", "id", "type", _blob("label", "placeholder").alias("ablob"))
@@ -173,7 +178,7 @@ def plan(fields: DataFrame, acts: DataFrame, classes: DataFrame, profiles: DataF
     """
     none = F.lit(None).cast("string")
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    rows = classes.join(_per_page(fields, acts, form_idx), "page_id", "left").join(profiles.select("page_id", "profile"), "page_id", "left")
+    rows = classes.join(_never_broadcast(_per_page(fields, acts, form_idx)), "page_id", "left").join(_never_broadcast(profiles.select("page_id", "profile")), "page_id", "left")
     rows = rows.withColumn("blockers", page_blockers(F.col("acts"), F.col("page_class"))).withColumn("profile", F.coalesce("profile", empty))
 
     def step(place: Column, action: Column | str, reason: Column, sid: Column = none, value: Column = none, kind: Column = none, label: Column = none, question: Column = none) -> Column:

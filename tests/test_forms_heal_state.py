@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions import similarity, urls
 from pagelens.operators import actions, dom, forms, heal, schema
+from pagelens.plans import catalogue
 from pagelens.streaming import state
 
 SIGNUP = """<form><input type="email" name="email" placeholder="Work email" required><input name="full_name" placeholder="Full name"><input name="company" placeholder="Company">
@@ -38,6 +39,11 @@ def test_submit_comes_last(spark):
     assert [(r.action, r.sid) for r in got] == [("auto_fill", "1"), ("submit", "2")]
 
 
+def test_plans_broadcast_no_table_of_pages(spark, sf_dir):
+    made = catalogue.form_plan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in made and made.count("SortMergeJoin") == 3
+
+
 def test_blockers_stop_plans(spark):
     assert [r.reason for r in plan(spark, SIGNUP, {}, "Anti-bot").collect()] == ["anti_bot"]
     assert [r.reason for r in plan(spark, "<div><button>Continue with Google</button><form><input name=x></form></div>", {}).collect()] == ["oauth"]
