@@ -228,7 +228,7 @@ def answer(steps: DataFrame, answers: DataFrame) -> DataFrame:
     given = answers.filter("coalesce(answer, '') <> ''").groupBy("page_id", "question").agg(F.min("answer").alias("answer"))
     by_id = given.select("page_id", F.col("question").alias("question_id"), F.col("answer").alias("__by_id"))
     by_label = given.select("page_id", F.col("question").alias("label"), F.col("answer").alias("__by_label"))
-    rows = steps.join(by_id, ["page_id", "question_id"], "left").join(by_label, ["page_id", "label"], "left")
+    rows = steps.join(_never_broadcast(by_id), ["page_id", "question_id"], "left").join(_never_broadcast(by_label), ["page_id", "label"], "left")
     found = F.coalesce("__by_id", "__by_label")
     hit = (F.col("action") == "ask") & found.isNotNull() & F.col("sid").isNotNull()
     return rows.withColumn("value", F.when(hit, found).otherwise(F.col("value"))).withColumn("reason", F.when(hit, "answered").otherwise(F.col("reason"))).withColumn("action", F.when(hit, "auto_fill").otherwise(F.col("action"))).select(*steps.columns)
@@ -246,7 +246,7 @@ def validation_errors(filled: DataFrame, invalid: DataFrame) -> DataFrame:
 def replay(steps: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Per page how a recorded execution of its plan ended: outcomes has page_id, sid, ok. Open questions stop a plan, then
     handoffs; after that a failed step is a validation error."""
-    done = steps.join(outcomes, ["page_id", "sid"], "left")
+    done = steps.join(_never_broadcast(outcomes), ["page_id", "sid"], "left")
     out = done.groupBy("page_id").agg(F.count_if(F.col("action") == "ask").alias("questions"), F.count_if(F.col("action") == "handoff").alias("handoffs"), F.count_if(F.col("action") == "auto_fill").alias("fills"), F.count_if(F.col("action").isin("auto_fill", "submit") & ~F.coalesce("ok", F.lit(True))).alias("failed"))
     return out.withColumn("status", F.when(F.col("questions") > 0, "questions_pending").when(F.col("handoffs") > 0, "handoff").when(F.col("failed") > 0, "validation_error").otherwise("completed"))
 

@@ -44,6 +44,11 @@ def test_plans_broadcast_no_table_of_pages(spark, sf_dir):
     assert "Broadcast" not in made and made.count("SortMergeJoin") == 3
 
 
+def test_answers_broadcast_no_table_of_pages(spark, sf_dir):
+    made = catalogue.form_answers(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in made and made.count("SortMergeJoin") == 6
+
+
 def test_blockers_stop_plans(spark):
     assert [r.reason for r in plan(spark, SIGNUP, {}, "Anti-bot").collect()] == ["anti_bot"]
     assert [r.reason for r in plan(spark, "<div><button>Continue with Google</button><form><input name=x></form></div>", {}).collect()] == ["oauth"]
