@@ -12,9 +12,10 @@ Copies (equal word sequences) are one node from the start, named by 64 bits of t
 ten billion meet in one name with a chance of 3 %). In a bucket of texts that share a sketch, every member is compared
 to the bucket's hub; members whose component then differs from another's are compared to each other, unless their
 lengths rule a link out or, in a crowded bucket, the words that no shingle covers which a text of another component has
-(all members of all crowded buckets are counted, so what is not shared among them is not shared in any one). So no
-candidate pair across components is lost, and none within a component is made: large groups of near copies are stars
-around their hub, never all pairs.
+(all members of all crowded buckets are counted, so what is not shared among them is not shared in any one). There, two
+texts whose words under common shingles (those of more than COMMON texts) are too few for a link need rare ones in
+common besides, and are found by these: a pair that shares none is never made. So no candidate pair across components
+is lost, and none within a component is made: large groups of near copies are stars around their hub, never all pairs.
 
 Defined results: NULL and empty texts, and texts without words, are copies of each other; texts of fewer than five
 words have one shingle; NULL doc_ids are kept and class_id is the least doc_id of the class that is not NULL (NULL if
@@ -50,6 +51,8 @@ M_SHORT, ELL_SHORT, SHORT_BELOW = 48, 2, 50
 LARGE = 32
 #: Middles of a crowded bucket that all its members are compared to before they are compared pair by pair.
 MIDDLES = 1
+#: Texts of crowded buckets that a rare shingle has at most, so that pairs which share one grow with the texts.
+COMMON = 16
 #: Ids of texts to compare that are broadcast at most, and rows of other narrow tables (they are counted first).
 USED, NARROW = 1_000_000, 200_000
 #: Shared shingles of crowded buckets that are held by every worker at most (counted first); more are joined.
@@ -272,23 +275,51 @@ def _reach(shared):
     return run
 
 
-def _shareable(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, r): of how many words of a member of a crowded bucket the shingles are found in such a member of another component."""
-    crowded = materialize(members.filter(F.col("size") > LARGE).select("node", "comp").distinct())
+def _listed(crowded: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the members (node, comp) of crowded buckets the words (node, comp, seq), the shingles (node, comp, p, s), and (s, n) of the shingles of n texts that are not all of one component."""
+    crowded = materialize(crowded.select("node", "comp").distinct())
     words = _words_of(nodes, crowded.select("node")).select("node", "seq").join(F.broadcast(crowded) if fits(crowded, NARROW) else crowded, "node")
     words = materialize(words.repartition("node"))
     listed = words.select("node", "comp", F.posexplode(_shingle_list("seq")).alias("p", "s"))
-    several = materialize(listed.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("s"))
+    several = listed.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"))
+    return words, listed, materialize(several.filter("low <> high").select("s", "n"))
+
+
+def _under(words: DataFrame, listed: DataFrame, several: DataFrame) -> DataFrame:
+    """(node, r): how many of a text's words stand under the shingles `several` (s)."""
     if fits(several, SHARED):  # passages that many texts share are few; each text is looked at beside all of them
         known = np.sort(several.toPandas()["s"].to_numpy(np.int64))
-        return materialize(words.select("node", F.arrow_udf(_reach(nodes.sparkSession.sparkContext.broadcast(known)), T.IntegerType())("seq").alias("r")))
+        return materialize(words.select("node", F.arrow_udf(_reach(words.sparkSession.sparkContext.broadcast(known)), T.IntegerType())("seq").alias("r")))
     places = lookup_join(materialize(listed.drop("comp")), several, "s", "inner", rows=0, spread=F.col("node")).groupBy("node").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     gaps = F.transform(F.slice(F.arrays_zip(F.slice("ps", 2, F.size("ps")).alias("b"), F.col("ps").alias("a")), 1, F.size("ps") - 1), lambda x: F.least(x["b"] - x["a"], F.lit(SHINGLE)))
     covered = materialize(places.select("node", (F.aggregate(gaps, F.lit(0), lambda total, g: total + g) + SHINGLE).alias("r")))
-    return materialize(crowded.select("node").join(covered, "node", "left").select("node", F.coalesce("r", F.lit(0)).alias("r")))
+    return materialize(words.select("node").join(covered, "node", "left").select("node", F.coalesce("r", F.lit(0)).alias("r")))
 
 
-def _can_link(n: str, r: str, on: str, or_: str) -> Column:
+def _shareable(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, r): of how many words of a member of a crowded bucket the shingles are found in such a member of another component."""
+    words, listed, several = _listed(members.filter(F.col("size") > LARGE), nodes)
+    return _under(words, listed, several.select("s"))
+
+
+def _by_rare(crowded: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the members of crowded buckets (node, r), their words under common shingles, and the pairs (a, b, na, nb) of one
+    bucket but of different components that share rare ones, which with the common ones may be enough for a link."""
+    words, listed, several = _listed(crowded, nodes)
+    common = _under(words, listed, several.filter(F.col("n") > COMMON).select("s"))
+    rare = materialize(several.filter(F.col("n") <= COMMON).select("s"))
+    facts = words.select("node", "comp", (F.length("seq") / 4).cast("int").alias("n")).join(common, "node")
+    own = materialize(lookup_join(materialize(listed.select("node", "s")), rare, "s", "inner", rows=NARROW, spread=F.col("node")).join(facts, "node"))
+    other = own.select("s", F.col("node").alias("o"), F.col("comp").alias("oc"), F.col("n").alias("on"), F.col("r").alias("or_"))
+    met = own.join(other, "s").filter((F.col("node") < F.col("o")) & (F.col("comp") != F.col("oc")))
+    met = met.groupBy(F.col("node").alias("a"), F.col("o").alias("b"), F.col("n").alias("na"), F.col("on").alias("nb"), F.least("r", "or_").alias("r")).agg(F.count("*").alias("shared"))
+    enough = _can_link("na", F.col("r") + SHINGLE * F.col("shared"), "nb", F.col("r") + SHINGLE * F.col("shared"))
+    keys = materialize(crowded.groupBy("node").agg(F.collect_list("k").alias("ks")))
+    pairs = materialize(met.filter(enough).drop("r", "shared")).join(keys.select(F.col("node").alias("a"), "ks"), "a").join(keys.select(F.col("node").alias("b"), F.col("ks").alias("oks")), "b")
+    return common, materialize(pairs.filter(F.arrays_overlap("ks", "oks")).select("a", "b", "na", "nb"))
+
+
+def _can_link(n: str, r: str | Column, on: str, or_: str | Column) -> Column:
     """A link needs 4/9 of both texts' words in common; r and or_ are those that a text may share at all."""
     return F.least(r, or_) >= (F.col(n) + F.col(on)) * (SIMILARITY / (1 + SIMILARITY))
 
@@ -315,8 +346,8 @@ def _across(members: DataFrame, nodes: DataFrame, found: DataFrame, tested: Data
     Where a bucket is crowded, the words are counted that a member can share with a member of another component at all, and
     members that then can link to no one are set aside. Of the rest, the one with the fewest other words is the middle of
     its bucket: all are compared to it first, and then to the middle of what is left. What is apart after that is compared
-    pair by pair, where lengths and shareable words allow a link. In other buckets every word counts as shareable, as their
-    members were not all counted.
+    where it shares rare shingles, or where the words under common ones alone allow a link. In other buckets every word
+    counts as shareable, as their members were not all counted.
     """
     members = _still_mixed(members.withColumn("r", F.col("n")))
     crowded = members.filter(F.col("size") > LARGE)
@@ -344,12 +375,20 @@ def _across(members: DataFrame, nodes: DataFrame, found: DataFrame, tested: Data
     # Hubs and middles have met their whole bucket. Of all the other buckets that two texts share, the one with the least key
     # makes the pair.
     members = members.filter(~F.col("met"))
+    crowded = materialize(members.filter(F.col("size") > LARGE))
+    by_rare = None
+    if not crowded.isEmpty():
+        common, by_rare = _by_rare(crowded, nodes)
+        limited = lookup_join(crowded.drop("r"), common, "node", "inner", rows=NARROW, spread=F.col("k")).filter(_can_link("n", "r", "least", "r"))
+        members = _still_mixed(limited.select(*_MEMBER).unionByName(members.filter(F.col("size") <= LARGE).select(*_MEMBER)))
     keys = members.groupBy("node").agg(F.sort_array(F.collect_list("k")).alias("ks"))
     members = materialize(members.select(*_MEMBER).join(keys, "node"))
     other = members.select("k", F.col("node").alias("o"), F.col("comp").alias("oc"), F.col("n").alias("on"), F.col("r").alias("or_"), F.col("ks").alias("oks"))
     apart = (F.col("node") < F.col("o")) & (F.col("comp") != F.col("oc")) & _can_link("n", "r", "on", "or_") & (F.array_min(F.array_intersect("ks", "oks")) == F.col("m.k"))
     met = members.alias("m").join(other.alias("o"), (F.col("m.k") == F.col("o.k")) & apart)
     pairs = met.select(F.col("node").alias("a"), F.col("o").alias("b"), F.col("n").alias("na"), F.col("on").alias("nb"))
+    if by_rare is not None:
+        pairs = pairs.unionByName(by_rare).distinct()
     return found.union(_verified(materialize(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")), nodes))
 
 

@@ -118,6 +118,25 @@ def test_all_links_of_crowded_buckets_are_found(spark, monkeypatch, shared):
     assert {i: got.get(i, i) for i in range(len(texts))} == want
 
 
+def test_texts_beside_a_large_class_are_not_compared_to_all_of_it(spark, monkeypatch):
+    """Copies too far from a large class to link, some of which link each other, against all pairs."""
+    monkeypatch.setattr(near_dups, "LARGE", 8)
+    rng = random.Random(6)
+    changed = lambda words, places: [f"w{rng.randrange(10**9)}" if i in places else w for i, w in enumerate(words)]
+    base = changed([""] * 120, range(120))
+    texts = [changed(base, [rng.randrange(120)]) for _ in range(80)]
+    texts += [changed(base, range(k % 7, 120, 7)) for k in range(15)]
+    texts += [changed(t, [60 + k]) for k, t in enumerate(texts[80:86])]
+    rows = [(node, len(words), [5], bytearray(near_dups.word_ids(" ".join(words)).tobytes())) for node, words in enumerate(texts)]
+    nodes = near_dups.materialize(spark.createDataFrame(rows, "node long, n int, sig array<long>, seq binary"))
+    made, verified = [], near_dups._verified
+    monkeypatch.setattr(near_dups, "_verified", lambda pairs, nodes: made.append(pairs.count()) or verified(pairs, nodes))
+    got = {r.node: r.comp for r in near_dups.connected_components(near_dups.links(nodes).select("a", "b")).collect()}
+    want = brute([(i, " ".join(t)) for i, t in enumerate(texts)])
+    assert {i: got.get(i, i) for i in range(len(texts))} == want and 15 <= len(set(want.values())) <= 17
+    assert sum(made) < 400
+
+
 def test_the_filter_keeps_one_of_each_class(spark):
     rows = [(None, "same words here", "a"), (None, "same words here", "a"), (4, "same words here", "b"), (5, "other", "c"), (5, "other", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, th string")
