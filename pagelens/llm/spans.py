@@ -33,6 +33,8 @@ from .common import SHARE, column_or_null, lookup_join, materialize, nested
 
 #: Least words of a span, and the words of a sentence that is a passage by itself.
 LEAST_WORDS, PASSAGE = 20, 50
+#: Hashes of words that a worker keeps at most, and documents whose runs it merges at a time.
+KEPT_WORDS, MERGED = 50_000, 256
 END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -68,7 +70,7 @@ class _Words(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -123,7 +125,7 @@ _REMOVED = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("span_no", p
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (uid, doc_id, start, end, words, hits) to maximal runs of removed sentences."""
-    for batch in batches:
+    for batch in (b.slice(at, MERGED) for b in batches for at in range(0, b.num_rows, MERGED)):
         out = []
         for r in batch.to_pylist():
             runs: list[list] = []

@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
+
 from pagelens.llm import spans
 
 
@@ -130,3 +132,11 @@ def test_every_whole_sentence_of_a_repeated_passage_goes(spark):
         both = {texts[d - 100][s:e] for s, e in cut(texts[d - 100])}
         left += [(d, s, e) for s, e in cut(texts[d]) if texts[d][s:e] in both and low <= s and e <= high and not any(a <= s and e <= b for a, b in gone)]
     assert not left and all(r.doc_id >= 100 for r in out)
+
+
+def test_workers_hold_few_words_and_few_documents():
+    known = spans._Words()
+    assert [known[f"w{k}"] for k in range(60_000)][-1] == known["w59999"] and len(known) <= spans.KEPT_WORDS
+    row = {"uid": 1, "doc_id": 1, "start": [0], "end": [9], "words": [30], "hits": [{"i": 0, "e": 30, "first": 0}]}
+    merged = list(spans._merge(iter([pa.RecordBatch.from_pylist([row] * 1000)])))
+    assert sum(b.num_rows for b in merged) == 1000 and max(b.num_rows for b in merged) <= spans.MERGED
