@@ -55,6 +55,8 @@ MIDDLES = 1
 COMMON = 16
 #: Ids of texts to compare that are broadcast at most, and rows of other narrow tables (they are counted first).
 USED, NARROW = 1_000_000, 200_000
+#: Hashes of words that a worker keeps at most.
+KEPT_WORDS = 50_000
 #: Shared shingles of crowded buckets that are held by every worker at most (counted first); more are joined.
 SHARED = 500_000
 
@@ -69,7 +71,7 @@ class _Words(dict):
     """32-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF
         return value
