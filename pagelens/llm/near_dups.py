@@ -326,9 +326,8 @@ def _can_link(n: str, r: str | Column, on: str, or_: str | Column) -> Column:
     return F.least(r, or_) >= (F.col(n) + F.col(on)) * (SIMILARITY / (1 + SIMILARITY))
 
 
-def _relabelled(members: DataFrame, found: DataFrame) -> DataFrame:
-    """members with their components after the links found."""
-    comp = connected_components(found.select("a", "b"))
+def _relabelled(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """members with their components (node, comp) now."""
     return materialize(lookup_join(members.drop("comp"), comp, "node", rows=NARROW, spread=F.col("k")).withColumn("comp", F.coalesce("comp", "node")))
 
 
@@ -337,52 +336,74 @@ _MEMBER = ("k", "node", "comp", "n", "r", "met")
 
 
 def _still_mixed(members: DataFrame) -> DataFrame:
-    """The members (k, node, comp, n, r, met) of buckets with several components, with the bucket's size now and its least n."""
+    """The members (k, node, comp, n, r, met) of buckets with several components, with the bucket's size now and its least n; they are read more than once, so they should be written."""
     mixed = materialize(_mixed(members))
     return materialize(lookup_join(members.select(*_MEMBER), mixed, "k", "inner", rows=NARROW, spread=F.col("node")))
 
 
+def _middles(pool: DataFrame) -> DataFrame:
+    """(k, hub, hn, hr, hc): of the members of each bucket the one with the fewest words that no one else has."""
+    middle = pool.groupBy("k").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("own"), "node", "n", "r", "comp")).alias("m"))
+    return materialize(middle.select("k", F.col("m.node").alias("hub"), F.col("m.n").alias("hn"), F.col("m.r").alias("hr"), F.col("m.comp").alias("hc")))
+
+
+def _centres(pool: DataFrame, reach: DataFrame, comp: DataFrame) -> DataFrame:
+    """(k, hub, hn, hr, hc): of the component with the most members in each bucket the text (node, n, reach) of the greatest reach, be it in this bucket or not."""
+    best = lookup_join(materialize(reach), comp, "node", rows=NARROW).withColumn("comp", F.coalesce("comp", "node"))
+    best = best.groupBy("comp").agg(F.max(F.struct("reach", "node", "n")).alias("m"))
+    best = materialize(best.select(F.col("comp").alias("hc"), F.col("m.node").alias("hub"), F.col("m.n").alias("hn"), F.col("m.n").alias("hr")))
+    main = pool.groupBy("k", "comp").agg(F.count("*").alias("many")).groupBy("k").agg(F.max(F.struct("many", "comp")).alias("m"))
+    main = materialize(main.select("k", F.col("m.comp").alias("hc")))
+    return materialize(lookup_join(main, best, "hc", "inner", rows=NARROW, spread=F.col("k")).select("k", "hub", "hn", "hr", "hc"))
+
+
 def _across(members: DataFrame, nodes: DataFrame, found: DataFrame, tested: DataFrame) -> DataFrame:
-    """found, with the links between members (k, node, comp, n, met) of one bucket but of different components.
+    """found, with the links between members (k, node, n, met, size) of one bucket but of different components.
 
     Where a bucket is crowded, the words are counted that a member can share with a member of another component at all, and
     members that then can link to no one are set aside. Of the rest, the one with the fewest other words is the middle of
-    its bucket: all are compared to it first, and then to the middle of what is left. What is apart after that is compared
-    where it shares rare shingles, or where the words under common ones alone allow a link. In other buckets every word
-    counts as shareable, as their members were not all counted.
+    its bucket: all are compared to it first, and then to the middle of what is left. Those that are then not of the bucket's
+    largest component are compared to that component's centre: near copies of one text share buckets in which it is not, and
+    are mostly nearer to it than to each other. What is apart after that is compared where it shares rare shingles, or where
+    the words under common ones alone allow a link. In other buckets every word counts as shareable, as their members were
+    not all counted.
     """
-    members = _still_mixed(members.withColumn("r", F.col("n")))
+    # A text is central if its buckets are large: what is near many shares sketches with many.
+    reach = members.filter(F.col("size") > LARGE).groupBy("node").agg(F.min("n").alias("n"), F.sum("size").alias("reach"))
+    comp = connected_components(found.select("a", "b"))
+    members = _still_mixed(_relabelled(members, comp).withColumn("r", F.col("n")))
     crowded = members.filter(F.col("size") > LARGE)
     if not crowded.isEmpty():
         limited = lookup_join(crowded.drop("r"), _shareable(members, nodes), "node", "inner", rows=NARROW, spread=F.col("k"))
-        limited = limited.filter(_can_link("n", "r", "least", "r"))
-        members = _still_mixed(limited.select(*_MEMBER).unionByName(members.filter(F.col("size") <= LARGE).select(*_MEMBER)))
+        limited = materialize(limited.filter(_can_link("n", "r", "least", "r")).select(*_MEMBER))
+        members = _still_mixed(limited.unionByName(members.filter(F.col("size") <= LARGE).select(*_MEMBER)))
     hubs = None
-    for _ in range(MIDDLES):
+    for last in [False] * MIDDLES + [True]:
         pool = members.filter(F.col("size") > LARGE)
         if pool.isEmpty():
             break
-        if hubs is not None:
+        if hubs is not None and not last:
             met = members.join(hubs.select("k", F.col("hub").alias("node")), ["k", "node"]).select("k", "comp").distinct()
             pool = pool.join(met, ["k", "comp"], "left_anti")
-        middle = pool.groupBy("k").agg(F.min(F.struct((F.col("n") - F.col("r")).alias("own"), "node", "n", "r", "comp")).alias("m"))
-        middle = materialize(middle.select("k", F.col("m.node").alias("hub"), F.col("m.n").alias("hn"), F.col("m.r").alias("hr"), F.col("m.comp").alias("hc")))
+        middle = _centres(pool, reach, comp) if last else _middles(pool)
         hubs = middle if hubs is None else hubs.unionByName(middle)
         members = materialize(lookup_join(members, middle, "k", rows=NARROW, spread=F.col("node")))
         rows = members.filter((F.col("comp") != F.col("hc")) & _can_link("n", "r", "hn", "hr"))
         members = members.withColumn("met", F.col("met") | F.coalesce(F.col("node") == F.col("hub"), F.lit(False))).select(*_MEMBER)
         pairs = materialize(_pairs(rows, "node", "n", "hub", "hn").join(tested.select("a", "b"), ["a", "b"], "left_anti"))
         found, tested = found.union(_verified(pairs, nodes)), tested.unionByName(pairs)
-        members = _still_mixed(_relabelled(members, found))
-    # Hubs and middles have met their whole bucket. Of all the other buckets that two texts share, the one with the least key
+        comp = connected_components(found.select("a", "b"))
+        members = _still_mixed(_relabelled(members, comp))
+    # Hubs, middles and centres have met their whole bucket. Of all the other buckets that two texts share, the one with the least key
     # makes the pair.
     members = members.filter(~F.col("met"))
     crowded = materialize(members.filter(F.col("size") > LARGE))
     by_rare = None
     if not crowded.isEmpty():
         common, by_rare = _by_rare(crowded, nodes)
-        limited = lookup_join(crowded.drop("r"), common, "node", "inner", rows=NARROW, spread=F.col("k")).filter(_can_link("n", "r", "least", "r"))
-        members = _still_mixed(limited.select(*_MEMBER).unionByName(members.filter(F.col("size") <= LARGE).select(*_MEMBER)))
+        limited = lookup_join(crowded.drop("r"), common, "node", "inner", rows=NARROW, spread=F.col("k"))
+        limited = materialize(limited.filter(_can_link("n", "r", "least", "r")).select(*_MEMBER))
+        members = _still_mixed(limited.unionByName(members.filter(F.col("size") <= LARGE).select(*_MEMBER)))
     keys = members.groupBy("node").agg(F.sort_array(F.collect_list("k")).alias("ks"))
     members = materialize(members.select(*_MEMBER).join(keys, "node"))
     other = members.select("k", F.col("node").alias("o"), F.col("comp").alias("oc"), F.col("n").alias("on"), F.col("r").alias("or_"), F.col("ks").alias("oks"))
@@ -400,14 +421,14 @@ def links(nodes: DataFrame) -> DataFrame:
     hubs = materialize(keyed.groupBy("k").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub <> last").drop("last"))
     total = nodes.agg(F.sum(F.size("sig"))).first()[0] or 0
     heavy = hubs.filter(F.col("size") * SHARE > total).select("k")
-    members = materialize(lookup_join(keyed, hubs.select("k", "hub"), "k", "inner", rows=0, spread=F.col("node"), heavy=heavy).distinct())
+    members = materialize(lookup_join(keyed, hubs.select("k", "hub", "size"), "k", "inner", rows=0, spread=F.col("node"), heavy=heavy).distinct())
     sizes = members.filter(F.col("node") == F.col("hub")).select("hub", F.col("n").alias("hn")).distinct()
     stars = lookup_join(members.select("node", "n", "hub").distinct(), materialize(sizes), "hub", "inner", rows=NARROW, spread=F.col("node"))
     tested = materialize(_pairs(stars, "node", "n", "hub", "hn"))
     found = _verified(tested, nodes)
     # Where a bucket still holds several components, its texts are compared across them.
-    members = members.select("k", "node", F.col("node").alias("comp"), "n", (F.col("node") == F.col("hub")).alias("met"))
-    return materialize(_across(_relabelled(members, found), nodes, found, tested))
+    members = members.select("k", "node", "n", (F.col("node") == F.col("hub")).alias("met"), "size")
+    return materialize(_across(members, nodes, found, tested))
 
 
 def classes(rows: DataFrame, id_col: str) -> DataFrame:

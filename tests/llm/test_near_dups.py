@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -169,3 +170,65 @@ def test_alignment_counts_order():
     one = a.copy()
     one[40] = 7
     assert near_dups.alignment(a, one) == 99 / 101
+
+
+def _join_rows(spark, condition, since):
+    """Rows that the joins on such a condition have made in the executions after `since`, by Spark's own counts, and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    ids = [runs.apply(i).executionId() for i in range(runs.size())]
+    for run in (i for i in ids if i > since):
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (x for x in map(nodes.apply, range(nodes.size())) if re.search(condition, x.desc())):
+            kinds = {m.name(): m.accumulatorId() for m in map(node.metrics().apply, range(node.metrics().size()))}
+            value = values.get(kinds.get("number of output rows", -1))
+            made += int(value.get().replace(",", "")) if value.isDefined() else 0
+    return made, max(ids, default=-1)
+
+
+def test_members_meet_their_shareable_words_once(spark, monkeypatch):
+    """A member of a crowded bucket makes one row for that bucket, in a group of any size, where the words that it may share are joined to it."""
+    monkeypatch.setattr(near_dups, "LARGE", 8)
+    given, still_mixed, rows_made = [], near_dups._still_mixed, []
+    monkeypatch.setattr(near_dups, "_still_mixed", lambda members: given.append(still_mixed(members)) or given[-1])
+    for group in (40, 80):
+        rng = random.Random(6)
+        changed = lambda words, places: [f"w{rng.randrange(10**9)}" if i in places else w for i, w in enumerate(words)]  # noqa: E731, B023
+        base = changed([""] * 120, range(120))
+        texts = [changed(base, [rng.randrange(120)]) for _ in range(group)]
+        texts += [changed(base, range(k % 7, 120, 7)) for k in range(group // 4)]
+        texts += [changed(t, [60 + k]) for k, t in enumerate(texts[group : group + 6])]
+        rows = [(node, len(words), [5], bytearray(near_dups.word_ids(" ".join(words)).tobytes())) for node, words in enumerate(texts)]
+        nodes = near_dups.materialize(spark.createDataFrame(rows, "node long, n int, sig array<long>, seq binary"))
+        _, since = _join_rows(spark, "^$", -1)
+        given.clear()
+        near_dups.links(nodes).count()
+        made, _ = _join_rows(spark, r"Join \[node.*least\(r#\d+, r#\d+\).*least#", since)
+        assert 0 < made <= sum(went_in.count() for went_in in given[::2])
+        rows_made.append(made)
+    assert rows_made[1] <= 2.2 * rows_made[0]
+
+
+def test_near_copies_of_a_text_in_no_bucket_of_theirs_meet_it_and_not_each_other(spark, monkeypatch):
+    """Texts near one text but far from each other, which share a bucket without it; against all pairs, for two sizes of the group."""
+    monkeypatch.setattr(near_dups, "LARGE", 8)
+    made, verified = [], near_dups._verified
+    monkeypatch.setattr(near_dups, "_verified", lambda pairs, nodes: made.append(pairs.count()) or verified(pairs, nodes))
+    totals = []
+    for group in (20, 40):
+        rng = random.Random(8)
+        changed = lambda words, places: [f"w{rng.randrange(10**9)}" if i in places else w for i, w in enumerate(words)]  # noqa: E731, B023
+        base = changed([""] * 150, range(150))
+        near = lambda: changed(base, rng.sample(range(5, 145), 7))  # noqa: E731, B023
+        texts = [base, *[near() for _ in range(2 * group)], changed(base, range(0, 150, 6))]
+        kept = [[k for k in range(10, 18) if (k - i) % 8 > 1] + [6] * (i % 4 == 0) for i in range(group)]  # a near copy has most buckets of its text
+        buckets = [range(10, 18), *kept, *[[6]] * group, [6]]
+        rows = [(node, len(words), [*sig], bytearray(near_dups.word_ids(" ".join(words)).tobytes())) for node, (words, sig) in enumerate(zip(texts, buckets, strict=True))]
+        nodes = near_dups.materialize(spark.createDataFrame(rows, "node long, n int, sig array<long>, seq binary"))
+        made.clear()
+        got = {r.node: r.comp for r in near_dups.connected_components(near_dups.links(nodes).select("a", "b")).collect()}
+        want = brute([(i, " ".join(t)) for i, t in enumerate(texts)])
+        assert {i: got.get(i, i) for i in range(len(texts))} == want and set(want.values()) == {0, 2 * group + 1}
+        totals.append(sum(made))
+    assert totals[1] <= 2.5 * totals[0]
