@@ -205,7 +205,7 @@ def test_members_meet_their_shareable_words_once(spark, monkeypatch):
         given.clear()
         near_dups.links(nodes).count()
         made, _ = _join_rows(spark, r"Join \[node.*least\(r#\d+, r#\d+\).*least#", since)
-        assert 0 < made <= sum(went_in.count() for went_in in given[::2])
+        assert 0 < made <= given[0].count() + given[-2].count()
         rows_made.append(made)
     assert rows_made[1] <= 2.2 * rows_made[0]
 
