@@ -128,7 +128,7 @@ def targets(sources: DataFrame) -> DataFrame:
         if n == capped or not weight:
             break
         level, capped = (asked - (given or 0.0)) / weight, n
-    return materialize(ranked.withColumn("target", F.when(F.lit(level) * F.col("weight") >= most, most).otherwise(F.lit(level) * F.col("weight")).cast("double")).drop("rank"))
+    return ranked.withColumn("target", F.when(F.lit(level) * F.col("weight") >= most, most).otherwise(F.lit(level) * F.col("weight")).cast("double")).drop("rank")
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -146,21 +146,22 @@ def _ranked(sources: DataFrame) -> DataFrame:
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """(uid, source key, size, copies, ...) from written rows (uid, key, size, seed, ...): how often each document is taken."""
+    """(uid, source key, size, copies, ...) from written rows (uid, key, size, seed, ...): how often each document is taken.
+
+    Only what is read more than once is written: the sources, and what each level leaves.
+    """
     by_source = materialize(rows.groupBy("key").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     priced = targets(by_source.select("source", "source_size", "n_docs", "key")).select("key", "source_size", "n_docs", "target")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST_REPEATS))).otherwise(F.lit(0.0))
-    rated = lookup_join(rows, priced, "key", "inner", spread=F.col("uid")).withColumn("base", F.floor(rate).cast("long")).withColumn("p", rate - F.floor(rate))
-    rated = materialize(rated.withColumn("left", F.col("n_docs")))
-    schema = rated.schema
     # A row that repeats more often than a block holds would fill blocks of any size; its copies are told apart by their row ids.
-    often = materialize(rated.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK // 4).select("seed"))
+    often = materialize(rows.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK // 4).select("seed"))
     if not often.isEmpty():
-        marked = lookup_join(rated, often.withColumn("often", F.lit(True)), "seed", spread=F.col("uid"))
-        rated = marked.withColumn("seed", F.when(F.col("often"), F.xxhash64("seed", "uid")).otherwise(F.col("seed"))).select(*schema.names)
-    done, rest, level = None, rated, 0
+        marked = lookup_join(rows, often.withColumn("often", F.lit(True)), "seed", spread=F.col("uid"))
+        rows = materialize(marked.withColumn("seed", F.when(F.col("often"), F.xxhash64("seed", "uid")).otherwise(F.col("seed"))).select(*rows.columns))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST_REPEATS))).otherwise(F.lit(0.0))
+    rest = lookup_join(rows, priced, "key", "inner", spread=F.col("uid")).withColumn("base", F.floor(rate).cast("long")).withColumn("p", rate - F.floor(rate)).withColumn("left", F.col("n_docs"))
+    schema, many = rest.schema, priced.agg(F.max("n_docs")).first()[0] or 0
+    done, level = None, 0
     while True:
-        many = rest.agg(F.max("left")).first()[0] or 0
         last = many <= BLOCK
         block = F.when(F.col("left") <= BLOCK, F.lit(0)).otherwise(F.pmod(F.xxhash64("seed", F.lit(level)), F.ceil(F.col("left") / BLOCK)))
         flown = materialize(rest.groupBy("key", block.alias("block")).applyInPandas(_fly(last), schema))
@@ -170,7 +171,8 @@ def _copies(rows: DataFrame) -> DataFrame:
         done = settled if done is None else done.unionByName(settled)
         open_ = flown.filter("p > 0 and p < 1").drop("left")
         left = materialize(open_.groupBy("key").agg(F.count("*").alias("left")))
-        rest = materialize(lookup_join(open_, left, "key", "inner", spread=F.col("uid")).select(*schema.names))
+        rest = lookup_join(open_, left, "key", "inner", spread=F.col("uid")).select(*schema.names)
+        many = left.agg(F.max("left")).first()[0] or 0
         level += 1
 
 

@@ -54,6 +54,14 @@ def test_targets_and_takings(spark):
     assert sorted(map(key, out), key=repr) == sorted(map(key, again), key=repr)
 
 
+def test_all_documents_are_written_twice_only(spark, monkeypatch):
+    """The rows, and what the first flight makes of them: executors start processes for every file that they write."""
+    rows, written, keep = _rows(), [], mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, *a: written.append(keep(df, *a)) or written[-1])
+    assert mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == len(rows)
+    assert sum(t.count() == len(rows) for t in written) == 2
+
+
 def test_the_flight_keeps_both_totals():
     rng = np.random.default_rng(1)
     size, p, seed = rng.integers(1, 900, 500), rng.random(500), rng.integers(0, 2**60, 500).astype(np.uint64)
