@@ -31,6 +31,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 ASKED, MOST_REPEATS = 1.5, 2.0
 #: Documents of a flight block.
 BLOCK = 512
+#: Splits of the documents that one task reads at most, where there are more than cores.
+SPLITS = 8
 _EPS = 1e-9
 #: A document whose own share of the direction is below this can't move.
 _STUCK = 1e-7
@@ -111,8 +113,12 @@ def _fly(last: bool):
 
 
 def word_count(text: Column) -> Column:
-    """Words `[^\\x20\\x09-\\x0D]+` of a text; 0 for NULL."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
+    """Words `[^\\x20\\x09-\\x0D]+` of a text; 0 for NULL.
+
+    A word and the spaces after it become one letter: regexp_count makes a string of every word, garbage for which heaps grow.
+    """
+    letters = F.regexp_replace(text, r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", "w")
+    return F.coalesce(F.length(F.ltrim(letters, F.lit(" \t\n\x0b\x0c\r"))).cast("long"), F.lit(0).cast("long"))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -176,6 +182,14 @@ def _copies(rows: DataFrame) -> DataFrame:
         level += 1
 
 
+def _fewer(rows: DataFrame) -> DataFrame:
+    """rows of a plain scan with up to SPLITS splits in a task, but a task for every core: each task writes a file, and for each file a process is started."""
+    plan = rows._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # to count its partitions would run its shuffles
+        return rows
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-plan.execute().getNumPartitions() // SPLITS)))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
     text = column_or_null(docs, text_col, "string")
     source = column_or_null(docs, source_col, "string")
@@ -185,7 +199,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: its words, its source's words and target, the copies and the words that the mix takes."""
-    rows = materialize(docs.select(*_rows(docs, id_col, text_col, source_col)).withColumn("uid", F.monotonically_increasing_id()))
+    rows = materialize(_fewer(docs.select(*_rows(docs, id_col, text_col, source_col))).withColumn("uid", F.monotonically_increasing_id()))
     copies = (F.col("base") + F.col("p")).cast("long")
     return _copies(rows).select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 

@@ -62,6 +62,34 @@ def test_all_documents_are_written_twice_only(spark, monkeypatch):
     assert sum(t.count() == len(rows) for t in written) == 2
 
 
+def test_rows_of_many_splits_are_written_to_few_files(spark, monkeypatch, tmp_path):
+    """A process is started for every file, and counts as a second executor until it has its own memory."""
+    docs = spark.createDataFrame(_rows(), "doc_id long, text string, source string")
+    docs.repartition(64).write.parquet(str(tmp_path / "docs"))
+    written, keep = [], mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, *a: written.append(keep(df, *a)) or written[-1])
+    monkeypatch.setattr(mixing, "SPLITS", 16)
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        read = spark.read.parquet(str(tmp_path / "docs"))
+        assert read.rdd.getNumPartitions() == 64
+        assert mixing.mix(read).count() == docs.count()
+        assert len(written[0].inputFiles()) == 4
+        assert mixing.mix(read.repartition(3)).count() == docs.count()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_word_count_is_that_of_the_pattern_and_makes_no_list_of_words(spark):
+    space = " \t\n\x0b\x0c\r"
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(space + "a$é\\\x1c\x85\xa0\u2003😀") for _ in range(k % 40)) for k in range(400)]
+    texts += [None, "", space, space + "a", "a" + space, "w", " w", "w ", " " * 300_000, "a" + " " * 300_000 + "b", "a" * 300_000, "\n" * 300_000 + "a"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", mixing.word_count(mixing.F.col("text")).alias("n"))
+    assert {r.k: r.n for r in docs.collect()} == {k: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for k, t in enumerate(texts)}
+    assert "regexp_extract_all" not in docs._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_the_flight_keeps_both_totals():
     rng = np.random.default_rng(1)
     size, p, seed = rng.integers(1, 900, 500), rng.random(500), rng.integers(0, 2**60, 500).astype(np.uint64)
