@@ -68,13 +68,12 @@ def test_rows_of_many_splits_are_written_to_few_files(spark, monkeypatch, tmp_pa
     docs.repartition(64).write.parquet(str(tmp_path / "docs"))
     written, keep = [], mixing.materialize
     monkeypatch.setattr(mixing, "materialize", lambda df, *a: written.append(keep(df, *a)) or written[-1])
-    monkeypatch.setattr(mixing, "SPLITS", 16)
     spark.conf.set("spark.sql.files.openCostInBytes", "128m")
     try:
         read = spark.read.parquet(str(tmp_path / "docs"))
         assert read.rdd.getNumPartitions() == 64
         assert mixing.mix(read).count() == docs.count()
-        assert len(written[0].inputFiles()) == 4
+        assert len(written[0].inputFiles()) == 8
         assert mixing.mix(read.repartition(3)).count() == docs.count()
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
